@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklens.llm.exact_dedup import exact_dedup
+from tracklens.llm.mixing import mix_plan
 from tracklens.llm.packing import pack_documents
 from tracklens.llm.token_counts import token_counts
 
@@ -26,13 +27,56 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(_table(spark, sf_dir, "documents"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op8_packing": op8_packing,
+    "op9_source_mixing": op9_source_mixing,
 }
 
 ORACLE_SQL = {
+    "op9_source_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source,
+                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                 md5('mix-17-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+          FROM documents),
+        s AS (
+          SELECT source, CAST(sum(size) AS BIGINT) AS n,
+                 row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS idx
+          FROM d GROUP BY source),
+        w AS (SELECT *, CASE idx % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
+        o AS (
+          SELECT *, row_number() OVER (ORDER BY 2 * n / CAST(weight AS DOUBLE), idx) AS k,
+                 (SELECT CAST(sum(n) AS BIGINT) * 150 / CAST(100 AS DOUBLE) FROM s) AS total
+          FROM w),
+        c AS (
+          SELECT *, CAST(coalesce(sum(2 * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS closed,
+                 CAST(sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS open_weight
+          FROM o),
+        first_open AS (
+          SELECT k, (total - closed) / open_weight AS level FROM c
+          WHERE (total - closed) / open_weight * weight <= 2 * n ORDER BY k LIMIT 1),
+        t AS (
+          SELECT c.source, c.n AS source_size,
+                 CASE WHEN f.k IS NOT NULL AND c.k >= f.k THEN f.level * weight ELSE CAST(2 * c.n AS DOUBLE) END AS target
+          FROM c LEFT JOIN first_open f ON true),
+        q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
+        r AS (
+          SELECT d.doc_id, d.size, q.source_size, q.target, q.quota,
+                 coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+          FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(CASE WHEN source_size = 0 THEN 0
+                    ELSE quota // source_size * size + greatest(0, least(size, quota % source_size - start)) END AS BIGINT) AS taken
+        FROM r
+    """,
     "op3_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS n,
