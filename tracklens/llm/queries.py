@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklens.llm.exact_dedup import exact_dedup
 from tracklens.llm.mixing import mix_plan
+from tracklens.llm.near_dedup import near_dedup
 from tracklens.llm.packing import pack_documents
 from tracklens.llm.token_counts import token_counts
 
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op8_packing": op8_packing,
@@ -40,6 +46,31 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS words
+          FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, CASE WHEN len(words) = 1 THEN words[1] ELSE words[i] || ' ' || words[i + 1] END AS shingle
+          FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 1))) AS i FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (
+          SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+          FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        links AS (
+          SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+          WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (
+          SELECT doc_id AS node, doc_id AS root FROM documents
+          UNION
+          SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+        FROM documents d LEFT JOIN n USING (doc_id)
+        JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) c ON c.node = d.doc_id
+    """,
     "op9_source_mixing": r"""
         WITH d AS (
           SELECT doc_id, source,
