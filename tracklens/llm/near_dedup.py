@@ -29,7 +29,7 @@ def _hashed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """``id, n, fp, buckets`` of every document; ``fp`` is a 128-bit digest of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             sets = [shingle_set(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             some = [s for s in sets if len(s)]
             keys = iter(band_keys(circulant_minhash(some, bands * rows), bands)) if some else iter(())
@@ -48,7 +48,7 @@ def _hashed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             sets = [shingle_set(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklens.llm.embed_dedup import embedding_near_dedup
 from tracklens.llm.exact_dedup import exact_dedup
 from tracklens.llm.mixing import mix_plan
 from tracklens.llm.near_dedup import near_dedup
@@ -20,6 +21,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op8_packing": op8_packing,
@@ -46,6 +52,24 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        edges AS (
+          SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+          WHERE list_cosine_similarity(p.e, q.e) >= 0.95),
+        reach AS (
+          SELECT vec_id AS node, vec_id AS root FROM embeddings
+          UNION
+          SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node),
+        c AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+        n AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, e.vec_id = c.root AS kept
+        FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+    """,
     "op1_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(
