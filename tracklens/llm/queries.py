@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklens.llm.embed_dedup import embedding_near_dedup
 from tracklens.llm.exact_dedup import exact_dedup
+from tracklens.llm.language_id import held_out, predict_languages
 from tracklens.llm.mixing import mix_plan
 from tracklens.llm.near_dedup import near_dedup
 from tracklens.llm.packing import pack_documents
@@ -33,6 +34,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = predict_languages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,7 @@ QUERIES = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op8_packing": op8_packing,
     "op9_source_mixing": op9_source_mixing,
 }
