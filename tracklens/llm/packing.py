@@ -21,6 +21,8 @@ BLOCK_IDS = 1 << 20
 #: Tokens of one training step: as many sequences of one tier as make up this number.
 STEP_TOKENS = 16_384
 END_ID = 0
+#: Texts that are encoded together.
+BATCH = 256
 _TASK_BITS = 36
 
 
@@ -209,10 +211,10 @@ def pack_documents(
                 [pa.array(columns[0], doc_type), *(pa.array(c, pa.int64()) for c in columns[1:])],
                 names=["doc", *names])
 
-        for batch in batches:
+        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             doc_type = batch.column(0).type
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc, enc.id_bytes([value])[0] + end)
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.id_bytes(batch.column(1).to_pylist())):
+                packer.add(doc, ids + end)
                 if packer.held >= block_ids:
                     packer.pack()
                     yield out()

@@ -13,6 +13,8 @@ from tracklens.llm.common import on_workers
 from tracklens.llm.tokens import encoder, tokenizer_path
 
 LIMIT = 512
+#: Texts that are encoded together.
+BATCH = 256
 
 
 def token_counts(
@@ -33,13 +35,13 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             texts = batch.column(1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pc.cast(pc.binary_length(texts), pa.int64()),
-                    pa.array([enc.count(t) for t in texts.to_pylist()], pa.int64()),
+                    pa.array(enc.counts(texts.to_pylist()), pa.int64()),
                 ],
                 names=["id", "n_bytes", "n_tokens"],
             )

@@ -10,10 +10,9 @@ import numpy as np
 #: A blank between two characters that are not white space always starts a new pre-token of the
 #: byte-level pattern, whatever surrounds it: no alternative of that pattern reaches over it.
 _STABLE = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
-_UNSTABLE = re.compile(r"(?:^|[\s᠎]) | (?:$|[\s᠎])")
-
 TOKENIZER_FILE = "byte_bpe_50k.json"
-MEMO_UNITS = 400_000
+MEMO_UNITS = 800_000
+GROUP_PIECES = 20_000
 HUGE_CHARS = 65_536
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
@@ -34,19 +33,21 @@ def encoder(path: str) -> "UnitEncoder":
     return _ENCODERS[path]
 
 
-def split_units(text: str) -> list[str]:
-    """Pieces that begin at stable blanks; their ids, one after another, are those of the text."""
-    if _UNSTABLE.search(text) is None:
-        pieces = text.split(" ")
-    else:
-        pieces = _STABLE.split(text)
-    return pieces[:1] + [f" {p}" for p in pieces[1:]]
+def _edge(char: str) -> bool:
+    """Whether a blank next to this character may not be stable."""
+    return char.isspace() or char == "\u180e"
+
+
+def _closed(piece: str) -> bool:
+    """Whether a full stop or comma ends the piece right after a plain letter, and so is a token of its
+    own: the letters before it are one pre-token, whatever follows."""
+    return piece[-1] in ".," and len(piece) > 1 and piece[-2] < "\u0250" and piece[-2].isalpha()
 
 
 class UnitEncoder:
-    """The library's ids for whole texts, with a bounded memo of units.
+    """The library's ids for whole texts, with a bounded memo of pieces between stable blanks.
 
-    A unit's ids do not depend on its surroundings, so each distinct unit is encoded once while it
+    A piece's ids do not depend on its surroundings, so each distinct piece is encoded once while it
     is in the memo. The memo only saves time: it is emptied when full.
     """
 
@@ -59,33 +60,74 @@ class UnitEncoder:
         self.tokenizer.no_padding()
         self.memo_units = memo_units
         self.memo: dict[str, bytes] = {}
+        # in a byte-level vocabulary every character of a token's name stands for one byte
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
+        for name, at in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.token_bytes[at] = len(name)
+
+        self.ends = {c: a.tobytes() for c, a in zip(".,", self._encode([".", ","]))}
 
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, dtype="<u4") for f in found]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts the ids of a blank and each piece into the memo.
+
+        Missing pieces are encoded as one text, whose blanks are stable again, and its ids are cut
+        where the pieces end. Pieces that are empty or have white space at an edge are left out.
+        """
+        missing = {p for p in pieces.difference(self.memo) if p and not _edge(p[0]) and not _edge(p[-1])}
+        closed = [p for p in missing if _closed(p)]
+        missing = missing.difference(closed)
+        missing.update({p[:-1] for p in closed}.difference(self.memo))
+        if len(self.memo) + len(missing) + len(closed) > self.memo_units:
+            self.memo = {}
+            closed = [p for p in pieces if p and _closed(p) and not _edge(p[0])]
+            missing = {p for p in pieces if p and not _edge(p[0]) and not _edge(p[-1])}.difference(closed)
+            missing.update(p[:-1] for p in closed)
         memo = self.memo
-        missing = list({u for u in units if u not in memo})
-        if missing:
-            if len(memo) + len(missing) > self.memo_units:
-                missing = list(set(units))
-                self.memo = memo = {}
-            for unit, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                memo[unit] = np.array(found.ids, dtype="<u4").tobytes()
-        return memo
+        left, apart = list(missing), []
+        for at in range(0, len(left), GROUP_PIECES):
+            group = left[at : at + GROUP_PIECES]
+            (ids,) = self._encode([" " + " ".join(group)])
+            ends = np.cumsum([len(p.encode()) + 1 for p in group])
+            token_ends = np.cumsum(self.token_bytes[ids])
+            cuts = np.searchsorted(token_ends, ends) + 1
+            if not np.array_equal(token_ends[cuts - 1], ends):
+                apart += group
+                continue
+            body, low = ids.tobytes(), 0
+            for piece, high in zip(group, (4 * cuts).tolist()):
+                memo[piece] = body[low:high]
+                low = high
+        for piece, ids in zip(apart, self._encode([f" {p}" for p in apart])):
+            memo[piece] = ids.tobytes()
+        for piece in closed:
+            memo[piece] = memo[piece[:-1]] + self.ends[piece[-1]]
 
     def id_bytes(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, as bytes."""
+        split = [t.split(" ") for t in texts]
+        firsts = [pieces.pop(0) for pieces in split]
+        self._learn({p for rest in split for p in rest})
+        memo = self.memo.__getitem__
         out = []
-        for text in texts:
-            units = split_units(text) if text else []
-            memo = self._learn(units)
-            out.append(b"".join([memo[u] for u in units]))
+        for text, rest, first, ids in zip(texts, split, firsts, self._encode(firsts)):
+            try:
+                if rest and (not first or _edge(first[-1])):
+                    raise KeyError
+                out.append(ids.tobytes() + b"".join(map(memo, rest)))
+            except KeyError:  # a blank that is not stable
+                pieces = _STABLE.split(text)
+                whole = self._encode(pieces[:1] + [f" {p}" for p in pieces[1:]])
+                out.append(b"".join(a.tobytes() for a in whole))
         return out
 
-    def count(self, text: str) -> int:
-        if len(text) > HUGE_CHARS:
-            return self.count_by_overlap(text)
-        units = split_units(text) if text else []
-        memo = self._learn(units)
-        return sum([len(memo[u]) for u in units]) // 4
+    def counts(self, texts: list[str]) -> list[int]:
+        """Number of ids of each text; huge texts are encoded as overlapping chunks."""
+        usual = iter(self.id_bytes([t for t in texts if len(t) <= HUGE_CHARS]))
+        return [len(next(usual)) // 4 if len(t) <= HUGE_CHARS else self.count_by_overlap(t) for t in texts]
 
     def _starts(self, text: str, at: int, end: int) -> np.ndarray:
         """Where in the text each token of ``text[at:end]`` starts."""
