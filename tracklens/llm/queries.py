@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tracklens.llm.embed_dedup import embedding_near_dedup
 from tracklens.llm.exact_dedup import exact_dedup
+from tracklens.llm.html_extract import extract_main_text
 from tracklens.llm.language_id import held_out, predict_languages
 from tracklens.llm.mixing import mix_plan
 from tracklens.llm.near_dedup import near_dedup
 from tracklens.llm.packing import pack_documents
+from tracklens.llm.sharding import extendible_shards
 from tracklens.llm.token_counts import token_counts
 
 
@@ -39,6 +41,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extendible_shards(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -48,17 +55,37 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_extendible_sharding": op6_extendible_sharding,
     "op8_packing": op8_packing,
     "op9_source_mixing": op9_source_mixing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL = {
+    "op6_extendible_sharding": r"""
+        WITH d AS (
+          SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+                 right(repeat('0', 60) || bin(CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 15) AS BIGINT)), 60) AS bits
+          FROM documents),
+        p AS (SELECT doc_id, n_bytes, depth, left(bits, depth) AS prefix FROM d, range(0, 61) r(depth)),
+        s AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS n FROM p GROUP BY depth, prefix),
+        f AS (
+          SELECT p.doc_id, p.n_bytes, p.prefix AS shard, CAST(p.depth AS INTEGER) AS depth, s.shard_bytes,
+                 row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS k
+          FROM p JOIN s USING (depth, prefix) WHERE s.shard_bytes <= 4194304 OR s.n = 1)
+        SELECT doc_id, n_bytes, shard, depth, shard_bytes FROM f WHERE k = 1
+    """,
     "op2_embedding_near_dedup": r"""
         WITH RECURSIVE v AS (
           SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
