@@ -12,6 +12,7 @@ from tracklens.llm.language_id import held_out, predict_languages
 from tracklens.llm.mixing import mix_plan
 from tracklens.llm.near_dedup import near_dedup
 from tracklens.llm.packing import pack_documents
+from tracklens.llm.secret_scan import scan_secrets
 from tracklens.llm.sharding import extendible_shards
 from tracklens.llm.token_counts import token_counts
 
@@ -46,6 +47,11 @@ def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_no", "n_chars", "core_sha256", "score", "is_secret")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_extendible_sharding": op6_extendible_sharding,
+    "op7_secret_scan": op7_secret_scan,
     "op8_packing": op8_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_html_extraction": op10_html_extraction,
