@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.llm.common import Workspace
@@ -95,3 +95,16 @@ def exact_dedup(
         F.col("id").eqNullSafe(keep_id).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat a key and a text, one."""
+    found = exact_dedup(docs, key, text).filter("kept").select(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha"))
+    content = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE_SPACE, "")
+    rows = docs.withColumn("_key_sha", F.sha2(content.cast("binary"), 256))
+    same = (rows[key].eqNullSafe(found["_id"])) & (rows["_key_sha"] == found["_sha"])
+    first = Window.partitionBy(key, "_key_sha").orderBy(F.char_length(F.coalesce(F.col(text), F.lit(""))).desc())
+    return (
+        rows.join(found.distinct(), same, "left_semi")
+        .withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
+    )

@@ -20,6 +20,8 @@ GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 12
 FIT_PER_LANGUAGE, FIT_TOTAL = 1_000, 12_000
 EPOCHS, COST = 12, 1.0
 UNDETERMINED = "und"
+#: Below this score a text is no language that the model knows.
+MIN_SCORE = 0.2
 _LETTER = re.compile(r"[^\W\d_]")
 _SEED = 11
 
@@ -196,3 +198,13 @@ def predict_languages(
     udf = F.arrow_udf("struct<lang_pred: string, score: double>")(guess)
     out = docs.withColumn("_guess", udf(F.col(text)))
     return out.withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
+
+
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows whose language is identified, ``lang`` being the predicted one; other columns as they were.
+
+    Rejected are ``und`` (null texts, texts without letters) and scores below ``MIN_SCORE``.
+    """
+    found = predict_languages(docs, None, key, text, lang)
+    rows = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE))
+    return rows.withColumn(lang, F.col("lang_pred")).select(*docs.columns)

@@ -244,3 +244,12 @@ def _rest_blocks(ws: Workspace, rest: DataFrame, sets: DataFrame) -> DataFrame:
         .join(sets.select("cls", "shingles"), "cls")
         .groupBy("to", "chunk").agg(F.collect_list(F.struct("cls", "shingles")).alias("ys")))
     return xs.join(ys, ["to", "chunk"])
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One document of each component, the one with the smallest key, with all columns of ``docs``.
+
+    Rows without a key stay when a row without a key stands for its texts.
+    """
+    kept = near_dedup(docs, key, text, **how).filter("kept").select(F.col(key).alias("_kept")).distinct()
+    return docs.join(kept, docs[key].cast("bigint").eqNullSafe(kept["_kept"]), "left_semi")
