@@ -1,4 +1,6 @@
 """Name -> query callable and name -> SQL of every reference operator group."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from tracklens.plans import interval_queries, mask_queries
+
+QUERIES = interval_queries.QUERIES | mask_queries.QUERIES
+ORACLE_SQL = interval_queries.ORACLE_SQL | mask_queries.ORACLE_SQL
