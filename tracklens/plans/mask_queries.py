@@ -97,9 +97,9 @@ _TRACKS = """
 @query("assign_cage", _SEGMENTS + f""",
     t AS ({_TRACKS.replace('{', '').replace('}', '')}),
     ref AS (SELECT video_id, min(frame_begin) AS frame FROM t GROUP BY video_id),
-    at AS (SELECT r.video_id, coalesce(min(s.segment_idx), (SELECT max(segment_idx) FROM segs z WHERE z.video_id = r.video_id)) AS segment_idx
+    used AS (SELECT r.video_id, coalesce(min(s.segment_idx), (SELECT max(segment_idx) FROM segs z WHERE z.video_id = r.video_id)) AS segment_idx
            FROM ref r LEFT JOIN segs s ON s.video_id = r.video_id AND r.frame BETWEEN s.start AND s."end" GROUP BY r.video_id),
-    key AS (SELECT c.* FROM at JOIN segs s ON s.video_id = at.video_id AND s.segment_idx = at.segment_idx
+    key AS (SELECT c.* FROM used u JOIN segs s ON s.video_id = u.video_id AND s.segment_idx = u.segment_idx
             JOIN cells c ON c.video_id = s.video_id AND c.frame = s.start WHERE lit)
     SELECT t.track_id, t.video_id, min(cage_id) AS cage_id
     FROM t JOIN key ON key.video_id = t.video_id AND key.y = CAST(trunc(least(7, greatest(0, mean_y * 8))) AS BIGINT)
@@ -132,10 +132,10 @@ def segment_crops(spark, d):
 
 
 @query("mask_eval", """
-    both AS (SELECT video_id, frame, cage_id, CAST(sum(CASE WHEN v > 0 AND v > CAST(0.05 AS FLOAT) THEN 1 ELSE 0 END) AS BIGINT) AS common,
+    bth AS (SELECT video_id, frame, cage_id, CAST(sum(CASE WHEN v > 0 AND v > CAST(0.05 AS FLOAT) THEN 1 ELSE 0 END) AS BIGINT) AS common,
                     CAST(sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS BIGINT) AS united
              FROM (SELECT video_id, frame, cage_id, unnest(embedding) AS v FROM a4) GROUP BY video_id, frame, cage_id)
-    SELECT *, CASE WHEN united > 0 THEN CAST(common AS DOUBLE) / united END AS iou FROM both""", "a4")
+    SELECT *, CASE WHEN united > 0 THEN CAST(common AS DOUBLE) / united END AS iou FROM bth""", "a4")
 def mask_eval(spark, d):
     keys = ["video_id", "frame", "cage_id"]
     return evaluation.evaluate_masks(_objects(spark, d), _runs(spark, d), _objects(spark, d, 0.05), _runs(spark, d, 0.05), keys)
@@ -213,13 +213,13 @@ def square_crop(spark, d):
 
 @query("box_lines", """
     asked AS (SELECT DISTINCT track_id, unnest(range(1, 98, 4)) AS frame FROM a3),
-    at AS (SELECT *, CAST(trunc(frame * CAST(25 AS DOUBLE) / CAST(30 AS DOUBLE)) AS BIGINT) AS f FROM asked)
-    SELECT at.track_id, at.frame, CASE WHEN x IS NOT NULL THEN 0 END AS class_id, (x + width / 2) / 100 AS xc, (y + height / 2) / 100 AS yc, width / 100 AS w, height / 100 AS h
-    FROM at LEFT JOIN a3 ON a3.track_id = at.track_id AND a3.frame = at.f""", "a3")
+    shown AS (SELECT *, CAST(trunc(frame * CAST(25 AS DOUBLE) / CAST(30 AS DOUBLE)) AS BIGINT) AS f FROM asked)
+    SELECT s.track_id, s.frame, CASE WHEN x IS NOT NULL THEN 0 END AS class_id, (x + width / 2) / 100 AS xc, (y + height / 2) / 100 AS yc, width / 100 AS w, height / 100 AS h
+    FROM shown s LEFT JOIN a3 ON a3.track_id = s.track_id AND a3.frame = s.f""", "a3")
 def box_lines(spark, d):
     keyframes = adapter(spark, d, "a3")
     targets = keyframes.select("track_id").distinct().select(
-        "track_id", F.explode(F.sequence(F.lit(1), F.lit(97), F.lit(4))).cast("bigint").alias("frame"), F.lit(25.0).alias("ls_fps"), F.lit(30.0).alias("fps"))
+        "track_id", F.explode(F.sequence(F.lit(1), F.lit(97), F.lit(4)).cast("array<bigint>")).alias("frame"), F.lit(25.0).alias("ls_fps"), F.lit(30.0).alias("fps"))
     return boxes.box_lines(targets, keyframes, ["track_id"])
 
 
@@ -227,9 +227,9 @@ _BY = ["video_id", "cage_id"]
 _MATCHED = """
     g AS (SELECT video_id, cage_id, frame, has_gt, has_pred, CASE WHEN has_pred THEN pred_id END AS pred_id,
             CASE WHEN has_gt AND has_pred THEN greatest(0, least(gt_left + w, pred_left + w) - greatest(gt_left, pred_left))
-                 * greatest(0, least(gt_top + h, pred_top + h) - greatest(gt_top, pred_top)) END AS both, w * h AS area
+                 * greatest(0, least(gt_top + h, pred_top + h) - greatest(gt_top, pred_top)) END AS overlap, w * h AS area
           FROM a5 WHERE has_gt OR has_pred),
-    m AS (SELECT *, both / (area + area - both) AS iou, coalesce(both / (area + area - both) >= 0.5, false) AS hit FROM g)"""
+    m AS (SELECT *, overlap / (area + area - overlap) AS iou, coalesce(overlap / (area + area - overlap) >= 0.5, false) AS hit FROM g)"""
 
 
 @query("box_matches", _MATCHED + " SELECT video_id, cage_id, frame, has_gt AS has_t, has_pred AS has_p, pred_id, iou, hit FROM m", "a5")
