@@ -12,6 +12,9 @@ from tracklens.llm.common import Workspace
 #: The characters that do not count when texts are compared.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 SALTS = 16
+#: A digest is hot, and its rows are salted, from this share of all rows; so there are at most
+#: ``1 / HOT_SHARE`` hot digests, which bounds the broadcast.
+HOT_SHARE = 0.001
 _ID_SPAN = "36893488147419103232"  # 2^65, room for any id below one code point
 _NO_ID = "9223372036854775808"  # 2^63, sorts behind every id
 
@@ -46,11 +49,12 @@ def exact_dedup(
     The row with the most code points, then the smallest key, stays.
 
     Combining: (1) each task merges its own equal texts (map-side combine), (2) groups of
-    ``(digest, content, salt)`` merge next, so that a text with a third of all rows is spread over
-    ``salts`` tasks, (3) one winner per salt is merged per ``(digest, content)``. Whole contents
-    are grouping keys at every stage, so equal digests of different texts never merge. Only the
-    digest goes back to the rows; digests shared by different contents, if any, are resolved by
-    a second join on the content itself.
+    ``(digest, content, salt)`` merge next, rows of hot digests under ``salts`` salts, so that a text
+    with a third of all rows is spread over as many tasks, (3) the salt winners of hot digests are
+    merged per ``(digest, content)``; others have one salt and are final. Whole contents are
+    grouping keys at every stage, so equal digests of different texts never merge. Only the digest
+    goes back to the rows; digests shared by different contents, if any, are resolved by a second
+    join on the content itself.
 
     Returns ``key, keep_id, group_size, kept, text_sha256``. Null keys sort last and stay only
     when no other row of the group has a key (``keep_id`` is then null, ``kept`` true). Rows that
@@ -70,21 +74,31 @@ def exact_dedup(
         .withColumn("sha", sha)
         .withColumn("digest", digest(F.col("content")) if digest else F.col("sha"))
     )
+    counts = ws.put(rows.groupBy("digest").agg(F.count("*").alias("rows")), "counts")
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    hot = counts.filter(F.col("rows") >= max(2, HOT_SHARE * total)).select("digest", F.lit(True).alias("hot"))
     salted = (
-        rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        rows.join(F.broadcast(hot), "digest", "left")
+        .withColumn("hot", F.coalesce("hot", F.lit(False)))
+        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0))
         .groupBy("digest", "content", "salt")
-        .agg(F.max(_rank(F.col("length"), F.col("id"))).alias("rank"), F.count("*").alias("n"))
+        .agg(
+            F.max(_rank(F.col("length"), F.col("id"))).alias("rank"), F.count("*").alias("n"),
+            F.max("hot").alias("hot"))
     )
-    winners = salted.groupBy("digest", "content").agg(F.max("rank").alias("rank"), F.sum("n").alias("n"))
+    groups = ws.put(
+        salted.select("digest", F.when(F.col("hot"), F.col("content")).alias("content"), "rank", "n", "hot"), "groups")
+    winners = groups.filter("hot").groupBy("digest", "content").agg(F.max("rank").alias("rank"), F.sum("n").alias("n"))
     per_digest = ws.put(
-        winners.groupBy("digest").agg(
-            F.count("*").alias("contents"), F.max("rank").alias("rank"), F.max("n").alias("n")),
+        winners.select("digest", "rank", "n").unionByName(groups.filter("not hot").select("digest", "rank", "n"))
+        .groupBy("digest").agg(F.count("*").alias("contents"), F.max("rank").alias("rank"), F.max("n").alias("n")),
         "digests")
     clear = per_digest.filter("contents = 1").select("digest", "rank", "n")
     kept = rows.select("id", "sha", "digest").join(clear, "digest").select("id", "sha", "rank", "n")
     clash = per_digest.filter("contents > 1").select("digest")
     if clash.limit(1).count():
-        apart = winners.join(clash, "digest", "left_semi")
+        apart = salted.join(clash, "digest", "left_semi").groupBy("digest", "content").agg(
+            F.max("rank").alias("rank"), F.sum("n").alias("n"))
         more = rows.join(clash, "digest", "left_semi").join(apart, ["digest", "content"])
         kept = kept.unionByName(more.select("id", "sha", "rank", "n"))
     keep_id = _key_of(F.col("rank"))
