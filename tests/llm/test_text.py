@@ -1,0 +1,271 @@
+"""Token counts, packing, language, mixing, sharding, secrets and extraction."""
+
+import collections
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracklens.llm import html_blocks, html_extract, labelled_pages, language_id, mixing, secret_scan, sharding
+from tracklens.llm.packing import Packer, pack_documents
+from tracklens.llm.token_counts import token_counts
+from tracklens.llm.tokens import UnitEncoder, tokenizer_path
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, start bigint, score string"
+PIECES = ["é.", "x, ", "a.", "'s.", "1.", "a", "b", " ", "  ", "\n", "\t", "é", "22", "'s", "don't", "<|endoftext|>", "!", "...",
+          " ", "　", "\U0001f642", "x y", "\x1c", "᠎", "中文", "\r\n"]
+
+
+def table(spark, rows):
+    full = [(i, t, l, s, None, 1, 2, "z") for i, t, l, s in rows]
+    return spark.createDataFrame(full, DOCS)
+
+
+def plain(rows):
+    return [(i, t, None, None) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def enc():
+    return UnitEncoder(tokenizer_path(), memo_units=400)
+
+
+def reference_ids(enc, text):
+    return enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_and_overlap_counts_match_the_library(enc):
+    rng = random.Random(0)
+    for _ in range(40):
+        texts = ["".join(rng.choices(PIECES, k=rng.randint(0, 40))) for _ in range(40)]
+        for text, got in zip(texts, enc.id_bytes(texts)):
+            want = reference_ids(enc, text)
+            assert np.frombuffer(got, "<u4").tolist() == want, text
+            assert enc.count_by_overlap(text, chunk=rng.randint(3, 20), overlap=rng.randint(1, 9)) == len(want), text
+
+
+def test_huge_texts_without_stable_blanks_widen_the_overlap(enc):
+    for text in ("ab1" * 30_000 + " x", "word " * 20_000, "\n" * 70_000):
+        assert enc.count_by_overlap(text, chunk=1000, overlap=16) == len(reference_ids(enc, text))
+
+
+def test_token_counts(spark, enc):
+    texts = [(1, None), (2, ""), (3, "Grüße <|endoftext|> x"), (4, "a b " * 300), (4, "a b " * 300), (None, "x"), (5, "wo rd" * 40_000)]
+    got = [tuple(r) for r in token_counts(table(spark, plain(texts))).collect()]
+    want = [(i, len((t or "").encode()), n := len(reference_ids(enc, t or "")), n > 512) for i, t in texts]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert token_counts(table(spark, []).limit(0)).count() == 0
+
+
+def test_packing_covers_every_id_once(spark, enc):
+    rng = random.Random(1)
+    texts = [(1, None), (2, ""), (3, "word " * 3000), (3, "x"), (None, "y z")] + [
+        (10 + i, " ".join(rng.choice(("alpha", "be", "gamma,")) for _ in range(rng.randint(1, 700)))) for i in range(200)]
+    rows = pack_documents(table(spark, plain(texts)).repartition(3), block_ids=5000).collect()
+    ids = {}
+    for i, t in texts:
+        ids.setdefault(i, []).append(np.array([*reference_ids(enc, t or ""), 0], dtype="<u4"))
+    by_seq = collections.defaultdict(list)
+    covered = collections.Counter()
+    for r in rows:
+        assert any(zlib.crc32(a[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and len(a) == r.doc_tokens for a in ids[r.doc_id])
+        covered[r.doc_id] += r.length
+        by_seq[r.sequence_id].append((r.offset, r.length, r.sequence_tokens))
+    assert covered == {i: sum(map(len, a)) for i, a in ids.items()}
+    short = 0
+    for pieces in by_seq.values():
+        at = 0
+        for offset, length, _ in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == pieces[0][2] <= 1024 and at & (at - 1) == 0
+        short += at < 128
+    assert short <= 3 * 7
+    steps = collections.defaultdict(set)
+    for r in rows:
+        steps[r.step_id].add((r.sequence_id, r.sequence_tokens))
+    assert all(sum(n for _, n in s) <= 16_384 and len({n for _, n in s}) == 1 for s in steps.values())
+    assert pack_documents(table(spark, []).limit(0)).count() == 0
+
+
+def test_packing_prefers_whole_pieces():
+    packer = Packer(0)
+    for doc, n in enumerate((700, 324, 500, 12, 1500, 548)):
+        packer.add(doc, bytes(4 * n))
+    packer.pack(last=True)
+    parts = collections.Counter(r[0] for r in packer.rows)
+    assert sum(r[2] for r in packer.rows) == 3584 and parts[0] == 1 and parts[1] == 1
+
+
+WORDS = {
+    "en": "the and of to in that with this from have which their would there about".split(),
+    "de": "der die und das nicht mit ein eine für auf sich auch über schön größe".split(),
+    "fr": "le la les des une est dans pour avec être où déjà très leçon élève".split(),
+    "es": "el la los una que para con más está señor niño también después año".split(),
+}
+
+
+def test_language_id_on_held_out_rows(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(400):
+        lang = rng.choice(list(WORDS))
+        rows.append((i, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randint(4, 60))), lang, "s"))
+    odd = [(1000, None, "en", "s"), (1001, "", "en", "s"), (1002, "12 34 !?", None, None), (None, "der die und das nicht", None, None), (1003, "the and " * 20_000, None, None)]
+    df = table(spark, rows + odd)
+    got = language_id.predict_languages(df).withColumn("held", language_id.held_out())
+    answers = {r.doc_id: r for r in got.collect()}
+    held = [answers[i] for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(r.held for r in held) and len(held) > 90
+    assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97
+    assert [(answers[i].lang_pred, answers[i].score) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
+    assert answers[None].lang_pred == "de" and answers[1003].lang_pred == "en"
+    assert all(0 <= float(r.score) <= 1 for r in answers.values())
+    kept = language_id.keep_identified(df)
+    assert kept.columns == df.columns and kept.count() == 402
+    unlabelled = language_id.predict_languages(df.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
+    assert language_id.predict_languages(df.limit(0)).count() == 0
+
+
+def brute_taken(rows, seed=17):
+    import hashlib
+
+    sizes = [(i, s, len((t or "").split()), t) for i, t, _, s in rows]
+    totals = collections.Counter()
+    for _, s, n, _ in sizes:
+        totals[s] += n
+    plan = {x["source"]: x for x in mixing.source_targets(list(totals.items()))}
+    out = []
+    for s, x in plan.items():
+        own = sorted((r for r in sizes if r[1] == s), key=lambda r: (hashlib.md5(f"mix-{seed}-{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[2]))
+        at = 0
+        for i, _, n, _ in own:
+            out.append((i, n, x["size"], x["target"], x["passes"] * n + max(0, min(n, x["part"] - at))))
+            at += n
+    return out
+
+
+def test_mixing_takes_what_the_targets_ask_for(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))), "en", rng.choice(("a", "a", "a", "é", "Z", None))) for i in range(300)]
+    rows += [(900, None, "en", "a"), (901, "long " * 5000, "en", "Z"), (7, "same row", "en", "é"), (7, "same row", "en", "é")]
+    plan = mixing.mix_plan(table(spark, rows), block_words=16, shard_words=500)
+    got = plan.collect()
+    assert sorted(((r.id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got), key=repr) == sorted(
+        ((a, b, c, round(d, 6), e) for a, b, c, d, e in brute_taken(rows)), key=repr)
+    assert sum(r.taken for r in got) == pytest.approx(1.5 * sum(r.size for r in got), abs=4)
+    assert all(r.taken <= 2 * r.size for r in got)
+    again = {(r.id, r.fp, r.nth): r.copies for r in mixing.mix_plan(table(spark, rows).repartition(5), block_words=16, shard_words=500).collect()}
+    assert again == {(r.id, r.fp, r.nth): r.copies for r in got}
+    assert len({c.shard for r in got for c in r.copies}) > 8
+    mixed = mixing.mix_documents(table(spark, rows), block_words=16, shard_words=500)
+    words = mixed.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+    assert words == sum(r.taken for r in got) and mixed.columns == [*table(spark, []).columns, "mix_shard"]
+
+
+def test_mixing_without_words(spark):
+    assert mixing.mix_plan(table(spark, []).limit(0)).count() == 0
+    got = mixing.mix_plan(table(spark, [(1, None, None, None), (2, " ", None, "s")])).collect()
+    assert [(r.size, r.taken) for r in got] == [(0, 0), (0, 0)]
+
+
+def test_tree_deals_every_block_once():
+    units = np.array([37, 0, 1, 400])
+    parts = [mixing.leaf_ranges(units, 4, leaf) for leaf in range(16)]
+    for s, n in enumerate(units):
+        spans = sorted((int(lo[s]), int(hi[s])) for lo, hi in parts if hi[s] > lo[s])
+        assert sum(b - a for a, b in spans) == n and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+    sizes = [int((hi - lo).sum()) for lo, hi in parts]
+    assert max(sizes) - min(sizes) <= 2
+
+
+def test_water_filling_stops_at_the_cap():
+    got = {x["source"]: x["target"] for x in mixing.source_targets([("a", 10), ("b", 1000), (None, 100)])}
+    assert got["a"] == 20 and sum(got.values()) == pytest.approx(1665) and got[None] == 200
+    assert got["b"] == pytest.approx(1445)
+
+
+def test_sharding_splits_only_what_is_too_large(spark):
+    rng = random.Random(6)
+    rows = plain([(i, "x" * rng.randint(0, 400)) for i in range(500)] + [(900, "y" * 5000), (901, None), (None, "q"), (7, "r" * 300)])
+    got = sharding.extendible_shards(table(spark, rows), limit=2000).collect()
+    assert len(got) == len(rows)
+    size, members = collections.Counter(), collections.Counter()
+    for r in got:
+        size[r.shard] += r.n_bytes
+        members[r.shard] += 1
+    assert all(n <= 2000 or members[s] == 1 for s, n in size.items())
+    assert all(r.shard_bytes == size[r.shard] and len(r.shard) == r.depth for r in got)
+    names = sorted(size)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+    for s in names:  # a shard's parent was too large
+        parent = [r for r in got if r.shard.startswith(s[:-1])]
+        assert s == "" or sum(r.n_bytes for r in parent) > 2000
+    assert sharding.extendible_shards(table(spark, []).limit(0)).count() == 0
+
+
+def test_rows_of_one_key_overflow_into_pages(spark):
+    rows = plain([(1, "x" * 100)] * 400 + [(2, "y")])
+    got = sharding.extendible_shards(table(spark, rows), limit=1000).collect()
+    pages = collections.Counter()
+    for r in got:
+        pages[r.shard, r.page] += r.n_bytes
+    assert len(got) == 401 and max(pages.values()) <= 1000
+
+
+def test_secret_scan(spark):
+    token = "9742a250774262d69ad6a867d8c64bfc3fe6ab12"
+    rows = plain([
+        (1, f'prose token = "{token}" more prose'), (2, f"commit {token} fixed it"), (3, "card 4111111111111111 and mail.88@mail2.example.com"),
+        (4, None), (5, ""), (6, 'password = "your-password-here"'), (7, f"TOKEN = \"{token.upper()}\"!! NOISE!!"), (8, "w " * 30_000 + f"api_key={token} end"),
+        (None, f"secret: {token}"), (9, "Donaudampfschifffahrtsgesellschaft thenthereandthere")])
+    got = secret_scan.scan_secrets(table(spark, rows)).collect()
+    found = {(r.doc_id, r.secret) for r in got if r.is_secret}
+    assert found == {(1, token), (7, token.upper()), (8, token), (None, token)}
+    assert next(r.word_no for r in got if r.doc_id == 8) == 30_000
+    assert {r.doc_id for r in got if not r.is_secret} >= {2, 3}
+    assert secret_scan.scan_secrets(table(spark, []).limit(0)).count() == 0
+
+
+def test_extraction_on_unseen_labelled_pages(spark):
+    field = html_extract.fit_block_field()
+    rng = random.Random(1234)
+    right = total = exact = 0
+    for _ in range(150):
+        described, want = html_extract._coded(labelled_pages.labelled_page(rng))
+        got = field.decode(field.scores(described))
+        right, total, exact = right + sum(a == b for a, b in zip(got, want)), total + len(want), exact + (got == want)
+    assert right / total > 0.98 and exact > 140
+    pages = [
+        (1, "u", None), (2, "u", ""), (3, "u", "<nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p><b>One\n two<br><p>&copy; 3</article><footer>x</footer>"),
+        (None, "u", "<script>var a='<p>no</p>'</script>"), (4, "u", "<body><article><p>" + "word " * 30_000 + "</p>"),
+        (5, "u", "<div class='sidebar'><p>Read more here.</p></div><main><p>Body text of the page.</p></main><div class='comments'><p>Nice one!</p></div>")]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, text string")
+    out = {r.page_id: r for r in html_extract.extract_main_text(df, field=field).collect()}
+    assert out[1].text == out[2].text == out[None].text == "" and out[1].n_chars == 0
+    assert out[3].text == "A & B\nOne two\n© 3" and out[3].n_chars == 17
+    assert out[4].n_chars == 5 * 30_000 - 1 and out[5].text == "Body text of the page."
+    assert html_extract.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_viterbi_and_marginals_match_enumeration():
+    rng = np.random.default_rng(8)
+    field = html_extract.BlockField({}, np.zeros((0, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    scores = rng.normal(size=(6, 2))
+    import itertools
+
+    weigh = lambda y: field.start[y[0]] + sum(scores[i, a] for i, a in enumerate(y)) + sum(field.move[a, b] for a, b in zip(y, y[1:]))
+    paths = list(itertools.product((0, 1), repeat=6))
+    assert field.decode(scores) == list(max(paths, key=weigh))
+    p = np.exp([weigh(y) for y in paths])
+    want = [sum(v for v, y in zip(p, paths) if y[i]) / p.sum() for i in range(6)]
+    assert np.allclose(field.marginals(scores)[0][:, 1], want)
+
+
+def test_blocks_survive_broken_markup():
+    blocks = html_blocks.blocks_of("<ul><li>a<li>b</ul><p>c<div>d</span></div>e &lt;x&gt;<table><tr><td>f<td>g<p>h")
+    assert [b.text for b in blocks] == ["a", "b", "c", "d", "e <x>", "f", "g", "h"]
+    assert html_blocks.blocks_of("<") and not html_blocks.blocks_of("<p></p>")

@@ -126,9 +126,10 @@ def embedding_near_dedup(
             out: list[tuple] = []
             for dim in sorted({len(v) for v in lists}):
                 at = [i for i, v in enumerate(lists) if len(v) == dim]
-                refs = matrices.get(dim)
-                if refs is None:  # no vector of this length was drawn: fixed random directions
-                    refs = _unit_rows(np.random.default_rng(SEED + dim).normal(size=(MIN_PIVOTS, dim)), dim)
+                refs = matrices.get(dim, np.empty((0, dim)))
+                if len(refs) < MIN_PIVOTS:  # too few vectors of this length were drawn: fixed random directions
+                    more = np.random.default_rng(SEED + dim).normal(size=(MIN_PIVOTS - len(refs), dim))
+                    refs = np.vstack([refs, _unit_rows(more, dim)])
                 x = _unit_rows([lists[i] for i in at], dim)
                 for i, near, unit in zip(at, nearest_pivots(x, refs, prefix), x):
                     out.append((ids[i], weights[i], dim, near.tolist(), unit.tobytes()))

@@ -241,19 +241,23 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     separated by single blanks; if ``docs`` has ``n_chars``, that follows the text.
     """
     plan = mix_plan(docs, key, text, source, **how)
-    copies = plan.filter("taken > 0").select("id", "fp", "nth", "size", F.explode("copies").alias("copy"))
+    copies = plan.filter("taken > 0").select(
+        F.col("id").alias("_id"), F.col("fp").alias("_mix_fp"), F.col("nth").alias("_mix_nth"), F.col("size").alias("_size"),
+        F.explode("copies").alias("_copy"))
     body = F.coalesce(F.col(text), F.lit(""))
     same = Window.partitionBy(key, "_fp").orderBy(source)
     rows = docs.withColumn("_fp", F.xxhash64(body)).withColumn("_nth", F.row_number().over(same).cast("bigint"))
-    out = rows.join(copies, (rows[key].eqNullSafe(copies["id"])) & (rows["_fp"] == copies["fp"]) & (rows["_nth"] == copies["nth"]))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.col("copy.words").cast("int")), " ")
-    out = out.withColumn(text, F.when(F.col("copy.words") < F.col("size"), cut).otherwise(F.col(text)))
+    match = rows[key].eqNullSafe(copies["_id"]) & (rows["_fp"] == copies["_mix_fp"]) & (rows["_nth"] == copies["_mix_nth"])
+    out = rows.join(copies, match)
+    kept = F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_copy.words").cast("int"))
+    out = out.withColumn(
+        text, F.when(F.col("_copy.words") < F.col("_size"), F.array_join(kept, " ")).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast("bigint"))
     last = plan.select(F.explode("copies.shard").alias("shard")).agg(F.max("shard")).first()[0]
     shards = (last or 0) + 1
     return (
-        out.withColumns({"mix_shard": F.col("copy.shard"), "_order": F.col("copy.order")})
+        out.withColumns({"mix_shard": F.col("_copy.shard"), "_order": F.col("_copy.order")})
         .repartition(shards, "mix_shard")
         .sortWithinPartitions("mix_shard", "_order")
         .select(*docs.columns, "mix_shard")
