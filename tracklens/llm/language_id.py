@@ -17,7 +17,7 @@ from tracklens.llm.common import on_workers
 #: Hashed character n-grams: their lengths in bytes and the number of buckets.
 GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 12
 #: The classifier is fitted on at most this many labelled documents of each language and in total.
-FIT_PER_LANGUAGE, FIT_TOTAL = 1_000, 12_000
+FIT_PER_LANGUAGE, FIT_TOTAL = 500, 4_000
 EPOCHS, COST = 12, 1.0
 UNDETERMINED = "und"
 #: Below this score a text is no language that the model knows.
@@ -44,17 +44,19 @@ def features(text: bytes) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> np.ndarray:
     """Weights (bias last) of an L2-regularised hinge-loss SVM by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
-    square = (x * x).sum(axis=1)
+    w, bias, alpha = np.zeros(x.shape[1], dtype=np.float32), 0.0, [0.0] * len(x)
+    square = (np.einsum("ij,ij->i", x, x) + 1.0).tolist()
+    signs = y.tolist()
     rng = np.random.default_rng(_SEED)
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / square[i], 0.0), cost)
+            new = min(max(alpha[i] - (signs[i] * (float(w @ x[i]) + bias) - 1) / square[i], 0.0), cost)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * signs[i]
+                w += np.float32(step) * x[i]
+                bias += step
                 alpha[i] = new
-    return w
+    return np.append(w.astype(np.float64), bias)
 
 
 def families_of(languages: list[str], centroids: np.ndarray) -> list[list[str]]:
