@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklens.operators import clips, intervals, split
+from tracklens.operators import clips, intervals, lookups, split
 
 TRACKS = "camera_id string, video_id string, frame_begin bigint, frame_end bigint, label string, frames_count bigint"
 
@@ -75,3 +75,11 @@ def test_too_few_random_frames_is_an_error(spark):
     assert intervals.random_frames(videos, 2, 1).first().frames == [1, 2]
     with pytest.raises(Exception, match="fewer frames"):
         intervals.random_frames(videos, 3, 1).collect()
+
+
+def test_lookup_finds_one_row_or_fails(spark):
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "name string, id int")
+    assert tuple(lookups.lookup_one(rows, "name", "a", ["id"]).first()) == ("a", 1)
+    with pytest.raises(Exception, match="no row with name = z"):
+        lookups.lookup_one(rows, "name", "z").collect()
+    assert lookups.pick_one(rows, 1, ["id"]).count() == 1

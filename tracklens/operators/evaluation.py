@@ -18,6 +18,24 @@ METRICS = [
 GENERAL_SCHEMA = ", ".join(f"{m} {'double' if m in METRICS[10:] else 'bigint'}" for m in METRICS)
 
 
+def mot_rows(lines: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """Label lines as pixel boxes ``by, frame, id, left, top, w, h, conf``.
+
+    ``lines`` holds normalised centre boxes (and ``track_id``, ``conf`` for predictions; true boxes have id 1 and confidence 1);
+    ``sizes`` image sizes ``by, frame, width, height``, those with a null frame standing for all frames without one.
+    """
+    own = sizes.filter("frame is not null").select(*by, "frame", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    usual = sizes.filter("frame is null").groupBy(*by).agg(F.max("width").alias("_uw"), F.max("height").alias("_uh"))
+    rows = lines.join(own, [*by, "frame"], "left").join(usual, by, "left")
+    width, height = F.coalesce("_w", "_uw"), F.coalesce("_h", "_uh")
+    ident = F.col("track_id") if "track_id" in lines.columns else F.lit(1).cast("bigint")
+    conf = F.col("conf") if "conf" in lines.columns else F.lit(1.0)
+    xc, yc, w, h = (F.col(c) for c in ("xc", "yc", "w", "h"))
+    return rows.select(
+        *by, "frame", ident.alias("id"), ((xc - w / 2) * width).alias("left"), ((yc - h / 2) * height).alias("top"),
+        (w * width).alias("w"), (h * height).alias("h"), conf.alias("conf"))
+
+
 def match_boxes(truth: DataFrame, predictions: DataFrame, by: list[str], iou_min: float = 0.5) -> DataFrame:
     """One row per frame with a true box, a predicted box or both, their overlap, and whether it is a hit."""
     t = truth.select(*by, "frame", *(F.col(c).alias(f"t_{c}") for c in ("left", "top", "w", "h")), F.lit(True).alias("has_t"))

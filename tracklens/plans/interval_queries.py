@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklens.functions import paths
 from tracklens.functions.numbers import frames_between, ratio
-from tracklens.operators import clips, evaluation, intervals, labels, split
+from tracklens.operators import clips, evaluation, intervals, labels, lookups, split
 from tracklens.plans.adapters import adapter, oracle, table
 from tracklens.sources.sinks import missing_only
 
@@ -319,3 +319,8 @@ QUERIES["relaxed_union"] = lambda spark, d: adapter(spark, d, "a1").select("vide
 ORACLE_SQL["relaxed_union"] = oracle("""
     SELECT video_id, CAST(frames_count AS DOUBLE) AS n, NULL AS label FROM a1 UNION ALL
     SELECT video_id, CAST(frame_end AS DOUBLE), label FROM a2""", "a1", "a2")
+QUERIES["lookup_one"] = lambda spark, d: lookups.lookup_one(table(spark, d, "nation"), "n_nationkey", 7)
+ORACLE_SQL["lookup_one"] = "SELECT * FROM nation WHERE n_nationkey = 7"
+QUERIES["pick_one"] = lambda spark, d: lookups.pick_one(adapter(spark, d, "a1").select("camera_id", "video_id"), SEED, VIDEO)
+ORACLE_SQL["pick_one"] = oracle("""
+    SELECT camera_id, video_id FROM a1 ORDER BY md5('42|' || camera_id || '|' || video_id), camera_id, video_id LIMIT 1""", "a1")

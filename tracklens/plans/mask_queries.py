@@ -223,6 +223,15 @@ def box_lines(spark, d):
     return boxes.box_lines(targets, keyframes, ["track_id"])
 
 
+@query("mot_rows", _LINES + """
+    SELECT video_id, frame, 1 AS id, (xc - w / 2) * 160 AS "left", (yc - h / 2) * 120 AS top, w * 160 AS w, h * 120 AS h, 1.0::DOUBLE AS conf FROM lines""", "a5")
+def mot_rows(spark, d):
+    lines = _lines(spark, d)
+    sizes = lines.select("video_id").distinct().select(
+        "video_id", F.lit(None).cast("bigint").alias("frame"), F.lit(_W).alias("width"), F.lit(_H).alias("height"))
+    return evaluation.mot_rows(lines, sizes, ["video_id"])
+
+
 _BY = ["video_id", "cage_id"]
 _MATCHED = """
     g AS (SELECT video_id, cage_id, frame, has_gt, has_pred, CASE WHEN has_pred THEN pred_id END AS pred_id,
