@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,18 @@ def on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
 
 
+#: Memos of this worker process by operator, with what empties them.
+_MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def hold_memo(name: str, clear: Callable[[], None]) -> None:
+    """Called by a task before it uses a process-wide memo: empties those of other operators, so that a
+    worker that serves several stages holds one at a time."""
+    for other in [n for n in _MEMOS if n != name]:
+        _MEMOS.pop(other)()
+    _MEMOS[name] = clear
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from tracklens.llm.common import hold_memo
+
 U64 = np.uint64
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 #: Shingles that go through the permutation at once; the buffers stay in the processor's cache.
 BLOCK_SHINGLES = 1 << 15
 
@@ -42,6 +44,8 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if len(_MEMO) > MEMO_WORDS:
         _MEMO.clear()
+    if not _MEMO:
+        hold_memo("shingles", _MEMO.clear)
     hashes = np.fromiter(map(_MEMO.__getitem__, words), dtype=np.uint64, count=n)
     wide = min(width, n)
     out = hashes[: n - wide + 1].copy()

@@ -7,11 +7,13 @@ import re
 
 import numpy as np
 
+from tracklens.llm.common import hold_memo
+
 #: A blank between two characters that are not white space always starts a new pre-token of the
 #: byte-level pattern, whatever surrounds it: no alternative of that pattern reaches over it.
 _STABLE = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 TOKENIZER_FILE = "byte_bpe_50k.json"
-MEMO_UNITS = 800_000
+MEMO_UNITS = 400_000
 GROUP_PIECES = 20_000
 HUGE_CHARS = 65_536
 CHUNK_CHARS = 32_768
@@ -28,6 +30,7 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
 
 def encoder(path: str) -> "UnitEncoder":
     """One encoder for each worker process and file, kept from task to task."""
+    hold_memo("tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = UnitEncoder(path)
     return _ENCODERS[path]
