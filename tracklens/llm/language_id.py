@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import on_workers
+from tracklens.llm.common import hold_memo, on_workers
 
 #: Hashed character n-grams: their lengths in bytes and the number of buckets.
 GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 12
@@ -185,6 +185,7 @@ def predict_languages(
     model = model or fit_language_model(docs, key, text, lang)
 
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hold_memo("language", lambda: None)
         for batch in batches:
             names, scores = [], []
             for t in batch.to_pylist():
@@ -197,7 +198,8 @@ def predict_languages(
             yield pa.StructArray.from_arrays(
                 [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
-    udf = F.arrow_udf("struct<lang_pred: string, score: double>")(guess)
+    # not to be evaluated again, in a second worker, by a filter on the result
+    udf = F.arrow_udf("struct<lang_pred: string, score: double>")(guess).asNondeterministic()
     out = docs.withColumn("_guess", udf(F.col(text)))
     return out.withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
 

@@ -13,7 +13,7 @@ from tracklens.llm.common import hold_memo
 #: byte-level pattern, whatever surrounds it: no alternative of that pattern reaches over it.
 _STABLE = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 TOKENIZER_FILE = "byte_bpe_50k.json"
-MEMO_UNITS = 400_000
+MEMO_UNITS = 250_000
 GROUP_PIECES = 20_000
 HUGE_CHARS = 65_536
 CHUNK_CHARS = 32_768
