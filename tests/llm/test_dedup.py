@@ -190,3 +190,20 @@ def test_pivot_recall_near_the_threshold():
     a, b = nearest_pivots(v, pivots, 10), nearest_pivots(w, pivots, 10)
     shared = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2))
     assert (shared >= 2).mean() > 0.99
+
+
+def test_links_of_a_dense_group_against_brute_force(spark):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    group = rng.choice(10_000, 3333, replace=False)
+    x[group] = math.sqrt(0.98) * x[group[0]] + math.sqrt(0.02) * x[group]
+    x = x.astype(np.float32)
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    many = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert many[group].min() == 3332
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r for r in embedding_near_dedup(df).collect()}
+    assert [got[i].n_links for i in range(10_000)] == many.tolist()
+    assert {got[i].component_id for i in group.tolist()} == {group.min()}

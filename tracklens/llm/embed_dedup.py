@@ -17,6 +17,8 @@ COSINE = 0.95
 #: Nearest pivots kept of each vector, and how many of them a candidate pair must share.
 PREFIX, SHARED = 10, 2
 MIN_PIVOTS, MAX_PIVOTS = 64, 4096
+#: No two pivots are closer than this cosine, so that a dense group is ordered by few of them.
+PIVOT_COSINE = 0.8
 #: Vectors of one inverted list that meet another such portion in one row.
 PORTION = 512
 SEED = 23
@@ -33,6 +35,19 @@ def _unit_rows(lists: list, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def spread_pivots(pivots: np.ndarray, cosine: float = PIVOT_COSINE) -> np.ndarray:
+    """The rows of ``pivots`` left when each that is closer than ``cosine`` to an earlier kept one is dropped.
+
+    Many pivots inside one group of near copies would be ordered by noise, and its pairs would share none.
+    """
+    keep, free = [], np.ones(len(pivots), dtype=bool)
+    for i in range(len(pivots)):
+        if free[i]:
+            keep.append(i)
+            free &= pivots @ pivots[i] <= cosine
+    return pivots[keep]
+
+
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The first ``prefix`` places of each row's permutation of pivots, nearest first."""
     near = x @ pivots.T
@@ -87,8 +102,8 @@ def embedding_near_dedup(
 ) -> DataFrame:
     """Links vectors of cosine similarity ``cosine`` or more and labels their components.
 
-    A bounded sample of the vectors themselves (``pivots``, by default :func:`pivot_count`) are the
-    pivots. Every vector is described by its ``prefix`` nearest pivots in order and enters their
+    A bounded sample of the vectors themselves (``pivots``, by default :func:`pivot_count`), thinned
+    until no two are close (:func:`spread_pivots`), are the pivots. Every vector is described by its ``prefix`` nearest pivots in order and enters their
     inverted lists; pairs that share ``shared`` pivots or more are candidates and are verified in
     double precision. Lists are dealt out in portions of about ``PORTION`` vectors and every two
     portions of a list meet in a row of their own, so a large group spreads over many tasks; a task
@@ -118,7 +133,7 @@ def embedding_near_dedup(
     by_dim: dict[int, list] = {}
     for (v,) in sample:
         by_dim.setdefault(len(v), []).append(v)
-    matrices = {d: _unit_rows(vs, d) for d, vs in by_dim.items()}
+    matrices = {d: spread_pivots(_unit_rows(vs, d)) for d, vs in by_dim.items()}
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +142,7 @@ def embedding_near_dedup(
             for dim in sorted({len(v) for v in lists}):
                 at = [i for i, v in enumerate(lists) if len(v) == dim]
                 refs = matrices.get(dim, np.empty((0, dim)))
-                if len(refs) < MIN_PIVOTS:  # too few vectors of this length were drawn: fixed random directions
+                if len(refs) < MIN_PIVOTS:  # too few vectors of this length were drawn or kept: fixed random directions
                     more = np.random.default_rng(SEED + dim).normal(size=(MIN_PIVOTS - len(refs), dim))
                     refs = np.vstack([refs, _unit_rows(more, dim)])
                 x = _unit_rows([lists[i] for i in at], dim)
