@@ -49,7 +49,7 @@ def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "word_no", "n_chars", "core_sha256", "score", "is_secret")
+    return found.select("doc_id", "word_no", "run_no", "n_chars", "core_sha256", "score", "is_secret")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

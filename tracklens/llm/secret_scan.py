@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 RUN = r"[A-Za-z0-9_+/.\-]"
 MIN_LONG, MIN_NAMED = 16, 8
+#: A run of key characters; equal signs pad it unless a value follows them.
+KEY_RUN = rf"{RUN}{{{MIN_NAMED},}}(={{1,2}}(?![=>\"'(\[{{<$]*{RUN})(?!=))?"
+#: What ends a field inside a word, and how many characters of a word's head and of the words before its later runs see.
+FIELD_ENDS, HEAD = ",;&{}", 200
 # Words that name a credential, words that name something harmless, path parts.
 SECRET_WORDS = (
     "token|secret|passw|passwd|pwd|api[_-]?key|apikey|auth|credential|private[_-]?key|access[_-]?key|"
@@ -47,11 +51,17 @@ def _classes(core: Column) -> Column:
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """Every word that may hold a secret: ``id, word_no, core, before, prefix, after, path``.
+    """Every run of key characters that may hold a secret:
+    ``id, word_no, run_no, core, before, prefix, after, path``.
 
-    ``core`` is the last run of key characters of a word. It is a candidate with 16 characters or
-    more and a digit or both letter cases in it, or with 8 or more where a word that names a
-    credential and an assignment sign stand right before it.
+    A word may hold any number of runs of ``MIN_NAMED`` key characters or more, counted by ``run_no``; each is
+    judged alone. It is a candidate with 16 characters or more and a digit or both letter cases in it, or with
+    8 or more where a word that names a credential and an assignment sign stand right before it.
+
+    ``prefix`` of the first run is all of the word before it. A later run has the field that it stands in,
+    from the run before it on; a field without an assignment sign (an item of a list) follows the word's head, and only a
+    field with one hides the words before, of which later runs see the last ``HEAD`` characters. ``after`` is the rest of the field, or the next word if the word ends
+    without more key characters. So the columns of all runs of a word are together no longer than a few words.
     """
     words = F.split(F.col("text"), SPACE)
     long_run = rf"{RUN}{{{MIN_LONG},}}"
@@ -72,16 +82,39 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         F.explode(F.transform(possible, lambda i: F.struct(
             i.alias("word_no"), F.get(w, i).alias("word"), F.when(i > 0, before(i)).otherwise("").alias("before"),
             F.coalesce(F.get(w, i + 1), F.lit("")).alias("after")))).alias("c"))
-    last_run = rf"({RUN}{{{MIN_NAMED},}}={{0,2}})[^A-Za-z0-9_+/.\-=]*$"
-    found = found.select("id", "path", "c.*").withColumn("core", F.regexp_extract("word", last_run, 1))
-    found = found.withColumn("core", F.regexp_replace("core", r"^[.\-/]+|[.\-/]+$", ""))
-    found = found.withColumn("prefix", F.expr("substring_index(word, core, 1)"))
+    # A line feed is in no word: it marks where runs begin and end, so pieces 1, 3, 5 ... from 0 are the runs.
+    found = found.select("id", "path", "c.*").withColumn(
+        "pieces", F.split(F.regexp_replace("word", KEY_RUN, "\n$0\n"), "\n")).withColumns(
+        {"head": F.right(F.get("pieces", F.lit(0)), F.lit(HEAD)), "close": F.right("before", F.lit(HEAD))})
+    pieces = F.col("pieces")
+    found = found.filter(F.size(pieces) > 1).select(
+        "id", "path", "word_no", "head",
+        F.explode(F.transform(
+            F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda p: F.struct(
+                ((p - 1) / 2).cast("int").alias("run_no"), F.get(pieces, p).alias("run"),
+                F.when(p == 1, F.col("before")).otherwise(F.col("close")).alias("before"),
+                F.when(p == F.size(pieces) - 2, F.col("after")).otherwise("").alias("after"),
+                F.array_join(F.slice(pieces, F.greatest(p - 2, F.lit(1)), F.least(p, F.lit(3))), "").alias("ahead"),
+                F.concat(F.get(pieces, p + 1), F.coalesce(F.get(pieces, p + 2), F.lit(""))).alias("tail")))).alias("r")
+    ).select("id", "path", "word_no", "head", "r.*")
+    own = F.regexp_extract("ahead", rf"[^{FIELD_ENDS}]*$", 0)
+    first, whole = F.col("run_no") == 0, F.length(own) == F.length("ahead")
+    assigned = own.rlike("[=:]")
+    core = F.regexp_replace("run", r"^[.\-/]+|[.\-/]+$", "")
+    found = found.select(
+        "id", "path", "word_no", "run_no", core.alias("core"),
+        F.when(first | whole | ~assigned, F.col("before")).otherwise("").alias("before"),
+        F.concat(
+            F.when(first, F.col("ahead")).when(assigned, own).otherwise(F.concat("head", own)),
+            F.regexp_extract("run", r"^[.\-/]*", 0)).alias("prefix"),
+        F.when(F.col("tail").rlike(r"[A-Za-z0-9_+/.\-=]"), F.regexp_extract("tail", rf"^[^{FIELD_ENDS}]*", 0))
+        .otherwise(F.col("after")).alias("after"))
     near = F.concat_ws(" ", "before", "prefix")
     mixed = F.col("core").rlike("[0-9]") | (F.col("core").rlike("[a-z]") & F.col("core").rlike("(?<!^)[A-Z]"))
     return found.filter(
         (F.length("core") >= MIN_NAMED)
         & (((F.length("core") >= MIN_LONG) & mixed) | near.rlike(named + r"[\"'(\[]*$") | near.rlike(named + r"\s*[\"'(\[]*$"))
-    ).select("id", "word_no", "core", "before", "prefix", "after", "path")
+    ).select("id", "word_no", "run_no", "core", "before", "prefix", "after", "path")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -119,7 +152,8 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def labelled_findings(spark: SparkSession, n: int = FIT_FINDINGS, seed: int = SEED) -> DataFrame:
     """Findings with a label, made by rule: credentials of usual shapes where code and notes hold them, and
-    what scanners take for them (digests, ids, numbers, addresses, placeholders, long words)."""
+    what scanners take for them (digests, ids, numbers, addresses, placeholders, long words). To these ``n`` a tenth
+    is added of what stands inside addresses."""
     rng = random.Random(seed)
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     draw = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
@@ -177,6 +211,16 @@ def labelled_findings(spark: SparkSession, n: int = FIT_FINDINGS, seed: int = SE
             core, path = draw(alnum, rng.randint(16, 40)), rng.choice(test_paths)
             before, prefix = f"{rng.choice(names)} =", '"'
         rows.append((core, before.strip(), prefix, after.split(" ")[0], path, 0.0))
+    rng = random.Random(seed + 1)  # the helpers draw from this one now
+    for _ in range(n // 10):  # inside addresses: passwords of connection strings, and ports with paths
+        scheme, path = rng.choice("postgres mysql redis mongodb amqp http https ftp".split()), rng.choice(paths)
+        if rng.random() < 0.5:
+            core = rng.choice((draw(hexa, rng.choice((16, 20, 32, 40))), draw(alnum, rng.randint(16, 40)), draw(alnum + "_-", rng.randint(16, 24))))
+            prefix = f"{scheme}://{rng.choice((word(), word(), ''))}:"
+            rows.append((core, plain(), prefix, f"@{word()}{rng.choice(('', '.' + word()))}{rng.choice((':5432', ''))}/{word()}", path, 1.0))
+        else:
+            core = f"{rng.randint(80, 9999)}/{word()}{word()}/{word()}{rng.choice(('', '.html', '/' + str(rng.randint(1, 99999))))}"
+            rows.append((core, plain(), f"{scheme}://{word()}:", rng.choice(("", plain().split(" ")[0])), path, 0.0))
     schema = "core string, before string, prefix string, after string, path string, label double"
     return spark.createDataFrame(rows, schema)
 
@@ -197,9 +241,9 @@ def scan_secrets(
     model: RandomForestClassificationModel | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per candidate: ``key, word_no, secret, n_chars, score, is_secret, core_sha256``.
+    """One row per candidate: ``key, word_no, run_no, secret, n_chars, score, is_secret, core_sha256``.
 
-    ``word_no`` counts the text's words from 0; ``score`` is the forest's probability and ``is_secret`` tells
+    ``word_no`` counts the text's words from 0 and ``run_no`` the word's runs of key characters; ``score`` is the forest's probability and ``is_secret`` tells
     whether it reaches ``threshold``. A narrow pass over whole texts without any shuffle.
 
     Null and empty texts have no candidates; null keys and repeated rows are scanned like others; without
@@ -209,6 +253,7 @@ def scan_secrets(
     found = with_features(candidates(docs, key, text, path))
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
     return scored.withColumn("score", vector_to_array("probability")[1]).select(
-        F.col("id").alias(key), F.col("word_no").cast("bigint").alias("word_no"), F.col("core").alias("secret"),
+        F.col("id").alias(key), F.col("word_no").cast("bigint").alias("word_no"), F.col("run_no").cast("bigint").alias("run_no"),
+        F.col("core").alias("secret"),
         F.length("core").cast("bigint").alias("n_chars"), "score", (F.col("score") >= threshold).alias("is_secret"),
         F.sha2(F.col("core").cast("binary"), 256).alias("core_sha256"))
