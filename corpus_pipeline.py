@@ -17,7 +17,7 @@ from tracklens.llm.packing import pack_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no known language; ``lang`` becomes the predicted one."""
+    """Drops documents without letters; ``lang`` becomes the predicted one, of the known languages the nearest."""
     return keep_identified(docs)
 
 

@@ -130,6 +130,14 @@ def test_language_id_on_held_out_rows(spark):
     assert language_id.predict_languages(df.limit(0)).count() == 0
 
 
+def test_language_stage_keeps_unknown_languages_as_documented(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(WORDS[x], k=20)), x, "s") for i, x in enumerate(sorted(WORDS) * 30)]
+    unseen = table(spark, [*rows, (2000, "добрый день всем читателям", None, "s"), (2001, "12 34", None, "s")])
+    stays = {r.doc_id: r.lang for r in language_id.keep_identified(unseen).filter("doc_id >= 2000").collect()}
+    assert set(stays) == {2000} and stays[2000] in WORDS
+
+
 def brute_taken(rows, seed=17):
     import hashlib
 

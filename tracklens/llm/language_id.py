@@ -20,7 +20,8 @@ GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 12
 FIT_PER_LANGUAGE, FIT_TOTAL = 500, 4_000
 EPOCHS, COST = 12, 1.0
 UNDETERMINED = "und"
-#: Below this score a text is no language that the model knows.
+#: Rows below this score are dropped. With few languages hardly any is: every decision's factor is 0.5 or more, but
+#: for a winner that lost a duel.
 MIN_SCORE = 0.2
 _LETTER = re.compile(r"[^\W\d_]")
 _SEED = 11
@@ -205,9 +206,11 @@ def predict_languages(
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows whose language is identified, ``lang`` being the predicted one; other columns as they were.
+    """The rows that have letters, ``lang`` being the predicted one; other columns as they were.
 
-    Rejected are ``und`` (null texts, texts without letters) and scores below ``MIN_SCORE``.
+    Rejected are ``und`` (null texts, texts without letters, everything if no row was labelled) and scores below
+    ``MIN_SCORE``, which need a cycle of lost duels. The score compares known languages only, so a text in an unknown
+    language is not recognised as such: it stays, as the known language nearest to it.
     """
     found = predict_languages(docs, None, key, text, lang)
     rows = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE))
