@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklens.llm import html_blocks, html_extract, labelled_pages, language_id, mixing, secret_scan, sharding
+from tracklens.llm import html_blocks, html_extract, labelled_pages, language_id, mixing, queries, secret_scan, sharding
 from tracklens.llm.packing import Packer, pack_documents
 from tracklens.llm.token_counts import token_counts
 from tracklens.llm.tokens import UnitEncoder, tokenizer_path
@@ -224,6 +224,20 @@ def test_rows_of_one_key_overflow_into_pages(spark):
     assert len(got) == 401 and max(pages.values()) <= 1000
 
 
+def test_large_rows_of_one_key_have_pages_of_their_own(spark, tmp_path):
+    rows = plain([(1, "x" * 450)] * 200 + [(1, "x" * 900)] * 200 + [(1, "x" * 1200)])
+    got = sharding.extendible_shards(table(spark, rows), limit=1000).collect()
+    pages, members = collections.Counter(), collections.Counter()
+    for r in got:
+        pages[r.page] += r.n_bytes
+        members[r.page] += 1
+    assert len(got) == 401 and all(n <= 1000 or members[p] == 1 for p, n in pages.items())
+    assert all(r.shard_bytes == pages[r.page] for r in got)
+    table(spark, plain([(1, "x" * 3_000_000)] * 3)).write.parquet(str(tmp_path / "documents.parquet"))
+    shards = [(r.shard, r.shard_bytes) for r in queries.op6_extendible_sharding(spark, str(tmp_path)).collect()]
+    assert len(set(shards)) == len({s for s, _ in shards}) == 3
+
+
 def test_secret_scan(spark):
     token = "9742a250774262d69ad6a867d8c64bfc3fe6ab12"
     rows = plain([

@@ -44,7 +44,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extendible_shards(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes")
+    name = F.when(F.col("page") > 0, F.concat_ws("-", "shard", "page")).otherwise(F.col("shard"))
+    return found.select("doc_id", "n_bytes", name.alias("shard"), "depth", "shard_bytes")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,15 +94,17 @@ def _pages(rows: DataFrame, limit: int, chains: int = 64) -> DataFrame:
 
     Rows go to ``chains`` chains by random salt; in each chain bytes add up row by row and a new page
     begins with every row that would begin in the next half limit, so a page of rows of at
-    most half the limit holds at most the limit.
+    most half the limit holds at most the limit. Larger rows have odd pages of their own, the others even ones.
     """
     from pyspark.sql import Window
 
     salted = rows.withColumn("chain", F.pmod(F.xxhash64("hash", "n_bytes", F.monotonically_increasing_id()), F.lit(chains)))
-    before = F.sum("n_bytes").over(
-        Window.partitionBy("hash", "chain").orderBy("n_bytes", "id").rowsBetween(Window.unboundedPreceding, -1))
+    chain = Window.partitionBy("hash", "chain").orderBy("n_bytes", "id")  # larger rows last
+    before = F.sum("n_bytes").over(chain.rowsBetween(Window.unboundedPreceding, -1))
     half = max(1, limit // 2)
-    paged = salted.withColumn("page", (F.coalesce(before, F.lit(0)) / half).cast("bigint") * chains + F.col("chain"))
+    place = F.when(F.col("n_bytes") > half, 2 * F.row_number().over(chain).cast("bigint") + 1).otherwise(
+        2 * (F.coalesce(before, F.lit(0)) / half).cast("bigint"))
+    paged = salted.withColumn("page", place * chains + F.col("chain"))
     size = paged.groupBy("hash", "page").agg(F.sum("n_bytes").alias("shard_bytes"))
     return paged.join(size, ["hash", "page"]).select(
         "id", "n_bytes", F.lpad(F.conv(F.col("hash").cast("string"), 10, 2), HASH_BITS, "0").alias("shard"),
