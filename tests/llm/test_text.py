@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracklens.llm import html_blocks, html_extract, labelled_pages, language_id, mixing, queries, secret_scan, sharding
 from tracklens.llm.packing import Packer, pack_documents
 from tracklens.llm.token_counts import token_counts
-from tracklens.llm.tokens import UnitEncoder, tokenizer_path
+from tracklens.llm.tokens import TextEncoder, tokenizer_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, start bigint, score string"
 PIECES = ["é.", "x, ", "a.", "'s.", "1.", "a", "b", " ", "  ", "\n", "\t", "é", "22", "'s", "don't", "<|endoftext|>", "!", "...",
@@ -29,23 +29,45 @@ def plain(rows):
 
 @pytest.fixture(scope="module")
 def enc():
-    return UnitEncoder(tokenizer_path(), memo_units=400)
+    return TextEncoder(tokenizer_path())
 
 
 def reference_ids(enc, text):
-    return enc.tokenizer.encode(text, add_special_tokens=False).ids
+    return enc.library.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_and_overlap_counts_match_the_library(enc):
     rng = random.Random(0)
     for _ in range(40):
         texts = ["".join(rng.choices(PIECES, k=rng.randint(0, 40))) for _ in range(40)]
-        for text, got in zip(texts, enc.id_bytes(texts)):
+        for text in texts:
             want = reference_ids(enc, text)
-            assert np.frombuffer(got, "<u4").tolist() == want, text
+            assert np.frombuffer(enc.id_bytes(text), "<u4").tolist() == want, text
             assert enc.count_by_overlap(text, chunk=rng.randint(3, 20), overlap=rng.randint(1, 9)) == len(want), text
 
 
+def test_both_libraries_agree_on_every_character_and_token(enc):
+    assert enc.ranked is not None
+    letters = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 and i % 7 < (7 if i < 0x30000 else 1)]
+    tokens = [enc.library.decode([i]) for i in range(50_256)]
+    for texts in ([f"a{c}a 1{c}1 !{c} {c}  {c} x" for c in letters], [t for t in tokens if t and "\ufffd" not in t]):
+        for at in range(0, len(texts), 4000):
+            some = texts[at : at + 4000]
+            found = enc.library.encode_batch_fast(some, add_special_tokens=False)
+            assert [f.ids for f in found] == [enc.ranked.encode_ordinary(t) for t in some]
+    slow = TextEncoder(tokenizer_path(), ranked=False)
+    for text in ("", "a <|endoftext|> b", " " * 300_000 + "x", "\n" * 12_000, "ab" * 200_000):
+        assert enc.ids(text) == slow.ids(text) == reference_ids(enc, text)
+        assert enc.count(text, len(text)) == len(reference_ids(enc, text))
+
+
+def test_other_tokenizer_files_take_the_library(enc):
+    import public_tokenizers
+
+    other = TextEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.ranked is None and other.ids("Some words") == other.library.encode("Some words", add_special_tokens=False).ids
+
+
 def test_huge_texts_without_stable_blanks_widen_the_overlap(enc):
     for text in ("ab1" * 30_000 + " x", "word " * 20_000, "\n" * 70_000):
         assert enc.count_by_overlap(text, chunk=1000, overlap=16) == len(reference_ids(enc, text))

@@ -21,7 +21,7 @@ BLOCK_IDS = 1 << 20
 #: Tokens of one training step: as many sequences of one tier as make up this number.
 STEP_TOKENS = 16_384
 END_ID = 0
-#: Texts that are encoded together.
+#: Texts that are held as Python strings at once.
 BATCH = 256
 _TASK_BITS = 36
 
@@ -213,8 +213,8 @@ def pack_documents(
 
         for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             doc_type = batch.column(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.id_bytes(batch.column(1).to_pylist())):
-                packer.add(doc, ids + end)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                packer.add(doc, enc.id_bytes(text) + end)
                 if packer.held >= block_ids:
                     packer.pack()
                     yield out()

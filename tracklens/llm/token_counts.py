@@ -13,7 +13,7 @@ from tracklens.llm.common import on_workers
 from tracklens.llm.tokens import encoder, tokenizer_path
 
 LIMIT = 512
-#: Texts that are encoded together.
+#: Texts that are held as Python strings at once.
 BATCH = 256
 
 
@@ -22,8 +22,8 @@ def token_counts(
 ) -> DataFrame:
     """``key, n_bytes, n_tokens, over_limit`` of every row, in one narrow pass.
 
-    Texts of more than ``tokens.HUGE_CHARS`` characters are encoded as overlapping chunks that
-    are spliced at stable boundaries (:meth:`UnitEncoder.count_by_overlap`); shorter ones at once.
+    Texts of more than ``tokens.HUGE_BYTES`` bytes are encoded as overlapping chunks that
+    are spliced at stable boundaries (:meth:`TextEncoder.count_by_overlap`); shorter ones at once.
     Either way the count is the library's for the whole text: no special tokens are added, strings
     of special tokens inside a text are handled as the library does by default, nothing is cut.
 
@@ -37,12 +37,10 @@ def token_counts(
         enc = encoder(path)
         for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             texts = batch.column(1)
+            sizes = pc.cast(pc.binary_length(texts), pa.int64())
+            counts = [enc.count(t, n) for t, n in zip(texts.to_pylist(), sizes.to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pc.cast(pc.binary_length(texts), pa.int64()),
-                    pa.array(enc.counts(texts.to_pylist()), pa.int64()),
-                ],
+                [batch.column(0), sizes, pa.array(counts, pa.int64())],
                 names=["id", "n_bytes", "n_tokens"],
             )
 
