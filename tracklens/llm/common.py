@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of results whose tables are still read lazily; removed when the driver exits.
-_RESULTS: dict[str, object] = {}
+#: The temporary folder of local sessions without ``spark.checkpoint.dir``.
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _RESULTS.setdefault("own", tempfile.mkdtemp(prefix="spark-tracklens-", dir="/tmp"))
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spark-tracklens-", dir="/tmp"))
+    return _OWN[0]
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -39,17 +43,35 @@ def on_workers(spark: SparkSession) -> None:
 _MEMOS: dict[str, Callable[[], None]] = {}
 
 
-def hold_memo(name: str, clear: Callable[[], None]) -> None:
+def hold_memo(name: str, clear: Callable[[], None] = lambda: None) -> None:
     """Called by a task before it uses a process-wide memo: empties those of other operators, so that a
-    worker that serves several stages holds one at a time."""
-    for other in [n for n in _MEMOS if n != name]:
+    worker that serves several stages holds one at a time, and gives their memory back to the system."""
+    others = [n for n in _MEMOS if n != name]
+    for other in others:
         _MEMOS.pop(other)()
     _MEMOS[name] = clear
+    if others:
+        release_memory()
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def release_memory() -> None:
+    """Gives what this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
+def _filesystem(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, jpath = _filesystem(spark, path)
+    fs.delete(jpath, True)
 
 
 class Workspace:
@@ -57,7 +79,8 @@ class Workspace:
 
     ``put`` writes a table as Parquet into the shared folder and reads it back, which cuts the
     lineage so that a lost executor costs one stage. ``result`` does so for what the operator
-    returns and then drops the others.
+    returns and then drops the others. What is left is removed when the driver's JVM ends, whether or
+    not the session was stopped before.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -71,6 +94,9 @@ class Workspace:
         self.n += 1
         path = f"{self.root}/{self.n:02d}-{name}"
         df.write.parquet(path)
+        if self.n == 1:
+            fs, root = _filesystem(self.spark, self.root)
+            fs.deleteOnExit(root)
         self.tables.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -83,17 +109,4 @@ class Workspace:
     def result(self, df: DataFrame) -> DataFrame:
         out = self.put(df, "result")
         self.drop("result")
-        _RESULTS[self.root] = self.spark
         return out
-
-
-@atexit.register
-def _clear() -> None:
-    for root, spark in _RESULTS.items():
-        try:
-            if root == "own":
-                continue
-            if spark.sparkContext._jsc is not None:
-                delete(spark, root)
-        except Exception:  # noqa: BLE001  the session may be gone, which leaves nothing to do
-            pass

@@ -9,6 +9,8 @@ from array import array
 
 import numpy as np
 
+from tracklens.llm.common import hold_memo
+
 #: A blank between two characters that are not white space always starts a new pre-token of the
 #: byte-level pattern, whatever surrounds it: no alternative of that pattern reaches over it.
 _STABLE = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
@@ -34,6 +36,7 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
 
 def encoder(path: str) -> "TextEncoder":
     """One encoder for each worker process and file, kept from task to task."""
+    hold_memo("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
