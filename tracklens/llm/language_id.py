@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +22,6 @@ UNDETERMINED = "und"
 #: Rows below this score are dropped. With few languages hardly any is: every decision's factor is 0.5 or more, but
 #: for a winner that lost a duel.
 MIN_SCORE = 0.2
-_LETTER = re.compile(r"[^\W\d_]")
 _SEED = 11
 
 
@@ -140,6 +138,11 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; superscripts, fractions and Roman numeral signs are none."""
+    return any(map(str.isalpha, text))
+
+
 def _lowered(text: str) -> bytes:
     return text.lower().encode()
 
@@ -147,28 +150,30 @@ def _lowered(text: str) -> bytes:
 def fit_language_model(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Fits on a bounded sample of the labelled, not held-out rows, drawn by hash.
 
-    Each language gets the share of ``FIT_PER_LANGUAGE`` documents (``FIT_TOTAL`` at most in all, so
-    the driver holds no more than ``FIT_TOTAL`` feature vectors); the features are made by the tasks.
+    Each language gets the share of ``FIT_PER_LANGUAGE`` documents (about ``FIT_TOTAL`` in all), and at least
+    the one with the smallest hash, so that no language is left out; the tasks make the features and the
+    driver gets one row per language and a vector of fixed size per drawn document, no texts.
     """
     on_workers(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
-        ~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = dict(rows.groupBy("lang").count().collect())
+        ~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    ).withColumn("drawn", F.pmod(F.xxhash64(F.lit(_SEED), "id", "text"), F.lit(1 << 40)) / (1 << 40))
+    counts = rows.groupBy("lang").agg(F.count("*"), F.min("drawn")).collect()
     if not counts:
         return LanguageModel()
     per_language = min(FIT_PER_LANGUAGE, max(1, FIT_TOTAL // len(counts)))
-    limits = F.create_map(*(F.lit(x) for n, c in counts.items() for x in (n, min(1.0, per_language / c))))
-    drawn = F.pmod(F.xxhash64(F.lit(_SEED), "id"), F.lit(1_000_000)) / 1e6
-    sample = rows.filter(drawn < F.element_at(limits, F.col("lang"))).orderBy(F.xxhash64(F.lit(_SEED), "id"), "id").limit(FIT_TOTAL)
+    limits = docs.sparkSession.createDataFrame(
+        [(name, max(per_language / n, least)) for name, n, least in counts], "lang string, most double")
+    sample = rows.join(F.broadcast(limits) if len(counts) <= FIT_TOTAL else limits, "lang").filter("drawn <= most")
+    sample = sample.dropDuplicates(["lang", "drawn"])  # repeated rows are drawn together
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [features(_lowered(t)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(vectors, pa.binary())], names=["id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], names=["lang", "x"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    found = sample.mapInArrow(describe, f"id {kind}, lang string, x binary").collect()
-    found.sort(key=lambda r: (r["lang"], r["id"] is None, r["id"] or 0, bytes(r["x"])))
+    found = sample.select("lang", "text").mapInArrow(describe, "lang string, x binary").collect()
+    found.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in found), dtype=np.float32).reshape(-1, BUCKETS)
     return LanguageModel.fit(x, [r["lang"] for r in found])
 
@@ -186,11 +191,11 @@ def predict_languages(
     model = model or fit_language_model(docs, key, text, lang)
 
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hold_memo("language", lambda: None)
+        hold_memo("language")
         for batch in batches:
             names, scores = [], []
             for t in batch.to_pylist():
-                if t is None or not _LETTER.search(t):
+                if t is None or not has_letter(t):
                     name, score = UNDETERMINED, 0.0
                 else:
                     name, score = model.predict(features(_lowered(t)))
