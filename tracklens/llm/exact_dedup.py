@@ -53,8 +53,8 @@ def exact_dedup(
     with a third of all rows is spread over as many tasks, (3) the salt winners of hot digests are
     merged per ``(digest, content)``; others have one salt and are final. Whole contents are
     grouping keys at every stage, so equal digests of different texts never merge. Only the digest
-    goes back to the rows; digests shared by different contents, if any, are resolved by a second
-    join on the content itself.
+    goes back to the rows, the few hot ones by broadcast, the others by a join on the digest; digests shared by
+    different contents, if any, are resolved by a second join on the content itself.
 
     Returns ``key, keep_id, group_size, kept, text_sha256``. Null keys sort last and stay only
     when no other row of the group has a key (``keep_id`` is then null, ``kept`` true). Rows that
@@ -74,7 +74,8 @@ def exact_dedup(
         .withColumn("sha", sha)
         .withColumn("digest", digest(F.col("content")) if digest else F.col("sha"))
     )
-    counts = ws.put(rows.groupBy("digest").agg(F.count("*").alias("rows")), "counts")
+    light = ws.put(rows.select("id", "sha", "digest"), "light")
+    counts = ws.put(light.groupBy("digest").agg(F.count("*").alias("rows")), "counts")
     total = counts.agg(F.sum("rows")).first()[0] or 0
     hot = counts.filter(F.col("rows") >= max(2, HOT_SHARE * total)).select("digest", F.lit(True).alias("hot"))
     salted = (
@@ -94,7 +95,9 @@ def exact_dedup(
         .groupBy("digest").agg(F.count("*").alias("contents"), F.max("rank").alias("rank"), F.max("n").alias("n")),
         "digests")
     clear = per_digest.filter("contents = 1").select("digest", "rank", "n")
-    kept = rows.select("id", "sha", "digest").join(clear, "digest").select("id", "sha", "rank", "n")
+    at_once = clear.join(F.broadcast(hot), "digest", "left_semi")  # at most 1 / HOT_SHARE rows
+    kept = light.join(F.broadcast(at_once), "digest").unionByName(
+        light.join(F.broadcast(hot), "digest", "left_anti").join(clear, "digest")).select("id", "sha", "rank", "n")
     clash = per_digest.filter("contents > 1").select("digest")
     if clash.limit(1).count():
         apart = salted.join(clash, "digest", "left_semi").groupBy("digest", "content").agg(
@@ -102,23 +105,28 @@ def exact_dedup(
         more = rows.join(clash, "digest", "left_semi").join(apart, ["digest", "content"])
         kept = kept.unionByName(more.select("id", "sha", "rank", "n"))
     keep_id = _key_of(F.col("rank"))
-    return kept.select(
+    return ws.result(kept.select(
         F.col("id").alias(key),
         keep_id.alias("keep_id"),
         F.col("n").alias("group_size"),
         F.col("id").eqNullSafe(keep_id).alias("kept"),
         F.col("sha").alias("text_sha256"),
-    )
+    ))
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat a key and a text, one."""
-    found = exact_dedup(docs, key, text).filter("kept").select(F.col(key).alias("_id"), F.col("text_sha256").alias("_sha"))
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat a key and a text, one.
+
+    Whole rows are shuffled once: rows with equal key and digest are reduced to the longest, first in each task,
+    and meet the keys that stay in the same partitioning. Null keys and empty tables are taken as in :func:`exact_dedup`.
+    """
+    own_key = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null"))
+    found = exact_dedup(docs, key, text).filter("kept").select(
+        own_key.alias("_own_key"), F.col("text_sha256").alias("_own_sha")).distinct()
     content = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE_SPACE, "")
-    rows = docs.withColumn("_key_sha", F.sha2(content.cast("binary"), 256))
-    same = (rows[key].eqNullSafe(found["_id"])) & (rows["_key_sha"] == found["_sha"])
-    first = Window.partitionBy(key, "_key_sha").orderBy(F.char_length(F.coalesce(F.col(text), F.lit(""))).desc())
+    first = Window.partitionBy("_own_key", "_own_sha").orderBy(F.char_length(F.coalesce(F.col(text), F.lit(""))).desc())
     return (
-        rows.join(found.distinct(), same, "left_semi")
-        .withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select(*docs.columns)
+        docs.withColumns({"_own_key": own_key, "_own_sha": F.sha2(content.cast("binary"), 256)})
+        .withColumn("_own_nth", F.row_number().over(first)).filter("_own_nth = 1")
+        .join(found, ["_own_key", "_own_sha"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
     )
