@@ -94,7 +94,7 @@ def leaf_ranges(units: np.ndarray, depth: int, leaf: int, seed: int = SEED) -> t
     return low, low + held
 
 
-def _stream_starts(rows: DataFrame, ws: Workspace) -> DataFrame:
+def _stream_starts(rows: DataFrame) -> DataFrame:
     """Adds ``start``: words before the row in its source's permuted stream.
 
     A two-level prefix sum: hash ranges are summed and the sums are accumulated for 256 wide ranges
@@ -158,10 +158,8 @@ def mix_plan(
         F.xxhash64(body).alias("fp"),
         F.md5(F.concat(F.lit(f"mix-{seed}-"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("order_hash"),
     )
-    light = light.withColumn(
-        "nth", F.row_number().over(Window.partitionBy("id", "fp").orderBy("source", "size")).cast("bigint"))
-    light = ws.put(light, "sizes")
-    totals = light.groupBy("source").agg(F.sum("size").alias("n"))
+    sized = ws.put(light, "sizes")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("n"))
     if totals.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
     sources = source_targets([tuple(r) for r in totals.collect()], weights, percent, cap)
@@ -176,8 +174,12 @@ def mix_plan(
         [(s["source"], s["idx"], s["size"], s["target"], s["passes"], s["part"], s["blocks"], s["part_blocks"],
           _stride(s["blocks"]), _stride(s["part_blocks"]))
          for s in sources], schema)
-    rows = light.join(F.broadcast(table), light["source"].eqNullSafe(table["source"])).drop("source")
-    rows = ws.put(_stream_starts(rows, ws), "streams")
+    rows = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop(sized["source"]).drop("source")
+    nth = F.row_number().over(Window.partitionBy("id", "fp").orderBy("idx")).cast("bigint")
+    none = F.lit(0).cast("bigint")  # rows without words are never taken: they need no number and no place
+    streams = _stream_starts(rows.filter("size > 0").withColumn("nth", nth)).unionByName(
+        rows.filter("size = 0").withColumns({"nth": none, "start": none}))
+    rows = ws.put(streams, "streams")
 
     # one row for each time that a pass reaches a document
     in_pass = F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("pass")
@@ -236,19 +238,21 @@ def mix_plan(
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mixed documents themselves: each taken row once per taking, dealt to its output shards.
 
-    Columns are those of ``docs`` and ``mix_shard``. Partitions hold whole shards in random order.
+    Columns are those of ``docs`` and ``mix_shard``. Each partition is a whole shard in random order.
     A document that is taken in part (at most one for each source) keeps its first words,
     separated by single blanks; if ``docs`` has ``n_chars``, that follows the text.
     """
     plan = mix_plan(docs, key, text, source, **how)
+    own_key = lambda c: F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit("null"))
     copies = plan.filter("taken > 0").select(
-        F.col("id").alias("_id"), F.col("fp").alias("_mix_fp"), F.col("nth").alias("_mix_nth"), F.col("size").alias("_size"),
-        F.explode("copies").alias("_copy"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    same = Window.partitionBy(key, "_fp").orderBy(source)
-    rows = docs.withColumn("_fp", F.xxhash64(body)).withColumn("_nth", F.row_number().over(same).cast("bigint"))
-    match = rows[key].eqNullSafe(copies["_id"]) & (rows["_fp"] == copies["_mix_fp"]) & (rows["_nth"] == copies["_mix_nth"])
-    out = rows.join(copies, match)
+        own_key("id").alias("_own_key"), F.col("fp").alias("_own_fp"), F.col("nth").alias("_copy_nth"),
+        F.col("size").alias("_size"), F.explode("copies").alias("_copy"))
+    same = Window.partitionBy("_own_key", "_own_fp").orderBy(source)
+    rows = docs.filter(F.col(text).rlike(WORD)).withColumns(
+        {"_own_key": own_key(key), "_own_fp": F.xxhash64(F.col(text))}
+    ).withColumn("_own_nth", F.row_number().over(same).cast("bigint"))
+    # the numbers are compared behind the join, so that it takes over the window's partitioning and texts move once
+    out = rows.join(copies, ["_own_key", "_own_fp"]).filter(F.col("_own_nth") - F.col("_copy_nth") == 0)
     kept = F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_copy.words").cast("int"))
     out = out.withColumn(
         text, F.when(F.col("_copy.words") < F.col("_size"), F.array_join(kept, " ")).otherwise(F.col(text)))
@@ -258,7 +262,7 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     shards = (last or 0) + 1
     return (
         out.withColumns({"mix_shard": F.col("_copy.shard"), "_order": F.col("_copy.order")})
-        .repartition(shards, "mix_shard")
+        .repartitionById(shards, F.col("mix_shard").cast("int"))  # a partition for each shard
         .sortWithinPartitions("mix_shard", "_order")
-        .select(*docs.columns, "mix_shard")
+        .select(*(F.col(f"`{c}`") for c in docs.columns), "mix_shard")
     )
