@@ -26,6 +26,8 @@ CHUNK_BYTES = 1 << 20
 CHUNK_SETS = 64
 #: Members of a bucket that meet another such portion in one task's row.
 PORTION = 256
+#: Tasks that the classes of one bucket are dealt over when they meet what is known of the bucket.
+SALTS = 8
 #: Estimates from the signature that lie this far below the threshold are not looked at: with 270
 #: coordinates that is six standard deviations at similarity 0.8.
 MARGIN = 0.15
@@ -119,6 +121,14 @@ def _verify_blocks(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.select("xs", "ys").mapInArrow(run, "a bigint, b bigint")
 
 
+def _by_bucket(many: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined with the rows of ``few``, one or none a bucket: a bucket's classes are dealt over ``SALTS``
+    tasks, each with its own copy of the short row in ``few``, so that no task gets a whole crowded bucket."""
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(F.lit(3), "cls"), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["bucket", "_salt"], how).drop("_salt")
+
+
 def near_dedup(
     docs: DataFrame,
     key: str = "doc_id",
@@ -127,6 +137,7 @@ def near_dedup(
     percent: int = PERCENT,
     bands: int = BANDS,
     rows: int = ROWS,
+    margin: float | None = MARGIN,
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -139,7 +150,10 @@ def near_dedup(
        another label drawn at random, a fresh draw for each bucket and round; last, whatever
        still differs is compared in full, set against chunks of sets of another label. So a large
        group costs about a link for each member, not all its pairs, and no two similar classes
-       that share a bucket stay apart.
+       that share a bucket stay apart. Of these last comparisons, those are left out whose signatures
+       estimate a similarity more than ``margin`` below the threshold; None compares them all.
+
+    Sets are sets of 64-bit shingle hashes, and sets with the same 128-bit digest count as equal.
 
     Returns ``key, n_shingles, component_id, kept`` per row. Null, empty and blank texts have an empty set:
     ``n_shingles`` 0, linked with nothing. Rows with a null key get their class's smallest key
@@ -158,7 +172,7 @@ def near_dedup(
     shared = (
         exploded.groupBy("bucket").agg(F.min("cls").alias("first"), F.max("cls").alias("last"))
         .filter("first <> last").select("bucket", "first"))
-    members = ws.put(exploded.join(shared, "bucket"), "members")
+    members = ws.put(_by_bucket(exploded, shared), "members")
     needed = members.select("cls").distinct()
     chosen = body.join(needed.select(F.col("cls").alias("id")), "id", "left_semi")
     sets = _sets(chosen, width, bands * rows).join(classes.select("fp", "cls"), ["fp", "cls"], "left_semi")
@@ -196,7 +210,7 @@ def near_dedup(
     def open_members(name: str) -> DataFrame:
         rows = labelled()
         open_buckets = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        return ws.put(rows.join(open_buckets.select("bucket"), "bucket", "left_semi"), f"open-{name}")
+        return ws.put(_by_bucket(rows, open_buckets.select("bucket"), "left_semi"), f"open-{name}")
 
     rest = open_members("first")
     for turn in range(ANCHOR_ROUNDS):
@@ -205,12 +219,12 @@ def near_dedup(
         draw = F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "cls").alias("h"), "cls", "label")).alias("anchor")
         anchors = rest.groupBy("bucket").agg(draw).select(
             "bucket", F.col("anchor.cls").alias("anchor"), F.col("anchor.label").alias("anchor_label"))
-        pairs = rest.join(anchors, "bucket").filter("label <> anchor_label").select(
+        pairs = _by_bucket(rest, anchors).filter("label <> anchor_label").select(
             F.least("anchor", "cls").alias("a"), F.greatest("anchor", "cls").alias("b")).distinct()
         labels = merge(_verify(pairs, sets, percent), f"turn{turn}")
         rest = open_members(f"turn{turn}")
     if rest.limit(1).count():
-        labels = merge(_verify_blocks(_rest_blocks(ws, rest, sets, percent), percent), "last")
+        labels = merge(_verify_blocks(_rest_blocks(ws, rest, sets, percent, margin), percent), "last")
 
     result = (
         hashed.filter("fp is not null").select("id", "n", "fp")
@@ -225,7 +239,7 @@ def near_dedup(
             F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-def _rest_blocks(ws: Workspace, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest_blocks(ws: Workspace, rest: DataFrame, sets: DataFrame, percent: int, margin: float | None) -> DataFrame:
     """Rows ``(xs, ys)`` of set lists that cover every pair of different labels in a bucket.
 
     Labels are cut into chunks of at most about ``CHUNK_BYTES``. Where two classes of different
@@ -242,14 +256,14 @@ def _rest_blocks(ws: Workspace, rest: DataFrame, sets: DataFrame, percent: int)
             F.pmod(F.xxhash64("cls"), F.ceil(8 * F.col("total") / CHUNK_BYTES)).alias("chunk")), "chunks")
     crowd = rest.groupBy("bucket").agg(F.count("*").alias("m"))
     portions = ws.put(
-        rest.select("bucket", "cls").join(crowd, "bucket")
+        _by_bucket(rest.select("bucket", "cls"), crowd)
         .withColumn("portion", F.pmod(F.xxhash64(F.lit(2), "cls"), F.ceil(F.col("m") / PORTION)))
         .join(chunked, "cls").join(sets.select("cls", "n", "sign"), "cls")
         .groupBy("bucket", "portion")
         .agg(F.collect_list(F.struct("cls", "label", "many", "chunk", "n", "sign")).alias("members")), "portions")
     other = portions.select("bucket", F.col("portion").alias("portion_b"), F.col("members").alias("b"))
     meet = portions.withColumnRenamed("members", "a").join(other, "bucket").filter("portion <= portion_b")
-    items = ws.put(_plausible(meet, percent).distinct(), "items")
+    items = ws.put(_plausible(meet, percent, margin).distinct(), "items")
     many = items.groupBy("to", "chunk").agg(F.count("*").alias("x"))
     xs = (
         items.join(many, ["to", "chunk"])
@@ -273,7 +287,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     return docs.join(kept, docs[key].cast("bigint").eqNullSafe(kept["_kept"]), "left_semi")
 
 
-def _plausible(blocks: DataFrame, percent: int) -> DataFrame:
+def _plausible(blocks: DataFrame, percent: int, margin: float | None) -> DataFrame:
     """``cls, to, chunk``: classes of two portions ``a, b`` of a bucket, with the chunks to compare them with."""
     names = ("cls", "label", "many", "chunk", "n")
 
@@ -286,7 +300,7 @@ def _plausible(blocks: DataFrame, percent: int) -> DataFrame:
             found: set[tuple[int, int, int]] = set()
             for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 (a, sa), (b, sb) = parts(one), parts(two)
-                least = (percent / 100 - MARGIN) * sa.shape[1]
+                least = 0 if margin is None else (percent / 100 - margin) * sa.shape[1]
                 for i in range(len(one)):
                     n = a["n"][i]
                     might = (b["label"] != a["label"][i]) & (100 * n >= percent * b["n"]) & (100 * b["n"] >= percent * n)
