@@ -7,9 +7,9 @@ from tracklens.sources import readers
 
 TASK = {
     "inner_id": 1, "total_annotations": 1,
-    "data": {"video": "/data/2021_clips/H7%2CI22/08.mp4", "framesCount": 100, "duration": 3.2},
+    "data": {"video": "/data/set/K3%2CL9/12.mp4", "framesCount": 90, "duration": 3.0},
     "annotations": [{"id": 1, "result": [{"id": "r1", "value": {"labels": ["bird"], "sequence": [
-        {"frame": 1, "x": 10, "y": 20, "width": 30, "height": 40}]}}]}],
+        {"frame": 2, "x": 12, "y": 18, "width": 24, "height": 36}]}}]}],
 }
 META = "camera_id string, video_id string, true_fps double, frame_count bigint"
 
@@ -17,13 +17,13 @@ META = "camera_id string, video_id string, true_fps double, frame_count bigint"
 def test_label_tables_of_one_task(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([TASK, TASK | {"inner_id": 2, "total_annotations": 0}]))
     tasks = readers.read_annotations(spark, str(tmp_path))
-    meta = spark.createDataFrame([("H7,I22", "08", 31.25, 31)], META)
+    meta = spark.createDataFrame([("K3,L9", "12", 15.0, 45)], META)
     videos, tracks = labels.label_tables(tasks, meta)
     (v,) = videos.collect()
-    assert (v.camera_id, v.video_id, v.video_ext, v.frames_count) == ("H7,I22", "08", "mp4", 31)
+    assert (v.camera_id, v.video_id, v.video_ext, v.frames_count) == ("K3,L9", "12", "mp4", 45)
     (t,) = tracks.collect()
-    assert (t.frame_begin, t.frame_end) == (1, 31)
-    assert [round(x, 6) for x in (t.mean_x, t.mean_y, t.mean_width, t.mean_height)] == [0.25, 0.4, 0.3, 0.4]
+    assert (t.frame_begin, t.frame_end) == (1, 45)
+    assert [round(x, 6) for x in (t.mean_x, t.mean_y, t.mean_width, t.mean_height)] == [0.24, 0.36, 0.24, 0.36]
 
 
 def test_empty_results_keep_a_row_and_null_frames_go(spark, tmp_path):

@@ -51,7 +51,10 @@ def test_split_sizes_round_half_to_even_and_do_not_leak(spark):
 def test_smoothing_is_a_zero_padded_convolution(spark, n):
     x = np.arange(1, n + 1, dtype=float) ** 2
     rows = spark.createDataFrame([("t", i, float(v), float(-v)) for i, v in enumerate(x)], "track_id string, frame bigint, xc double, yc double")
+    several = rows.withColumn("line_no", F.lit(0)).unionByName(rows.filter("frame = 0").withColumns({"xc": F.lit(9.0), "line_no": F.lit(1)}))
+    both = {(r.frame, r.line_no): r.smooth_xc for r in intervals.smooth_centers(several, ["track_id"], line="line_no").collect()}
     got = [r.smooth_xc for r in intervals.smooth_centers(rows, ["track_id"]).orderBy("frame").collect()]
+    assert [both[f, 0] for f in sorted(f for f, n in both if n == 0)] == got and both[0, 1] == (got[0] if n > 1 else 9.0)
     k = min(5, n)
     want = np.convolve(x, np.ones(k) / k, mode="same") if n > 1 else x
     assert np.allclose(got, want)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions.paths import label_folder
-from tracklens.operators.intervals import KEY, expand_frames
+from tracklens.operators.intervals import KEY, _island_rows, expand_frames
 
 
 def clip_index(tracks: DataFrame, videos: DataFrame, guidance: DataFrame) -> DataFrame:
@@ -42,10 +42,19 @@ def sliding_clips(rows: DataFrame, keys: list[str], num_frames: int = 16, stride
         "pos", F.col("_rn") - F.col("clip_idx") * stride).drop("_rn", "_n")
 
 
-def behavior_clips(index: DataFrame, frames: DataFrame, num_frames: int = 16, stride: int = 8) -> DataFrame:
-    """``split, label, track_id, cage_id, clip_idx, pos, frame`` of all clips, labels as folder names."""
+def behavior_clips(index: DataFrame, frames: DataFrame, num_frames: int = 16, stride: int = 8, strict: bool = False) -> DataFrame:
+    """``split, label, track_id, cage_id, clip_idx, pos, frame`` of all clips, labels as folder names.
+
+    Tracks without a frame are left out. Those with some but fewer than ``num_frames`` make no clip either
+    (:func:`short_tracks` lists them); with ``strict`` the job fails on them.
+    """
     cage = ["cage_id"] if "cage_id" in index.columns else []
-    clips = sliding_clips(track_frames(index, frames), [*KEY, "track_id", *cage], num_frames, stride)
+    rows = track_frames(index, frames)
+    if strict:
+        n = F.count("*").over(Window.partitionBy(*KEY, "track_id", *cage))
+        told = F.concat(F.lit("fewer frames than a clip has: track "), F.col("track_id"))
+        rows = rows.withColumn("_n", n).filter(F.when(F.col("_n") < num_frames, F.raise_error(told).cast("boolean")).otherwise(True)).drop("_n")
+    clips = sliding_clips(rows, [*KEY, "track_id", *cage], num_frames, stride)
     return clips.select("split", label_folder(F.col("label")).alias("label"), "track_id", *cage, "clip_idx", "pos", "frame")
 
 
@@ -57,4 +66,5 @@ def short_tracks(index: DataFrame, frames: DataFrame, num_frames: int = 16) -> D
 def crop_list(index: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The distinct crops to make: camera, video, cage and frame, with the video's split."""
     keys = keys or [*KEY, "cage_id"]
-    return expand_frames(index).groupBy(*keys, "frame").agg(F.min("split").alias("split"))
+    frames = expand_frames(_island_rows(index, keys), "first", "last").select(*keys, "frame")
+    return frames.join(index.groupBy(*keys).agg(F.min("split").alias("split")), keys)

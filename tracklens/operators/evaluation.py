@@ -53,17 +53,19 @@ def tracked_sequences(truth: DataFrame, manifest: DataFrame, by: list[str]) -> D
     return truth.join(manifest.select(*by).distinct(), by, "left_semi")
 
 
-def tracking_metrics(truth: DataFrame, predictions: DataFrame, by: list[str], iou_min: float = 0.5) -> DataFrame:
+def tracking_metrics(
+    truth: DataFrame, predictions: DataFrame, by: list[str], iou_min: float = 0.5, crowded: bool = True
+) -> DataFrame:
     """Tracking metrics of every sequence.
 
     Sequences with one true object and at most one prediction a frame, which is what one animal per cage gives, need no assignment:
-    they are joins, windows and sums. Sequences with more go to :func:`_assigned`, one sequence a group.
+    they are joins, windows and sums. Sequences with more go to :func:`_assigned`, one sequence a group; the plan itself tells them
+    apart. ``crowded=False`` is the caller's word that there are none, and leaves that part of the plan out.
     """
-    crowd = truth.select(*by, "frame", F.lit(1).alias("k")).unionByName(predictions.select(*by, "frame", F.lit(2).alias("k"))).groupBy(
-        *by, "frame", "k").agg(F.count("*").alias("n")).filter("n > 1").select(*by).distinct()
-    crowded = bool(crowd.limit(1).count())
     if not crowded:
         return simple_tracking_metrics(match_boxes(truth, predictions, by, iou_min), by)
+    crowd = truth.select(*by, "frame", F.lit(1).alias("k")).unionByName(predictions.select(*by, "frame", F.lit(2).alias("k"))).groupBy(
+        *by, "frame", "k").agg(F.count("*").alias("n")).filter("n > 1").select(*by).distinct()
     plain = match_boxes(truth.join(crowd, by, "left_anti"), predictions.join(crowd, by, "left_anti"), by, iou_min)
     truth = truth if "truth_id" in truth.columns else truth.withColumn("truth_id", F.lit(1).cast("bigint"))
     columns = [*by, "frame", "kind", "id", "left", "top", "w", "h"]
@@ -163,11 +165,16 @@ def _assigned(key: tuple, rows: pd.DataFrame, by: list[str], iou_min: float) ->
     shared: dict = {}
     hits = switches = 0
     distance = 0.0
-    for frame, part in rows.sort_values(["frame", "kind", "id"]).groupby("frame", sort=True):
-        t, p = part[part["kind"] == 0], part[part["kind"] == 1]
-        ti, pi = t["id"].tolist(), p["id"].tolist()
-        box = ["left", "top", "w", "h"]
-        iou = _overlaps(t[box].to_numpy(float), p[box].to_numpy(float))
+    rows = rows.sort_values(["frame", "kind", "id"])
+    frame_of, ids = rows["frame"].to_numpy(), rows["id"].tolist()
+    shapes = rows[["left", "top", "w", "h"]].to_numpy(float)
+    cuts = [0, *(np.flatnonzero(np.diff(frame_of)) + 1).tolist(), len(rows)]
+    true_before = np.concatenate(([0], np.cumsum(rows["kind"].to_numpy() == 0))).tolist()
+    for low, high in zip(cuts, cuts[1:]):
+        frame = frame_of[low]
+        middle = low + true_before[high] - true_before[low]  # true boxes come before predicted ones
+        ti, pi = ids[low:middle], ids[middle:high]
+        iou = _overlaps(shapes[low:middle], shapes[middle:high])
         for i in ti:
             seen.setdefault(i, []).append(frame)
         for i, a in enumerate(ti):
@@ -177,9 +184,10 @@ def _assigned(key: tuple, rows: pd.DataFrame, by: list[str], iou_min: float) ->
         pairs = [(i, pi.index(last[a])) for i, a in enumerate(ti) if last.get(a) in pi and iou[i, pi.index(last[a])] >= iou_min]
         open_t = [i for i in range(len(ti)) if i not in {x for x, _ in pairs}]
         open_p = [j for j in range(len(pi)) if j not in {y for _, y in pairs}]
-        cost = 1 - iou[np.ix_(open_t, open_p)]
-        cost[cost > 1 - iou_min] = never
-        pairs += [(open_t[i], open_p[j]) for i, j in least_cost_pairs(cost) if cost[i, j] < never]
+        if open_t and open_p:
+            cost = 1 - iou[np.ix_(open_t, open_p)]
+            cost[cost > 1 - iou_min] = never
+            pairs += [(open_t[i], open_p[j]) for i, j in least_cost_pairs(cost) if cost[i, j] < never]
         for i, j in pairs:
             hits += 1
             distance += 1 - iou[i, j]

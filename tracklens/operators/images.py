@@ -38,7 +38,8 @@ def crop_images_mask(images: DataFrame, black_out: bool = True) -> DataFrame:
                 out.append(_image(row.origin, pixels[row.y_min : row.y_max + 1, row.x_min : row.x_max + 1], row.mode))
             yield pd.DataFrame(out, columns=["origin", "height", "width", "nChannels", "mode", "data"])
 
-    return images.select("origin", "height", "width", "nChannels", "mode", "data", "x_min", "y_min", "x_max", "y_max", "runs").mapInPandas(run, IMAGE)
+    names = ["origin", "height", "width", "nChannels", "mode", "data", "x_min", "y_min", "x_max", "y_max"]
+    return images.select(*names, *(["runs"] if black_out else [])).mapInPandas(run, IMAGE)
 
 
 def crop_images_square(images: DataFrame) -> DataFrame:

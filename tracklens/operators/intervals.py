@@ -53,9 +53,13 @@ def pivot_label_counts(tracks: DataFrame, labels: list[str], keys: list[str] = K
 
 
 def _island_rows(tracks: DataFrame, keys: list[str]) -> DataFrame:
-    """Disjoint covered stretches of each video, so that each frame is made once and none is deduplicated."""
-    w = Window.partitionBy(*keys).orderBy("frame_begin", "frame_end").rowsBetween(Window.unboundedPreceding, -1)
-    rows = tracks.filter("frame_end >= frame_begin").withColumn("_reach", F.max("frame_end").over(w))
+    """Disjoint covered stretches of each video, so that each frame is made once and none is deduplicated.
+
+    Tracks that begin together are merged before they are shuffled, so the window holds a video's begins, not its tracks.
+    """
+    w = Window.partitionBy(*keys).orderBy("frame_begin").rowsBetween(Window.unboundedPreceding, -1)
+    begins = tracks.filter("frame_end >= frame_begin").groupBy(*keys, "frame_begin").agg(F.max("frame_end").alias("frame_end"))
+    rows = begins.withColumn("_reach", F.max("frame_end").over(w))
     fresh = F.greatest(F.col("frame_begin"), F.coalesce(F.col("_reach") + 1, F.col("frame_begin")))
     return rows.select(*keys, fresh.alias("first"), F.col("frame_end").alias("last")).filter("last >= first")
 
@@ -121,11 +125,23 @@ def interpolate_keyframes(frames: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.col("_at").alias("frame"), *(blended[c].alias(c) for c in values))
 
 
-def smooth_centers(frames: DataFrame, keys: list[str], xc: str = "xc", yc: str = "yc", width: int = 5) -> DataFrame:
+def smooth_centers(
+    frames: DataFrame, keys: list[str], xc: str = "xc", yc: str = "yc", width: int = 5, line: str | None = None
+) -> DataFrame:
     """Centred moving average over at most ``width`` frames, with zeros beyond both ends.
 
-    The denominator is always ``k = min(width, n)``; a lone frame keeps its centre.
+    The denominator is always ``k = min(width, n)``; a lone frame keeps its centre. With ``line``, a frame may hold
+    several boxes, numbered by that column: only the first counts, and the centre made from it goes to all of them.
     """
+    if line is not None:
+        firsts = frames.groupBy(*keys, "frame").agg(F.min_by(xc, line).alias(xc), F.min_by(yc, line).alias(yc))
+        smooth = smooth_centers(firsts, keys, xc, yc, width).drop(xc, yc)
+        # a lone frame keeps the centre of each of its boxes
+        alone = F.count("*").over(Window.partitionBy(*keys)) == 1
+        smooth = smooth.withColumn("_alone", alone)
+        rows = frames.join(smooth, [*keys, "frame"])
+        return rows.withColumns({
+            f"smooth_{c}": F.when(F.col("_alone"), F.col(c)).otherwise(F.col(f"smooth_{c}")) for c in (xc, yc)}).drop("_alone")
     order = Window.partitionBy(*keys).orderBy("frame")
     n = F.count("*").over(Window.partitionBy(*keys))
     out = {}

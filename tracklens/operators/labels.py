@@ -71,15 +71,26 @@ def videos_of(results: DataFrame, meta: DataFrame, first_dot: bool = True) -> Da
     rows = rows.withColumns({
         "camera_id": paths.camera_id(path), "video_id": paths.video_id(path, first_dot), "video_ext": paths.extension(path),
         "ls_fps": ratio(F.col("frames_count"), F.col("duration"))})
-    return rows.join(F.broadcast(meta) if _small(meta) else meta, ["camera_id", "video_id"], "left")
-
-
-#: Rows up to which a table of videos is sent to every task.
-BROADCAST_ROWS = 200_000
-
-
-def _small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(meta, ["camera_id", "video_id"], "left")
+
+
+def strict_union(tables: list[DataFrame]) -> DataFrame:
+    """All rows of the labelers' tables, repeated ones included; tables of another shape are an error."""
+    first, *others = tables
+    shape = {f.name: f.dataType for f in first.schema}
+    for n, other in enumerate(others, 2):
+        if {f.name: f.dataType for f in other.schema} != shape:
+            raise ValueError(f"table {n} has the columns {other.schema.simpleString()}, the first {first.schema.simpleString()}")
+        first = first.unionByName(other)
+    return first
+
+
+def relaxed_union(tables: list[DataFrame]) -> DataFrame:
+    """All rows by column name; a column that a table lacks is null there, and number types widen."""
+    out, *others = tables
+    for other in others:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
 
 
 def label_tables(tasks: DataFrame, meta: DataFrame, num_frames: int = NUM_FRAMES) -> tuple[DataFrame, DataFrame]:

@@ -152,10 +152,11 @@ def cages_of_points(points: DataFrame, runs: DataFrame, keys: list[str], height:
     """Adds ``cage_id``: of the masks that hold a point, the first in mask order; null without one."""
     cx, cy = point_cell(F.col("mean_x"), F.col("mean_y"), height, width)
     cells = points.withColumns({"_cx": cx, "_cy": cy})
-    inside = cells.select(*keys, "track_id", "_cx", "_cy").distinct().join(
-        runs.select(*keys, F.col("y").cast("bigint").alias("_cy"), "x0", "x1", "cage_id", "cage_ord"), [*keys, "_cy"]
-    ).filter("x0 <= _cx and _cx <= x1").groupBy(*keys, "track_id", "_cx", "_cy").agg(F.min_by("cage_id", "cage_ord").alias("cage_id"))
-    return cells.join(inside, [*keys, "track_id", "_cx", "_cy"], "left").drop("_cx", "_cy")
+    # one row per pixel row of a segment, as wide as its masks: points meet it once and are not multiplied
+    rows = runs.groupBy(*keys, F.col("y").cast("bigint").alias("_cy")).agg(
+        F.array_sort(F.collect_list(F.struct("cage_ord", "x0", "x1", "cage_id"))).alias("_runs"))
+    hit = F.get(F.filter("_runs", lambda r: (r["x0"] <= F.col("_cx")) & (F.col("_cx") <= r["x1"])), F.lit(0))
+    return cells.join(rows, [*keys, "_cy"], "left").withColumn("cage_id", hit["cage_id"]).drop("_cx", "_cy", "_runs")
 
 
 def assign_cages(index: DataFrame, segments: DataFrame, runs: DataFrame, height: int, width: int, by: list[str] = VIDEO) -> DataFrame:
@@ -183,5 +184,16 @@ def plan_all_cages(guidance: DataFrame, segments: DataFrame, boxes: DataFrame, b
     return segment_lookup(frames, segments, by).join(boxes, [*by, "segment_idx"])
 
 
+def crop_jobs(plan: DataFrame, runs: DataFrame, images: DataFrame, by: list[str] = VIDEO) -> DataFrame:
+    """Planned crops with their image and their mask's runs, the input of :func:`tracklens.operators.images.crop_images_mask`.
+
+    ``images`` holds ``by, frame`` and the image columns. ``origin`` becomes the crop's name, ``{image}_cage_{cage}``.
+    """
+    own = [*by, "segment_idx", "cage_id"]
+    masks = runs.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
+    rows = plan.join(masks, own).join(images, [*by, "frame"])
+    return rows.withColumn("origin", F.concat("origin", F.lit("_cage_"), "cage_id"))
+
+
 def frames_of_segments(segments: DataFrame, by: list[str]) -> DataFrame:
     return segments.select(*by, "segment_idx", F.explode(frames_between(F.col("start"), F.col("end"))).alias("frame"))

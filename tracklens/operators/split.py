@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklens.functions.numbers import ratio
 from tracklens.operators.intervals import KEY, all_frames, camera_splits, sample_rest_frames, subsample_frames
-from tracklens.operators.labels import _small
+from tracklens.operators.labels import relaxed_union
 
 
 def guidance_fps(videos: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def split_guidance(
     carry label counts. Both branches are one plan over one assignment of cameras; no split is planned on its own.
     """
     cameras = camera_splits(videos, ratios, seed)
-    assigned = guidance_fps(videos).join(F.broadcast(cameras) if _small(cameras) else cameras, "camera_id")
+    assigned = guidance_fps(videos).join(cameras, "camera_id")
     shape = [*KEY, "video_path", "fps", "split"]
     test = all_frames(assigned.filter("split = 'test'")).select(*shape, "target_frames")
     labelled = assigned.filter("split <> 'test'")
@@ -31,7 +31,7 @@ def split_guidance(
     targets = subsample_frames(own)
     targets = sample_rest_frames(targets, seed) if sample_rests else targets.drop("frames_count")
     rest = labelled.select(*shape).join(targets, KEY)
-    return rest.unionByName(test, allowMissingColumns=True)
+    return relaxed_union([rest, test])
 
 
 def all_frames_guidance(files: DataFrame, meta: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklens.functions import paths
 from tracklens.functions.numbers import frames_between, ratio
-from tracklens.operators import clips, evaluation, intervals, labels, lookups, split
+from tracklens.operators import clips, evaluation, filters, intervals, labels, lookups, split
 from tracklens.plans.adapters import adapter, oracle, table
 from tracklens.sources.sinks import missing_only
 
@@ -99,7 +99,7 @@ def label_counts_pivot(spark, d):
     return intervals.pivot_label_counts(tracks_with_counts(spark, d), LABELS)
 
 
-@query("sample_rest_frames", _SUBSAMPLED + """,
+_RESTS = _SUBSAMPLED + """,
     k AS (SELECT *, len(list_filter(range(1, n + 1), lambda x: NOT list_contains(fs, x))) AS free,
                  greatest(foraging, preening, resting) AS most, n - len(fs) AS remaining
           FROM s JOIN c USING (camera_id, video_id)),
@@ -107,7 +107,10 @@ def label_counts_pivot(spark, d):
     x AS (SELECT camera_id, video_id, added, fs, unnest(list_filter(range(1, n + 1), lambda x: NOT list_contains(fs, x))) AS frame FROM w),
     o AS (SELECT *, row_number() OVER (PARTITION BY camera_id, video_id
             ORDER BY md5('42|' || camera_id || '|' || video_id || '|' || CAST(frame AS VARCHAR)), frame) AS rn FROM x),
-    p AS (SELECT camera_id, video_id, list(frame ORDER BY rn) AS more FROM o WHERE rn <= added GROUP BY ALL)
+    p AS (SELECT camera_id, video_id, list(frame ORDER BY rn) AS more FROM o WHERE rn <= added GROUP BY ALL)"""
+
+
+@query("sample_rest_frames", _RESTS + """
     SELECT camera_id, video_id, CAST(added AS BIGINT) AS added_rests,
            array_to_string(list_concat(fs, coalesce(more, [])), ',') AS target_frames
     FROM w LEFT JOIN p USING (camera_id, video_id)""", "a1", "a2")
@@ -143,6 +146,16 @@ def split_guidance(spark, d):
     return out.select(*VIDEO, "video_path", "fps", "split", text_of(), *_counts())
 
 
+@query("split_guidance_rests", _CAMERAS + "," + _RESTS + """
+    SELECT a1.camera_id, a1.video_id, split, CASE WHEN split <> 'test' THEN CAST(added AS BIGINT) END AS added_rests,
+           array_to_string(CASE WHEN split = 'test' THEN range(1, frames_count + 1) ELSE list_concat(fs, coalesce(more, [])) END, ',') AS target_frames
+    FROM a1 JOIN splits USING (camera_id) LEFT JOIN (SELECT camera_id, video_id, added, fs FROM w) w USING (camera_id, video_id)
+    LEFT JOIN p USING (camera_id, video_id) WHERE split = 'test' OR fs IS NOT NULL""", "a1", "a2")
+def split_guidance_rests(spark, d):
+    out = split.split_guidance(adapter(spark, d, "a1"), adapter(spark, d, "a2"), RATIOS, SEED, sample_rests=True)
+    return out.select(*VIDEO, "split", "added_rests", text_of())
+
+
 @query("all_frames_guidance", """
     SELECT video_path, true_fps AS fps, array_to_string(range(1, frames_count + 1), ',') AS target_frames FROM a1""", "a1")
 def all_frames_guidance(spark, d):
@@ -262,8 +275,8 @@ def annotation_tracks(spark, d):
 
 @query("semi_split_filter", _CAMERAS + " SELECT track_id, label FROM a2 WHERE camera_id IN (SELECT camera_id FROM splits WHERE split = 'train')", "a1", "a2")
 def semi_split_filter(spark, d):
-    train = intervals.camera_splits(adapter(spark, d, "a1"), RATIOS, SEED).filter("split = 'train'")
-    return adapter(spark, d, "a2").join(train, "camera_id", "left_semi").select("track_id", "label")
+    splits = intervals.camera_splits(adapter(spark, d, "a1"), RATIOS, SEED)
+    return filters.in_splits(adapter(spark, d, "a2"), splits, "train").select("track_id", "label")
 
 
 @query("random_frames", """
@@ -308,14 +321,15 @@ def guidance_quality(spark, d):
     return split.one_guidance_per_video(adapter(spark, d, "a2"))
 
 
-QUERIES["contact_filter"] = lambda spark, d: table(spark, d, "customer").filter(
-    ((F.col("c_name") != "") | (F.col("c_mktsegment") != "")) & F.col("c_name").contains("7") & F.col("c_mktsegment").isin("BUILDING", "MACHINERY")
+QUERIES["contact_filter"] = lambda spark, d: filters.contacts(
+    table(spark, d, "customer"), ["c_name", "c_mktsegment"], ("c_name", "7"), ("c_mktsegment", ["BUILDING", "MACHINERY"])
 ).select("c_custkey", "c_name", "c_mktsegment")
 ORACLE_SQL["contact_filter"] = """
     SELECT c_custkey, c_name, c_mktsegment FROM customer
     WHERE (c_name <> '' OR c_mktsegment <> '') AND contains(c_name, '7') AND c_mktsegment IN ('BUILDING', 'MACHINERY')"""
-QUERIES["relaxed_union"] = lambda spark, d: adapter(spark, d, "a1").select("video_id", F.col("frames_count").alias("n")).unionByName(
-    adapter(spark, d, "a2").select("video_id", F.col("frame_end").cast("double").alias("n"), "label"), allowMissingColumns=True)
+QUERIES["relaxed_union"] = lambda spark, d: labels.relaxed_union([
+    adapter(spark, d, "a1").select("video_id", F.col("frames_count").alias("n")),
+    adapter(spark, d, "a2").select("video_id", F.col("frame_end").cast("double").alias("n"), "label")])
 ORACLE_SQL["relaxed_union"] = oracle("""
     SELECT video_id, CAST(frames_count AS DOUBLE) AS n, NULL AS label FROM a1 UNION ALL
     SELECT video_id, CAST(frame_end AS DOUBLE), label FROM a2""", "a1", "a2")

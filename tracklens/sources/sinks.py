@@ -18,9 +18,18 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 
 
 def append_log(df: DataFrame, path: str) -> None:
+    """Appends rows to a log; every part file has the header, which :func:`tracklens.sources.readers.read_csv` takes off."""
     df.write.mode("append").option("header", True).csv(path)
 
 
+def write_report(pairs: DataFrame, path: str, true: str = "true_class", pred: str = "pred_class") -> None:
+    """Confusion matrix and classification report in long form, as Parquet below ``path``."""
+    from tracklens.operators.evaluation import classification_report, confusion_matrix
+
+    write_parquet(confusion_matrix(pairs, true, pred), f"{path}/confusion_matrix")
+    write_parquet(classification_report(pairs, true, pred), f"{path}/classification_report")
+
+
 def missing_only(planned: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """What a re-run still has to make: planned keys that the sink does not hold."""
     return planned.join(existing.select(*keys).distinct(), keys, "left_anti")

@@ -6,44 +6,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracklens.functions import paths
-from tracklens.operators.boxes import box_lines
+from tracklens.operators.boxes import box_lines, task_keyframes
 from tracklens.sources import schemas
 from tracklens.sources.sinks import missing_only
 
+VIDEO = ["camera_id", "video_id"]
+
 
 def annotation_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     """Tasks of line-JSON files as they arrive."""
     return spark.readStream.schema(schemas.TASKS).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-def stream_keyframes(tasks: DataFrame) -> DataFrame:
-    """Keyframes of tasks, percent corner boxes, keyed by camera and video; stateless."""
-    path = F.col("data.video")
-    rows = tasks.select(
-        paths.camera_id(path).alias("camera_id"), paths.video_id(path).alias("video_id"), F.explode("annotations").alias("a"))
-    rows = rows.select("camera_id", "video_id", F.explode("a.result").alias("r")).select(
-        "camera_id", "video_id", F.col("r.id").alias("track_id"), F.explode("r.value.sequence").alias("k"))
-    return rows.select("camera_id", "video_id", "track_id", "k.*").filter("frame is not null")
+def _exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
 def ingest_annotations(tasks: DataFrame, targets: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Writes the box lines of all tasks that are there, and those alone that the sink does not hold yet.
+    """Writes the boxes of all tasks that are there, and those alone that the sink does not hold yet.
 
-    ``targets`` holds ``camera_id, video_id, frame, ls_fps, fps``. A batch that is run again after a failure adds nothing.
+    ``targets`` holds ``camera_id, video_id, frame, ls_fps, fps``. The sink holds boxes, one row per camera, video, track
+    and frame, in folders by camera; so tasks of one video may come in any number of batches, and a batch that is run again
+    after a failure adds nothing. A batch reads the folders of its own cameras only. Frames without any box are added
+    when reading (:func:`ingested_lines`), as no batch can know what later ones bring.
     """
-    keys = ["camera_id", "video_id", "frame"]
+    keys = [*VIDEO, "track_id", "frame"]
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        own = batch.select("camera_id", "video_id").distinct()
-        lines = box_lines(targets.join(own, ["camera_id", "video_id"], "left_semi"), batch, ["camera_id", "video_id"])
-        try:
-            held = spark.read.parquet(sink).select(*keys)
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            held = lines.select(*keys).limit(0)
-        missing_only(lines, held, keys).write.mode("append").parquet(sink)
-
-    return stream_keyframes(tasks).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        own = batch.select(*VIDEO).distinct()
+        lines = box_lines(targets.join(own, VIDEO, "left_semi"), batch, VIDEO).filter("class_id is not null")
+        if _exists(spark, sink):
+            held = spark.read.schema(lines.schema).parquet(sink)
+            lines = missing_only(lines, held.select(*keys).join(own.select("camera_id").distinct(), "camera_id", "left_semi"), keys)
+        lines.dropDuplicates(keys).write.mode("append").partitionBy("camera_id").parquet(sink)
+
+    return task_keyframes(tasks).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingested_lines(spark: SparkSession, sink: str, targets: DataFrame) -> DataFrame:
+    """What :func:`tracklens.operators.boxes.box_lines` gives for all tasks so far: the sink's boxes, and a row of nulls for
+    each target frame of its videos without a box."""
+    held = spark.read.schema(schemas.BOX_LINES).parquet(sink)
+    asked = targets.select(*VIDEO, "frame").join(held.select(*VIDEO).distinct(), VIDEO, "left_semi")
+    return asked.join(held, [*VIDEO, "frame"], "left")
