@@ -281,7 +281,8 @@ def _rest_blocks(ws: Workspace, rest: DataFrame, sets: DataFrame, percent: int,
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each component, the one with the smallest key, with all columns of ``docs``.
 
-    Rows without a key stay when a row without a key stands for its texts.
+    Rows that share a key count as one document, rows without a key likewise: they all stay when one of them
+    stands for its component. Empty tables give empty results.
     """
     kept = near_dedup(docs, key, text, **how).filter("kept").select(F.col(key).alias("_kept")).distinct()
     return docs.join(kept, docs[key].cast("bigint").eqNullSafe(kept["_kept"]), "left_semi")
