@@ -11,7 +11,7 @@ from tracklens.llm.common import Workspace
 LIMIT_BYTES = 4 << 20
 HASH_BITS = 60
 #: Directory bits that are counted ahead in one pass over the rows.
-STEP_BITS = 6
+STEP_BITS = 4
 
 
 def extendible_shards(
@@ -23,10 +23,10 @@ def extendible_shards(
     It starts as one bucket; only a bucket above the limit splits, on its next bit, until all
     fit. A shard is named by its bits; its ``depth`` is their number.
 
-    Sizes are counted for cells of ``STEP_BITS`` more bits than the data needs on average, and rolled up
-    to all shorter prefixes, so one pass over the rows usually settles all splits; only cells that
+    Sizes are counted for cells of ``STEP_BITS`` more bits than the data needs on average, and added up
+    bit by bit (:func:`_shards`), so one pass over the rows usually settles all splits; only cells that
     are still too large are counted again with more bits. The directory itself is a table: rows
-    join it by cell, so neither it nor the rows pass through the driver.
+    join it by cell in a merge join, so it is never broadcast and does not pass through the driver.
 
     A row larger than the limit cannot be split and has a shard of its own or with rows of the
     same hash; so have rows that repeat a key, whose hash cannot tell them apart: they overflow into
@@ -45,42 +45,32 @@ def extendible_shards(
             F.conv(F.substring(name, 1, HASH_BITS // 4), 16, 10).cast("bigint").alias("hash")), "rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(HASH_BITS, max(1, -(-total // limit) - 1).bit_length() + STEP_BITS)
-    bit_text = F.lpad(F.conv(F.col("cell").cast("string"), 10, 2), bits, "0")
-    cells = rows.groupBy(F.shiftright("hash", HASH_BITS - bits).alias("cell")).agg(
-        F.sum("n_bytes").alias("b"), F.count("*").alias("n")).withColumn("bits", bit_text)
+    cells = rows.groupBy(F.shiftright("hash", HASH_BITS - bits).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
     closed, level = None, 0
     while True:
         cells = ws.put(cells, f"cells{bits}")
-        prefixes = cells.select(
-            "cell", "bits", "b", "n", F.explode(F.sequence(F.lit(level), F.lit(bits))).alias("depth")
-        ).withColumn("prefix", F.expr("substring(bits, 1, depth)"))
-        sizes = prefixes.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("rows"))
-        fits = sizes.filter((F.col("shard_bytes") <= limit) | (F.col("rows") == 1))
-        found = prefixes.join(fits, ["depth", "prefix"]).groupBy("cell").agg(
-            F.min(F.struct("depth", "prefix", "shard_bytes")).alias("s"))
-        done = ws.put(
-            cells.select("cell").join(found, "cell", "left").select(
-                "cell", F.lit(bits).alias("cell_bits"), "s.depth", "s.prefix", "s.shard_bytes"), f"found{bits}")
-        part = done.filter("depth is not null")
+        part = _shards(ws, cells, level, bits, limit).withColumn("cell_bits", F.lit(bits))
         closed = part if closed is None else closed.unionByName(part)
-        open_cells = done.filter("depth is null").select("cell")
+        open_cells = cells.filter(~_fits(limit)).select("cell")
         if not open_cells.limit(1).count() or bits == HASH_BITS:
             break
         more = min(HASH_BITS, bits + STEP_BITS)
-        finer = rows.withColumn("cell", F.shiftright("hash", HASH_BITS - bits)).join(open_cells, "cell", "left_semi")
+        finer = rows.withColumn("cell", F.shiftright("hash", HASH_BITS - bits)).join(
+            open_cells.hint("merge"), "cell", "left_semi")
         level, bits = bits + 1, more
-        cells = finer.groupBy(F.shiftright("hash", HASH_BITS - bits).alias("cell")).agg(
-            F.sum("n_bytes").alias("b"), F.count("*").alias("n")).withColumn(
-            "bits", F.lpad(F.conv(F.col("cell").cast("string"), 10, 2), bits, "0"))
+        cells = finer.groupBy(F.shiftright("hash", HASH_BITS - bits).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
     closed = ws.put(closed, "directory")
     out, left = None, rows
     for (b,) in closed.select("cell_bits").distinct().orderBy("cell_bits").collect():
-        own = closed.filter(F.col("cell_bits") == b).drop("cell_bits")
+        wide = F.expr(f"cast(shiftleft(1L, {b} - depth) as bigint)")
+        own = closed.filter(F.col("cell_bits") == b).select(
+            F.explode(F.sequence(F.col("prefix") * wide, (F.col("prefix") + 1) * wide - 1)).alias("cell"),
+            F.expr("lpad(conv(cast(prefix as string), 10, 2), depth, '0')").alias("shard"), "depth", "shard_bytes")
         at = left.withColumn("cell", F.shiftright("hash", HASH_BITS - b))
-        hit = at.join(own, "cell").select(
-            "id", "n_bytes", F.col("prefix").alias("shard"), "depth", F.lit(0).cast("bigint").alias("page"), "shard_bytes")
+        hit = at.join(own.hint("merge"), "cell").select(
+            "id", "n_bytes", "shard", "depth", F.lit(0).cast("bigint").alias("page"), "shard_bytes")
         out = hit if out is None else out.unionByName(hit)
-        left = at.join(own.select("cell"), "cell", "left_anti").drop("cell")
+        left = at.join(own.select("cell").hint("merge"), "cell", "left_anti").drop("cell")
     if open_cells.limit(1).count():  # hashes that all bits cannot tell apart
         out = _pages(left, limit) if out is None else out.unionByName(_pages(left, limit))
     if out is None:
@@ -89,6 +79,35 @@ def extendible_shards(
     return ws.result(out.select(F.col("id").alias(key), "n_bytes", "shard", "depth", "page", "shard_bytes"))
 
 
+def _fits(limit: int):
+    return (F.col("b") <= limit) | (F.col("n") == 1)
+
+
+def _shards(ws: Workspace, cells: DataFrame, level: int, bits: int, limit: int) -> DataFrame:
+    """``prefix, depth, shard_bytes``: the shortest prefixes, of ``level`` bits at least, that fit.
+
+    Sizes are added up bit by bit from the cells: a prefix goes on as long as it fits together with its sibling, else
+    it is a shard. Tables halve from level to level, and the climb ends where nothing fits any more.
+    """
+    at, depth, found = cells.select(F.col("cell").alias("prefix"), "b", "n", _fits(limit).alias("fits")), bits, []
+    while depth > level:
+        up = at.groupBy(F.shiftright("prefix", 1).alias("up")).agg(
+            F.sum("b").alias("b"), F.sum("n").alias("n"), F.min("fits").alias("all_fit"),
+            F.collect_list(F.struct("prefix", "b", "fits")).alias("parts"))
+        up = ws.put(up.select(
+            F.col("up").alias("prefix"), "b", "n", (F.col("all_fit") & _fits(limit)).alias("fits"), "parts"), f"sizes{depth - 1}")
+        found.append(up.filter("not fits").select(F.explode("parts").alias("p")).filter("p.fits").select(
+            "p.prefix", F.lit(depth).alias("depth"), F.col("p.b").alias("shard_bytes")))
+        at, depth = up.drop("parts"), depth - 1
+        if not at.filter("fits").limit(1).count():
+            break
+    found.append(at.filter("fits").select("prefix", F.lit(depth).alias("depth"), F.col("b").alias("shard_bytes")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _pages(rows: DataFrame, limit: int, chains: int = 64) -> DataFrame:
     """Overflow pages of rows that share a whole hash.
 
