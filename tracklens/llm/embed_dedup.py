@@ -15,7 +15,7 @@ from tracklens.llm.components import connected_components
 
 COSINE = 0.95
 #: Nearest pivots kept of each vector, and how many of them a candidate pair must share.
-PREFIX, SHARED = 10, 2
+PREFIX, SHARED = 10, 1
 MIN_PIVOTS, MAX_PIVOTS = 64, 4096
 #: No two pivots are closer than this cosine, so that a dense group is ordered by few of them.
 PIVOT_COSINE = 0.8
