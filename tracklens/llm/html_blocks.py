@@ -9,10 +9,12 @@ from html.parser import HTMLParser
 # Element names of the HTML standard.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption "
-    "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search "
+    "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre search "
     "section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style template noscript svg math iframe object canvas audio video textarea".split())
+SILENT_TAGS = frozenset("script style template svg iframe textarea".split())
+#: A drawing left open ends where one of these starts, as in browsers.
+ENDS_SVG = BLOCK_TAGS - {"title"} | {"br"}
 #: A start tag of the first kind ends an open element of the second kind that is not closed.
 CLOSES = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
@@ -36,7 +38,8 @@ class _Blocks(HTMLParser):
 
     Errors are taken as browsers take them, roughly: a block start ends an open paragraph, an end
     tag without a start is ignored, one that skips open elements closes them, inline elements left
-    open do not matter, and the end of a page that breaks off closes everything.
+    open do not matter, and the end of a page that breaks off closes everything. Only scripts, styles, templates,
+    drawings, frames and form fields are silent; formulas and what stands in for media are text like any other.
     """
 
     def __init__(self):
@@ -60,6 +63,8 @@ class _Blocks(HTMLParser):
         del self.tags[depth:], self.tokens[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.silent and self.silent[0] == "svg" and tag in ENDS_SVG:
+            self.silent.clear()
         if self.silent:
             if tag == self.silent[0]:
                 self.silent.append(tag)
@@ -97,6 +102,8 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.silent and self.silent[0] == "svg" and tag in self.tags:
+            self.silent.clear()
         if self.silent:
             if tag == self.silent[-1]:
                 self.silent.pop()

@@ -125,6 +125,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     w = _Writer(rng)
     title = w.words(2, 9)
     w.add("<!DOCTYPE html><html><head><title>", title, "</title><style>p{}</style></head><body>")
+    if rng.random() < 0.15:
+        w.add(f"<noscript>{w.words(1, 12)}</noscript>")
     for kind, chance in (("notice", 0.25), ("header", 0.5), ("menu", 0.7), ("ad", 0.4), ("sidebar", 0.2)):
         if rng.random() < chance:
             w.part(kind)
