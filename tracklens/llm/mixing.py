@@ -116,7 +116,7 @@ def _stream_starts(rows: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1)
     return (
         rows.withColumn("o3", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(offsets, ["idx", "wide", "narrow"])
+        .join(offsets.hint("merge"), ["idx", "wide", "narrow"])  # in the window's partitioning; offsets grow with the table
         .withColumn("start", F.col("o1") + F.col("o2") + F.col("o3"))
         .drop("wide", "narrow", "o1", "o2", "o3")
     )
@@ -218,7 +218,7 @@ def mix_plan(
         .filter("high > low")
         .select("shard", "idx", F.explode(F.sequence("low", F.col("high") - 1)).alias("place"))
     )
-    dealt = takes.join(leaves, ["idx", "place"]).select(
+    dealt = takes.join(leaves.hint("merge"), ["idx", "place"]).select(
         "id", "fp", "nth",
         F.struct(
             "shard",
