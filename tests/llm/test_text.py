@@ -1,6 +1,7 @@
 """Token counts, packing, language, mixing, sharding, secrets and extraction."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklens.llm import html_blocks, html_extract, labelled_pages, language_id, mixing, queries, secret_scan, sharding
+from tracklens.llm.common import Workspace
 from tracklens.llm.packing import Packer, pack_documents
 from tracklens.llm.token_counts import token_counts
 from tracklens.llm.tokens import TextEncoder, tokenizer_path
@@ -160,6 +162,27 @@ def test_language_stage_keeps_unknown_languages_as_documented(spark):
     assert set(stays) == {2000} and stays[2000] in WORDS
 
 
+def plain_targets(totals):
+    """The targets of ``(source, size)`` pairs, closing one source after another at twice its size."""
+    ordered = sorted(totals, key=lambda s: (s[0] is None, s[0] or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, (s, _) in enumerate(ordered)}
+    room, share, out = sum(n for _, n in ordered) * 150 / 100.0, sum(weight.values()), {}
+    for s, n in sorted(ordered, key=lambda x: 2 * x[1] / weight[x[0]]):
+        if room / share * weight[s] <= 2 * n:
+            break
+        out[s] = float(2 * n)
+        room, share = room - 2 * n, share - weight[s]
+    for s, n in ordered:
+        target = out.setdefault(s, room / share * weight[s] if share else 0.0)
+        passes, part = divmod(math.floor(target + 0.5), n) if n else (0, 0)
+        yield {"source": s, "size": n, "target": target, "passes": passes, "part": part}
+
+
+def targets_of(spark, totals):
+    table = spark.createDataFrame(totals, "source string, size bigint")
+    return [r.asDict() for r in mixing.source_targets(Workspace(spark, "targets"), table).orderBy("idx").collect()]
+
+
 def brute_taken(rows, seed=17):
     import hashlib
 
@@ -167,7 +190,7 @@ def brute_taken(rows, seed=17):
     totals = collections.Counter()
     for _, s, n, _ in sizes:
         totals[s] += n
-    plan = {x["source"]: x for x in mixing.source_targets(list(totals.items()))}
+    plan = {x["source"]: x for x in plain_targets(totals.items())}
     out = []
     for s, x in plan.items():
         own = sorted((r for r in sizes if r[1] == s), key=lambda r: (hashlib.md5(f"mix-{seed}-{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[2]))
@@ -212,8 +235,30 @@ def test_tree_deals_every_block_once():
     assert max(sizes) - min(sizes) <= 2
 
 
-def test_water_filling_stops_at_the_cap():
-    got = {x["source"]: x["target"] for x in mixing.source_targets([("a", 10), ("b", 1000), (None, 100)])}
+def test_targets_of_many_sources(spark):
+    rng = random.Random(11)
+    totals = [(f"s{i}", int(rng.paretovariate(0.6))) for i in range(3000)] + [(None, 70), ("é", 0), ("\U0001f600", 5), ("\uffee", 5)]
+    got, want = targets_of(spark, totals), list(plain_targets(totals))
+    assert [x["source"] for x in got] == [x["source"] for x in want]
+    for x, y in zip(got, want):
+        assert x["target"] == pytest.approx(y["target"], rel=1e-12) and (x["size"], x["passes"], x["part"]) == (y["size"], y["passes"], y["part"])
+    assert targets_of(spark, []) == []
+    assert [x["target"] for x in targets_of(spark, [("a", 0), (None, 0)])] == [0.0, 0.0]
+
+
+def test_neighbouring_sources_share_a_bundle(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BUNDLES", 3)
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))), "en", f"s{int(rng.paretovariate(0.5)) % 40}") for i in range(400)]
+    got = mixing.mix_plan(table(spark, rows), block_words=16, shard_words=500).collect()
+    assert sorted((r.id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got) == sorted(
+        (a, b, c, round(d, 6), e) for a, b, c, d, e in brute_taken(rows))
+    assert all(sum(c.words for c in r.copies) == r.taken for r in got)
+    assert len({c.shard for r in got for c in r.copies}) > 8
+
+
+def test_water_filling_stops_at_the_cap(spark):
+    got = {x["source"]: x["target"] for x in targets_of(spark, [("a", 10), ("b", 1000), (None, 100)])}
     assert got["a"] == 20 and sum(got.values()) == pytest.approx(1665) and got[None] == 200
     assert got["b"] == pytest.approx(1445)
 

@@ -24,38 +24,57 @@ BLOCK_WORDS = 2_048
 MAX_BLOCKS = 1 << 28
 SHARD_WORDS = 1 << 22
 MIN_SHARDS = 8
-#: The table of sources (one short row each) goes to the driver and is broadcast up to this size.
-MAX_SOURCES = 100_000
+#: What the tree splits at most: a source each, or bundles of neighbouring sources where there are more.
+MAX_BUNDLES = 4_096
+#: Tasks that rank the sources, and tasks that a source's rows are dealt over when they meet its row.
+RANK_TASKS, SALTS = 32, 16
+
+
+def _ranked(ws: Workspace, totals: DataFrame) -> DataFrame:
+    """Adds ``idx``, the place of ``source`` in code point order with null last: its place in a range of sources
+    and the number of sources in the ranges before."""
+    order = F.col("source").asc_nulls_last()
+    parts = ws.put(totals.repartitionByRange(RANK_TASKS, order).withColumn("task", F.spark_partition_id()), "totals")
+    earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # over a row a task
+    before = parts.groupBy("task").agg(F.count("*").alias("n")).select(
+        "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("task").orderBy(order)) - 1
+    return parts.withColumn("idx", inside.cast("bigint")).join(before, "task").select(
+        "source", "size", (F.col("before") + F.col("idx")).alias("idx"))
 
 
 def source_targets(
-    totals: list[tuple[str | None, int]], weights=WEIGHTS, percent: int = PERCENT, cap: int = CAP
-) -> list[dict]:
-    """Target words of every source, in code point order with null last.
+    ws: Workspace, totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, cap: int = CAP
+) -> DataFrame:
+    """``source, size, idx, target, quota, passes, part`` of every ``source, size``; ``idx`` is its place in code
+    point order with null last, ``target`` its words in the mix and ``quota`` those as a whole number.
 
     ``percent`` of all words are shared by weight; a target stops at ``cap`` times its source and
-    the excess is shared again by weight. Sources in order of ``cap * size / weight`` are closed one
-    by one until the level ``(total - closed) / open weight`` stays within all others.
+    the excess is shared again by weight. Closing sources at their cap raises the level
+    ``(total - closed) / open weight`` of the others, until it closes no more; each round is one
+    aggregate, and the driver sees its two sums only, whatever the number of sources.
     """
-    ordered = sorted(totals, key=lambda s: (s[0] is None, s[0] or ""))
-    out = [
-        {"source": s, "idx": i, "size": int(n), "weight": weights[i % len(weights)]}
-        for i, (s, n) in enumerate(ordered)
-    ]
-    total = sum(x["size"] for x in out) * percent / 100.0
-    closed, open_weight = 0, sum(x["weight"] for x in out)
-    for x in (queue := sorted(out, key=lambda x: (cap * x["size"] / x["weight"], x["idx"]))):
-        level = (total - closed) / open_weight
-        if level * x["weight"] <= cap * x["size"]:
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("idx") % len(weights) + 1).cast("int"))
+    ranked = ws.put(_ranked(ws, totals).withColumn("weight", weight.cast("bigint")), "ranked")
+    limit = cap * F.col("size")
+    words, shares = (x or 0 for x in ranked.agg(F.sum("size"), F.sum("weight")).first())
+    total, shut = words * percent / 100.0, (0, 0)
+    while True:
+        level = (total - shut[0]) / (shares - shut[1]) if shares > shut[1] else math.inf
+        full = F.lit(level) * F.col("weight") > limit
+        found = tuple(x or 0 for x in ranked.filter(full).agg(F.sum(limit), F.sum("weight")).first())
+        if found == shut:
             break
-        x["target"] = float(cap * x["size"])
-        closed += cap * x["size"]
-        open_weight -= x["weight"]
-    for x in queue:
-        x.setdefault("target", level * x["weight"])
-        quota = int(np.floor(x["target"] + 0.5))
-        x["passes"], x["part"] = divmod(quota, x["size"]) if x["size"] else (0, 0)
-    return out
+        shut = found
+    target = F.when(full, limit.cast("double")).otherwise(F.lit(level) * F.col("weight"))
+    some = F.col("size") > 0
+    return (
+        ranked.withColumn("target", target)
+        .withColumn("quota", F.floor(F.col("target") + 0.5).cast("bigint"))
+        .select(
+            "source", "size", "idx", "target", "quota",
+            F.when(some, F.expr("quota div size")).otherwise(0).alias("passes"),
+            F.when(some, F.col("quota") % F.col("size")).otherwise(0).alias("part")))
 
 
 def _stride(n: int) -> int:
@@ -72,7 +91,7 @@ def _node_rng(seed: int, depth: int, path: int) -> np.random.Generator:
 
 
 def leaf_ranges(units: np.ndarray, depth: int, leaf: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """The ranges ``[low, high)`` of each source's block sequence that output shard ``leaf`` draws.
+    """The ranges ``[low, high)`` of each bundle's block sequence that output shard ``leaf`` draws.
 
     The root holds all block quotas. A node gives half of its blocks, drawn without regard to the
     source from a multivariate hypergeometric distribution, to its left child and the rest to
@@ -136,11 +155,12 @@ def mix_plan(
 ) -> DataFrame:
     """What the mix takes of every row: one output row per input row.
 
-    A source's documents form a stream in hash order, cut into blocks of about ``block_words`` words
-    (whole documents). Its quota is its target in blocks: full passes over all of them and a
-    last pass over the first ones, whose last document is cut so that the words meet the target
-    to the word. :func:`leaf_ranges` deals the quotas out among the output shards; in each pass the
-    blocks are permuted, and a shard takes those whose places fall into its range.
+    A source's documents form a stream in hash order. The mix takes full passes over it and a
+    last pass over its first documents, of which the last one is cut so that the words meet the target
+    to the word. What is taken of a source is cut into blocks of about ``block_words`` words (whole
+    documents); above ``MAX_BUNDLES`` sources, neighbours in code point order share one sequence of blocks.
+    :func:`leaf_ranges` deals the blocks out among the output shards; they are permuted, and a
+    shard takes those whose places fall into its range. Any number of sources will do.
 
     Returns ``id, fp, nth, idx, size, source_size, target, taken, copies``; ``copies`` holds
     ``(shard, order, words)`` of each taking, ``order`` being the random order inside a shard.
@@ -159,22 +179,25 @@ def mix_plan(
         F.md5(F.concat(F.lit(f"mix-{seed}-"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("order_hash"),
     )
     sized = ws.put(light, "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("n"))
-    if totals.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    sources = source_targets([tuple(r) for r in totals.collect()], weights, percent, cap)
-    schema = ("source string, idx int, source_size bigint, target double, passes bigint, part bigint, "
-              "blocks bigint, part_blocks bigint, stride bigint, part_stride bigint")
-    words = sum(s["size"] for s in sources)
-    block = max(block_words, -(-cap * words // MAX_BLOCKS))
-    for s in sources:
-        s["blocks"] = max(1, -(-s["size"] // block))
-        s["part_blocks"] = -(-s["part"] // block)
-    table = spark.createDataFrame(
-        [(s["source"], s["idx"], s["size"], s["target"], s["passes"], s["part"], s["blocks"], s["part_blocks"],
-          _stride(s["blocks"]), _stride(s["part_blocks"]))
-         for s in sources], schema)
-    rows = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop(sized["source"]).drop("source")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("size"))
+    targets = ws.put(source_targets(ws, totals, weights, percent, cap), "targets")
+    n_sources = targets.count()
+    n_bundles = min(n_sources, MAX_BUNDLES)
+    sources = targets.withColumn("bundle", F.expr(f"idx * {n_bundles} div {max(n_sources, 1)}"))
+    quotas = {r.bundle: r.words for r in sources.groupBy("bundle").agg(F.sum("quota").alias("words")).collect()}
+    taken_words = sum(quotas.values())
+    block = max(block_words, -(-taken_words // MAX_BLOCKS))
+    units = np.array([-(-quotas[b] // block) for b in range(n_bundles)], dtype=np.int64)
+    bundles = spark.createDataFrame(
+        [(b, n, _stride(n)) for b, n in enumerate(units.tolist())], "bundle bigint, units bigint, stride bigint")
+    earlier = Window.partitionBy("bundle").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    sources = sources.select(
+        "source", "idx", "bundle", F.coalesce(F.sum("quota").over(earlier), F.lit(0)).alias("base"),
+        F.col("size").alias("source_size"), "target", "passes", "part",
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # not broadcast by hand: the table of sources grows with the data, so Spark's size check decides
+    own_salt = F.pmod(F.xxhash64("id", "fp"), F.lit(SALTS)) == sources["salt"]
+    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"]) & own_salt).drop("source", "salt")
     nth = F.row_number().over(Window.partitionBy("id", "fp").orderBy("idx")).cast("bigint")
     none = F.lit(0).cast("bigint")  # rows without words are never taken: they need no number and no place
     streams = _stream_starts(rows.filter("size > 0").withColumn("nth", nth)).unionByName(
@@ -191,17 +214,13 @@ def mix_plan(
             .when(F.col("pass") == F.col("passes"), F.greatest(F.lit(0), F.least("size", F.col("part") - F.col("start"))))
             .otherwise(0))
         .filter("words > 0")
-        .withColumn("block", F.expr(f"start div {block}"))
-        .withColumn("among", F.when(F.col("pass") < F.col("passes"), F.col("blocks")).otherwise(F.col("part_blocks")))
+        .join(F.broadcast(bundles), "bundle")  # MAX_BUNDLES rows at most
     )
-    # a permutation of 0..n-1 for each pass: steps of a stride without a common factor with n
-    stride = F.when(F.col("among") == F.col("blocks"), F.col("stride")).otherwise(F.col("part_stride"))
-    turn = F.pmod(F.xxhash64(F.lit(seed), "idx", "pass"), F.col("among"))
-    takes = takes.withColumn(
-        "place", F.col("pass") * F.col("blocks") + F.pmod(F.col("block") * stride + turn, F.col("among")))
-
-    units = np.array([s["passes"] * s["blocks"] + s["part_blocks"] for s in sources], dtype=np.int64)
-    taken_words = sum(s["passes"] * s["size"] + s["part"] for s in sources)
+    # a permutation of 0..n-1: steps of a stride without a common factor with n
+    number = F.expr(f"(base + pass * source_size + start) div {block}")
+    turn = F.pmod(F.xxhash64(F.lit(seed), "bundle"), F.col("units"))
+    takes = takes.withColumn("place", F.pmod(number * F.col("stride") + turn, F.col("units")))
+
     depth = max(MIN_SHARDS, -(-taken_words // shard_words))
     depth = int(depth - 1).bit_length()
 
@@ -209,16 +228,16 @@ def mix_plan(
         for batch in batches:
             for leaf in batch["id"]:
                 low, high = leaf_ranges(units, depth, int(leaf), seed)
-                yield pd.DataFrame({"shard": leaf, "idx": np.arange(len(units), dtype=np.int32), "low": low, "high": high})
+                yield pd.DataFrame({"shard": leaf, "bundle": np.arange(len(units)), "low": low, "high": high})
 
     shards = 1 << depth
     leaves = (
         spark.range(0, shards, 1, max(1, min(shards // 8, 2048)))
-        .mapInPandas(walk, "shard bigint, idx int, low bigint, high bigint")
+        .mapInPandas(walk, "shard bigint, bundle bigint, low bigint, high bigint")
         .filter("high > low")
-        .select("shard", "idx", F.explode(F.sequence("low", F.col("high") - 1)).alias("place"))
+        .select("shard", "bundle", F.explode(F.sequence("low", F.col("high") - 1)).alias("place"))
     )
-    dealt = takes.join(leaves.hint("merge"), ["idx", "place"]).select(
+    dealt = takes.join(leaves.hint("merge"), ["bundle", "place"]).select(
         "id", "fp", "nth",
         F.struct(
             "shard",
