@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracklens.llm.embed_dedup import embedding_near_dedup
 from tracklens.llm.exact_dedup import exact_dedup
 from tracklens.llm.html_extract import extract_main_text
+from tracklens.llm.id_files import token_id_rows
 from tracklens.llm.language_id import held_out, predict_languages
 from tracklens.llm.mixing import mix_plan
 from tracklens.llm.near_dedup import near_dedup
@@ -67,6 +68,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars")
 
 
+def op11_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_id_rows(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_token_id_files": op11_token_id_files,
 }
 
 ORACLE_SQL = {
