@@ -15,6 +15,7 @@ from tracklens.llm.near_dedup import near_dedup
 from tracklens.llm.packing import pack_documents
 from tracklens.llm.secret_scan import scan_secrets
 from tracklens.llm.sharding import extendible_shards
+from tracklens.llm.spelling import spelling_variants
 from tracklens.llm.token_counts import token_counts
 
 
@@ -72,6 +73,10 @@ def op11_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_rows(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -84,6 +89,7 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_html_extraction": op10_html_extraction,
     "op11_token_id_files": op11_token_id_files,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {
