@@ -13,6 +13,7 @@ from tracklens.llm.language_id import held_out, predict_languages
 from tracklens.llm.mixing import mix_plan
 from tracklens.llm.near_dedup import near_dedup
 from tracklens.llm.packing import pack_documents
+from tracklens.llm.phrases import collocations
 from tracklens.llm.secret_scan import scan_secrets
 from tracklens.llm.sharding import extendible_shards
 from tracklens.llm.spelling import spelling_variants
@@ -73,6 +74,10 @@ def op11_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_rows(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -89,10 +94,40 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_html_extraction": op10_html_extraction,
     "op11_token_id_files": op11_token_id_files,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL = {
+    "op12_phrase_collocations": r"""
+        WITH d AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        g AS (
+          SELECT lang, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS phrase
+          FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, range(1, 4) s(k) WHERE len(w) >= k)),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+        t AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1 AND n >= 10),
+        q AS MATERIALIZED (
+          SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+          FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+        u AS (
+          SELECT q.lang, q.phrase, q.a, cut, x.n AS l, y.n AS r,
+                 CAST(CAST(1000000 AS HUGEINT) * q.a * q.a // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+          FROM q JOIN f x ON x.lang = q.lang AND x.phrase = q.head JOIN f y ON y.lang = q.lang AND y.phrase = q.tail),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS pick FROM u),
+        o AS (
+          SELECT lang, phrase, max(a) AS around
+          FROM (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE k = 3) GROUP BY lang, phrase),
+        z AS (
+          SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score,
+                 row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, encode(b.phrase)) AS rank
+          FROM b LEFT JOIN o USING (lang, phrase) WHERE pick = 1 AND (around IS NULL OR 100 * around < 50 * b.a))
+        SELECT z.lang, rank, phrase, a, l, r, t.n, score FROM z JOIN t ON t.lang = z.lang WHERE rank <= 2000
+    """,
     "op6_extendible_sharding": r"""
         WITH d AS (
           SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
