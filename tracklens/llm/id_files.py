@@ -283,10 +283,10 @@ def ordered_ids(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode_text, part, n = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode_texts, part, n = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.uint32)
         for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
-            ids = [packed(np.append(encode_text(t), end)) for t in batch.column(1).to_pylist()]
+            ids = [packed(np.append(found, end)) for found in encode_texts(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(n, n + len(ids), dtype=np.int64)), batch.column(0),
                  pa.array(ids, pa.binary())], names=["part", "row", "key", "ids"])
@@ -301,8 +301,8 @@ def id_counts(rows: DataFrame) -> dict[int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for data in batch.column(0):
-                found = np.bincount(unpacked(data.as_py()))
+            for some in (batch.slice(at, BATCH) for at in range(0, batch.num_rows, BATCH)):
+                found = np.bincount(np.concatenate([unpacked(data) for data in some.column(0).to_pylist()]))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[: len(found)] += found

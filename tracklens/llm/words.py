@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import regex
@@ -13,11 +14,10 @@ import regex
 from tracklens.llm.common import hold_memo
 from tracklens.llm.tokens import byte_names
 
-#: Words of more characters than this are encoded each time; so the memo's size is bounded in bytes.
-MEMO_CHARS = 24
-MEMO_WORDS = 250_000
-#: White space on which Python and the tokenizer may differ; texts that hold any go to the library whole.
-_ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The memo starts anew above so many words or characters.
+MEMO_WORDS, MEMO_CHARS = 400_000, 12_000_000
+#: White space on which Python and the tokenizer may differ, and the byte that parts texts; texts that hold any go to the library whole.
+_ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Fixed value: the published pattern that cuts words into pre-tokens.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The byte behind each pre-token that stands for the end of a word. No word that holds it is ranked.
@@ -28,12 +28,20 @@ _PLAIN = re.compile("[\x01-\x1b\x21-\x7e\xa1-\u024f]+")
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
-def word_encoder(path: str) -> Callable[[str], np.ndarray]:
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
     """One encoder for each worker process and file, kept from task to task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
-    hold_memo("words", _ENCODERS[path].memo.clear)
-    return _ENCODERS[path].ids
+    hold_memo("words", _ENCODERS[path]._forget)
+    return _ENCODERS[path].batch_ids
 
 
 def ranked_words(spec: dict):
@@ -86,7 +94,8 @@ class WordEncoder:
     def __init__(self, path: str, ranked: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path, self._library, self.memo = path, None, {}
+        self.path, self._library = path, None
+        self._forget()
         self.ranked = ranked_words(spec) if ranked else None
         self.added = tuple(t["content"] for t in spec.get("added_tokens", []))
         self.pieces = regex.compile(WORD_PATTERN)
@@ -102,38 +111,60 @@ class WordEncoder:
             self._library.no_padding()
         return self._library
 
-    def _by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _by_library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _by_ranks(self, words: list[str]) -> list[bytes]:
+    def _by_ranks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ranks, blank = self.ranked
-        marked = self.pieces.sub(r"\g<0>" + _END, " ".join(["".join(map(str.lower, w)) if not w.isascii() else w.lower() for w in words]))
-        ids = np.array(ranks.encode_ordinary(marked), "<u4")
-        cuts = [-1, *np.flatnonzero(ids == blank).tolist(), len(ids)]
-        data = ids.tobytes()
-        return [data[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:])]
-
-    def encoded(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words without white space inside."""
-        plain = [w for w in words if _PLAIN.fullmatch(w) and not any(t in w for t in self.added)] if self.ranked else []
-        out = dict(zip(plain, self._by_ranks(plain))) if plain else {}
-        rest = [w for w in words if w not in out]
-        if rest:
-            out |= zip(rest, self._by_library(rest))
+        # in these characters lower case does not depend on what is around
+        ids = np.array(ranks.encode_ordinary(self.pieces.sub(r"\g<0>" + _END, " ".join(words).lower())), "<u4")
+        cuts = np.flatnonzero(ids == blank)
+        return np.delete(ids, cuts), np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words without white space inside, numbered from ``known`` on."""
+        joint = "".join(words)
+        if self.ranked is None:
+            plain = np.zeros(len(words), bool)
+        elif _PLAIN.fullmatch(joint) and not any(t in joint for t in self.added):
+            plain = np.ones(len(words), bool)
+        else:
+            plain = np.array([_PLAIN.fullmatch(w) is not None and not any(t in w for t in self.added) for w in words])
+        size = np.zeros(len(words), np.int64)
+        flat, start = self.flat, np.zeros(len(words), np.int64)
+        for own, encode in ((plain, self._by_ranks), (~plain, self._flat_by_library)):
+            if own.any():
+                ids, size[own] = encode([words[k] for k in np.flatnonzero(own)])
+                start[own] = len(flat) + np.cumsum(size[own]) - size[own]
+                flat = np.concatenate([flat, ids])
+        self.flat, self.size, self.start = flat, np.concatenate([self.size, size]), np.concatenate([self.start, start])
+        self.chars += len(joint)
+        self.known += len(words)
+
+    def _flat_by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._by_library(words)
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def batch_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Words are numbered as they come and the ids of all texts gathered at once by their words' numbers."""
+        odd = [_ODD.search(t) is not None for t in texts]
+        words = f" {_END} ".join(["" if o else t for t, o in zip(texts, odd)]).split()
+        if len(self.numbers) > MEMO_WORDS or self.chars > MEMO_CHARS:
+            self._forget()
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if len(self.numbers) > self.known:
+            self._learn([*islice(reversed(self.numbers), len(self.numbers) - self.known)][::-1])
+        size = self.size[at]
+        ends = np.cumsum(size)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - size), size)]
+        # the end byte parts the texts and has no ids
+        cuts = ends[np.flatnonzero(at == 0)]
+        out = np.split(ids, cuts)
+        for k in np.flatnonzero(odd):
+            out[k] = self._by_library([texts[k]])[0]
         return out
 
-    def ids(self, text: str) -> np.ndarray:
-        if _ODD_BLANKS.search(text):
-            return np.frombuffer(self._by_library([text])[0], "<u4")
-        words, memo = text.split(), self.memo
-        new = [w for w in set(words) if w not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(words))
-            fresh = self.encoded(new)
-            known = {w: i for w, i in fresh.items() if len(w) <= MEMO_CHARS}
-            memo.update(known)
-            if len(known) < len(fresh):
-                return np.frombuffer(b"".join([memo[w] if w in memo else fresh[w] for w in words]), "<u4")
-        return np.frombuffer(b"".join([memo[w] for w in words]), "<u4")
+    def _forget(self) -> None:
+        self.numbers = _Numbers({_END: 0})
+        self.known, self.chars = 1, 0
+        self.flat, self.size, self.start = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
