@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,11 @@ MIN_COUNT = 10
 SWALLOWED_PERCENT = 50
 TOP = 2000
 SAMPLE_SHARE = 0.25
-#: Of the occurrences that the sample should hold of a phrase of ``MIN_COUNT``, the share that proposes it (twice at least).
-LOWERED = 0.8
-#: Words that a task adds up before it passes counts on.
-HELD_WORDS = 2_000_000
+#: Of the occurrences that the sample should hold of a phrase of ``MIN_COUNT``, the share that proposes it (rounded up, twice at least).
+LOWERED = 0.9
+#: Bytes of text that a task adds up before it passes counts on, unless a single text has more, and rows that it passes on at once.
+HELD_BYTES = 8_000_000
+SLICE = 50_000
 #: Bits of a set of phrases: so many for each, within these powers of two.
 BITS_EACH = 32
 LOG_BITS = (15, 28)
@@ -35,14 +37,6 @@ _BREAK = b"\xff"
 _CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _mixed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
     """The hash of a phrase that is ``more`` (the hash of a word) longer than one with hash ``h``."""
     h = h * np.uint64(0x9E3779B97F4A7C15) + more
@@ -82,104 +76,147 @@ def phrase_set(hashes: DataFrame) -> PhraseSet:
 
 
 class _Held:
-    """The words of one task and language until they are counted; pieces are parted by number 0."""
+    """Texts of one task and language until they are counted."""
 
     def __init__(self):
-        self.numbers = _Numbers({_BREAK: 0})
-        self.parts: list[np.ndarray] = []
+        self.texts: list[bytes] = []
         self.n = 0
 
     def add(self, text: str) -> None:
-        """Whole text: A-Z in lower case, pieces cut at the marks and line ends, words at blanks."""
-        words = text.encode().lower().translate(_CUTS).replace(b"\n", b" \xff ").split()
-        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
-        self.parts.append(np.zeros(1, np.int64))
-        self.n += len(words) + 1
-
-    def counted(self, lang: str, max_words: int, passes: list[list[PhraseSet | None]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """``size, numbers (a row per phrase), hashes, counts``. Sizes above 1 hold the phrases whose two parts, each a word shorter, lie in the last
-        pass's set and did not both lie in an earlier one's; words belong to the first pass. A set of None holds all."""
-        text, vocab = np.concatenate(self.parts), list(self.numbers)
-        word_hash = _word_hashes(lang, vocab)
-        if len(passes) == 1:
-            n = np.bincount(text, minlength=len(vocab))
-            yield 1, np.arange(1, len(vocab))[:, None], word_hash[1:], n[1:]
-        # place, first word's place and hash of every phrase occurrence of the size before that may be part of a longer one
-        at = np.flatnonzero(text)
-        codes, hashes = text[at], word_hash[text[at]]
-        # stretches of a set's passes: in which ones each occurrence lies
-        for size in range(2, max_words + 1):
-            inside = [np.ones(len(at), bool) if p[size - 2] is None else p[size - 2].has(hashes) for p in passes]
-            follows = np.flatnonzero(at[1:] == at[:-1] + 1)  # the next occurrence starts a word later
-            pairs = [i[follows] & i[follows + 1] for i in inside]
-            fresh = pairs[-1] & ~np.logical_or.reduce(pairs[:-1]) if len(pairs) > 1 else pairs[-1]
-            last = text[at[follows] + size - 1]
-            longer_hash = _mixed(hashes[follows], word_hash[last])
-            longer_code = codes[follows] * len(vocab) + last
-            chosen = np.flatnonzero(fresh)
-            found, first, n = np.unique(longer_code[chosen], return_index=True, return_counts=True)
-            begin = at[follows[chosen[first]]]
-            yield size, text[begin[:, None] + np.arange(size)], longer_hash[chosen[first]], n
-            if size < max_words:
-                # what any pass holds may be part of a longer phrase; codes are numbered anew so that they stay small
-                at, hashes = at[follows], longer_hash
-                codes = np.unique(longer_code, return_inverse=True)[1]
-
-
-def _phrases(vocab: pa.Array, numbers: np.ndarray) -> pa.Array:
-    columns = [vocab.take(pa.array(c)) for c in numbers.T]
-    return columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
-
-
-def _occurrences(docs: DataFrame, max_words: int, passes: list[list[Broadcast | None]], by_hash: bool) -> DataFrame:
-    """``lang, size, phrase, n`` (or ``size, h, n``) as tasks have added them up; size 0 counts a language's words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [[b.value if b is not None else None for b in p] for p in passes]
+        self.texts.append(text.encode())
+        self.n += len(self.texts[-1]) + 1
+
+
+class _Words:
+    """The words of held texts as numbers; 0 parts pieces. A-Z in lower case, pieces cut at the marks and line ends, words at blanks."""
+
+    def __init__(self, lang: str, texts: list[bytes]):
+        whole = b"\n".join([*texts, b""]).lower().translate(_CUTS).replace(b"\n", b" \xff ")
+        offsets = pa.py_buffer(np.array([0, len(whole)], np.int64))
+        one = pa.LargeStringArray.from_buffers(1, offsets, pa.py_buffer(whole))
+        coded = pc.ascii_split_whitespace(one).flatten().dictionary_encode()
+        spelled = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        # 0 stands for the break, -1 for the empty strings at both ends
+        number = np.arange(1, len(spelled) + 1)
+        for at, word in ((0, _BREAK), (-1, b"")):
+            if word in spelled:
+                number[spelled.index(word)] = at
+        text = number[coded.indices.to_numpy()]
+        self.text = text[text >= 0]
+        self.vocab = [b"", *(b"" if n <= 0 else w for n, w in zip(number, spelled))]
+        self.hash = _word_hashes(lang, self.vocab)
+
+    def n_words(self) -> int:
+        return int(np.count_nonzero(self.text))
+
+    def grams(self, max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """``size, places, hashes, follows`` of the phrases inside pieces: those of ``follows`` are the first parts, those behind them
+        the last parts, of the phrases of the next size."""
+        at = np.flatnonzero(self.text)
+        hashes = self.hash[self.text[at]]
+        for size in range(1, max_words + 1):
+            follows = np.flatnonzero(at[1:] == at[:-1] + 1) if size < max_words else None
+            yield size, at, hashes, follows
+            if follows is not None:
+                at = at[follows]
+                hashes = _mixed(hashes[follows], self.hash[self.text[at + size]])
+
+    def phrases(self, size: int, places: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The distinct phrases that begin at ``places``, and how often."""
+        columns = self.text[places[:, None] + np.arange(size)].T
+        code = columns[0]
+        for c in columns[1:]:
+            if len(code) and int(code.max() + 1) * len(self.vocab) >= 1 << 63:
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * len(self.vocab) + c
+        _, first, n = np.unique(code, return_index=True, return_counts=True)
+        spelled = pa.array(self.vocab, pa.binary()).cast(pa.string())
+        words = [spelled.take(pa.array(c[first])) for c in columns]
+        return words[0] if size == 1 else pc.binary_join_element_wise(*words, " "), n
+
+
+def _inside(parts: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Which phrases have both parts inside."""
+    return parts[follows] & parts[follows + 1]
+
+
+def _fresh(passes: list[list[PhraseSet | None]], size: int, hashes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Which phrases, a word longer than ``size``, have both parts in the last pass's set and in no earlier one's."""
+    *earlier, last = [_inside(np.ones(len(hashes), bool) if p[size - 1] is None else p[size - 1].has(hashes), follows) for p in passes]
+    for known in earlier:
+        last &= ~known
+    return last
+
+
+def _by_task(docs: DataFrame, schema: str, count) -> DataFrame:
+    """What ``count`` makes of the words of a task's texts, held up to :data:`HELD_BYTES` and counted by language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Held] = {}
         for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(lang, _Held()).add(text)
-            if sum(h.n for h in held.values()) > HELD_WORDS:
-                yield from flushed(held, sets)
+            if sum(h.n for h in held.values()) > HELD_BYTES:
+                for lang, h in held.items():
+                    yield from count(lang, _Words(lang, h.texts))
                 held = {}
-        yield from flushed(held, sets)
-
-    def flushed(held, sets):
         for lang, h in held.items():
-            vocab = pa.array([b"", *list(h.numbers)[1:]], pa.binary()).cast(pa.string())
-            if not by_hash and len(sets) == 1:
-                n = int(sum(np.count_nonzero(p) for p in h.parts))
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([n])], names=["lang", "size", "phrase", "n"])
-            for size, numbers, hashes, n in h.counted(lang, max_words, sets):
-                for at in range(0, len(n), 50_000):
-                    some = slice(at, at + 50_000)
-                    k, sizes, ns = len(n[some]), pa.array(np.full(len(n[some]), size, np.int32)), pa.array(n[some].astype(np.int64))
-                    if by_hash:
-                        yield pa.RecordBatch.from_arrays([sizes, pa.array(hashes[some].view(np.int64)), ns], names=["size", "h", "n"])
-                    else:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * k, pa.string()), sizes, _phrases(vocab, numbers[some]), ns], names=["lang", "size", "phrase", "n"])
-
-    schema = "size int, h bigint, n bigint" if by_hash else "lang string, size int, phrase string, n bigint"
-    return docs.mapInArrow(count, schema)
-
-
-def _hashes(frequent: DataFrame) -> DataFrame:
-    """``size, h`` of phrases, as tasks hash them."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                h, *more = _word_hashes(lang, phrase.encode().split(b" "))[:, None]
-                for w in more:
-                    h = _mixed(h, w)
-                out.append(h)
-            h = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(h)], names=["size", "h"])
+            yield from count(lang, _Words(lang, h.texts))
+
+    return docs.mapInArrow(run, schema)
+
 
-    return frequent.select("lang", "size", "phrase").mapInArrow(hashed, "size int, h bigint")
+def _sliced(size: int, names: list[str], *columns) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[-1]), SLICE):
+        some = [c[at : at + SLICE] for c in columns]
+        sizes = pa.array(np.full(len(some[-1]), size, np.int8))
+        yield pa.RecordBatch.from_arrays([sizes, *(c if isinstance(c, pa.Array) else pa.array(c) for c in some)], names=["size", *names])
+
+
+def hash_counts(docs: DataFrame, max_words: int, passes: list[list[Broadcast | None]]) -> DataFrame:
+    """``size, h, n`` by the hash of the phrase: all words in the first pass, and the phrases that are fresh (:func:`_fresh`).
+
+    Rows go to their counts' tasks at once: few phrases repeat inside a task beyond what it has added up itself.
+    """
+
+    def count(lang: str, words: _Words) -> Iterator[pa.RecordBatch]:
+        sets = [[b.value if b is not None else None for b in p] for p in passes]
+        chosen = None
+        for size, _, hashes, follows in words.grams(max_words):
+            if size > 1 or len(sets) == 1:
+                h, n = np.unique(hashes if chosen is None else hashes[chosen], return_counts=True)
+                yield from _sliced(size, ["h", "n"], h.view(np.int64), n)
+            if follows is not None:
+                chosen = _fresh(sets, size, hashes, follows)
+
+    rows = _by_task(docs, "size tinyint, h bigint, n bigint", count)
+    return rows.repartition("h").groupBy("size", "h").agg(F.sum("n").alias("n"))
+
+
+def exact_counts(
+    docs: DataFrame, max_words: int, passes: list[list[Broadcast | None]], frequent: list[Broadcast], min_count: int
+) -> DataFrame:
+    """``lang, size, phrase, n`` of the phrases with ``min_count`` occurrences, by their words: those whose hashes are among ``frequent`` and the
+    fresh ones of the greatest size. A row of size 0 has each language's number of words."""
+
+    def count(lang: str, words: _Words) -> Iterator[pa.RecordBatch]:
+        sets, among = [[b.value for b in p] for p in passes], [b.value for b in frequent]
+        own = lambda phrases: pa.array([lang] * len(phrases), pa.string())
+        total = pa.array([""])
+        yield from _sliced(0, ["lang", "phrase", "n"], own(total), total, np.array([words.n_words()]))
+        new = None
+        for size, at, hashes, follows in words.grams(max_words):
+            chosen = among[size - 1].has(hashes)
+            if size == max_words and new is not None:
+                chosen |= new
+            phrases, n = words.phrases(size, at[chosen])
+            yield from _sliced(size, ["lang", "phrase", "n"], own(phrases), phrases, n)
+            if size == max_words - 1:
+                new = _fresh(sets, size, hashes, follows)
+
+    rows = _by_task(docs, "size tinyint, lang string, phrase string, n bigint", count)
+    return rows.groupBy("lang", F.col("size").cast("int").alias("size"), "phrase").agg(F.sum("n").alias("n")).filter(
+        (F.col("n") >= min_count) | (F.col("size") == 0))
 
 
 def frequent_phrases(
@@ -191,41 +228,48 @@ def frequent_phrases(
     A sample of ``share`` of the documents proposes the phrases that reach a lowered threshold there. The first full pass counts all words,
     and every phrase whose two parts (itself without its first and without its last word) are proposed: these are the proposals of its length
     and their negative border. A frequent word or phrase that was not proposed is a failure of the border, as longer phrases around it were
-    not counted; then another full pass counts what all frequent parts imply and no pass has counted yet, until none fails. So counts
-    are exact whatever the sample holds. At most ``max_words`` passes are needed.
+    not counted; then a further pass counts what all frequent parts imply and no pass has counted yet, until none fails but those of the last
+    length but one. These passes count by 64-bit hashes, so what they call frequent may hold too much, never too little. The
+    last pass counts by words: what they call frequent, and the longest phrases that failures of their parts imply. So counts are exact whatever the
+    sample and the hashes hold. There are ``max_words`` full passes at most, by hash and by words together.
     """
     sc = docs.sparkSession.sparkContext
-    lowered = max(2, int(LOWERED * share * min_count))
-    sample = _occurrences(docs.sample(share, seed), max_words - 1, [[None] * max_words], True)
-    proposed = ws.put(sample.groupBy("size", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= lowered).select("size", "h"), "proposed")
-    sets = lambda hashes: [phrase_set(hashes.filter(F.col("size") == k)) for k in range(1, max_words)]
-    passes = [sets(proposed)]
-    sent = [[sc.broadcast(s) for s in passes[0]]]
-    found: DataFrame | None = None
-    for number in range(max_words + 1):
-        counted = _occurrences(docs, max_words, sent, False).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-        more = ws.put(counted.filter((F.col("n") >= min_count) | (F.col("size") == 0)), f"pass-{number}")
+    lowered = max(2, math.ceil(LOWERED * share * min_count))
+    sent: list[list[Broadcast]] = []
+
+    def send(hashes: DataFrame, sizes: range) -> list[Broadcast]:
+        sent.append([sc.broadcast(phrase_set(hashes.filter(F.col("size") == k))) for k in sizes])
+        return sent[-1]
+
+    sample = hash_counts(docs.sample(share, seed), max_words - 1, [[None] * max_words])
+    proposed = ws.put(sample.filter(F.col("n") >= lowered).select("size", "h"), "proposed")
+    passes, found = [send(proposed, range(1, max_words))], None
+    for number in range(max_words):
+        more = ws.put(hash_counts(docs, max_words, passes).filter(F.col("n") >= min_count).select("size", "h"), f"frequent-{number}")
         found = more if found is None else found.unionByName(more)
-        parts = ws.put(_hashes(found.filter((F.col("size") > 0) & (F.col("size") < max_words))), f"hashes-{number}")
-        if not _outside(parts, sent[-1]):
+        failed = _failures(found.filter(F.col("size") < max_words), passes)
+        if not failed:
+            break
+        passes.append(send(found, range(1, max_words)))
+        if min(failed) == max_words - 1:
             break
-        passes.append(sets(parts))
-        sent.append([sc.broadcast(s) for s in passes[-1]])
+    counted = ws.put(exact_counts(docs, max_words, passes, send(found, range(1, max_words + 1)), min_count), "counted")
     for b in (b for p in sent for b in p):
         b.unpersist()
-    return found
+    return counted
 
 
-def _outside(parts: DataFrame, sent: list[Broadcast]) -> bool:
-    """Whether a frequent phrase lies outside the sets that the last pass went by."""
+def _failures(parts: DataFrame, passes: list[list[Broadcast]]) -> list[int]:
+    """The sizes of which a frequent phrase lies outside the set that the last pass went by."""
 
     def failures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [b.value for b in passes[-1]]
         for batch in batches:
             sizes, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            n = sum(int((~b.value.has(h[sizes == k])).sum()) for k, b in enumerate(sent, 1))
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+            out = [k for k, s in enumerate(sets, 1) if not s.has(h[sizes == k]).all()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32())], names=["size"])
 
-    return bool(parts.mapInArrow(failures, "n bigint").agg(F.sum("n")).first()[0])
+    return [size for (size,) in parts.mapInArrow(failures, "size int").distinct().collect()]
 
 
 def collocations(
