@@ -88,7 +88,7 @@ class _FileWriter:
             self.held, self.n_held = [ids[whole:]], len(ids) - whole
 
     def _block(self, ids: np.ndarray) -> None:
-        self._put(self.blocks, rans.encode_block(ids, self.table))
+        self._put(self.blocks, rans.encode_block(ids, self.table, segment=rans.SEGMENT_IDS))
 
     def _put(self, places: list, data: bytes) -> None:
         self.out.write(data)
@@ -104,7 +104,7 @@ class _FileWriter:
             w.write_table(rows)
         index, data = [], sink.getvalue().to_pybytes()
         self._put(index, data)
-        footer = json.dumps({"blocks": self.blocks, "index": [*index[0], zlib.crc32(data)]}).encode()
+        footer = json.dumps({"block_ids": rans.BLOCK_IDS, "segment_ids": rans.SEGMENT_IDS, "blocks": self.blocks, "index": [*index[0], zlib.crc32(data)]}).encode()
         self.out.write(footer + _TAIL.pack(len(footer), zlib.crc32(footer), b"rANf"))
         self.out.close()
         return {"name": self.name, "part": self.part, "first": self.first, "rows": len(self.lengths), "ids": self.n_ids}
@@ -200,10 +200,10 @@ def _rows(f: pa.NativeFile, table: rans.FrequencyTable, stretch: Stretch) -> Ite
     starts = np.cumsum(lengths) - lengths
     # rows hold at least one id, so starts rise
     first, last = np.searchsorted(starts, [stretch.low, stretch.high])
-    ids = _Decoded(f, footer["blocks"], table)
+    ids = _Decoded(f, footer, table)
     while first < last:
         # as many rows as hold about a segment; a longer one comes alone
-        until = max(first + 1, int(np.searchsorted(starts, starts[first] + rans.SEGMENT_IDS)))
+        until = max(first + 1, int(np.searchsorted(starts, starts[first] + footer["segment_ids"])))
         until = min(until, last)
         begin, end = int(starts[first]), int(starts[until - 1] + lengths[until - 1])
         data = ids.between(begin, end).astype("<u4", copy=False)
@@ -219,12 +219,13 @@ def _rows(f: pa.NativeFile, table: rans.FrequencyTable, stretch: Stretch) -> Ite
 class _Decoded:
     """Ids of a file by place; blocks' bytes and the last decoded segment are kept while a row crosses them."""
 
-    def __init__(self, f: pa.NativeFile, blocks: list[list[int]], table: rans.FrequencyTable):
-        self.f, self.blocks, self.table, self.block, self.segment = f, blocks, table, (None, None, None), (None, None)
+    def __init__(self, f: pa.NativeFile, footer: dict, table: rans.FrequencyTable):
+        self.f, self.blocks, self.table, self.block, self.segment = f, footer["blocks"], table, (None, None, None), (None, None)
+        self.block_ids, self.segment_ids = footer["block_ids"], footer["segment_ids"]
 
     def _segment(self, k: int) -> np.ndarray:
         if self.segment[0] != k:
-            number, inner = divmod(k, rans.BLOCK_IDS // rans.SEGMENT_IDS)
+            number, inner = divmod(k, self.block_ids // self.segment_ids)
             if self.block[0] != number:
                 at, length = self.blocks[number]
                 data = self.f.read_at(length, at)
@@ -233,7 +234,7 @@ class _Decoded:
         return self.segment[1]
 
     def between(self, begin: int, end: int) -> np.ndarray:
-        n = rans.SEGMENT_IDS
+        n = self.segment_ids
         return np.concatenate([self._segment(k)[max(0, begin - k * n) : end - k * n] for k in range(begin // n, -(-end // n))])
 
 

@@ -88,9 +88,9 @@ def encode_block(ids: np.ndarray, table: FrequencyTable, lanes: int = LANES, seg
     n = len(ids)
     lanes = min(lanes, max(1, 1 << (max(n // 64, 1).bit_length() - 1)))
     bits, shift = np.uint64(table.bits), np.uint64(32 + _LOW_BITS - table.bits)
-    freq, cum = table.freq[ids], table.cum[ids]
-    if n and not freq.all():
+    if n and (int(ids.max()) >= len(table.freq) or not table.freq[ids].all()):
         raise ValueError("an id without frequency")
+    freq, cum = table.freq[ids], table.cum[ids]
     full = freq << shift
     x = np.full(lanes, _LOW, np.uint64)
     chunks, n_words, marks = [], 0, []

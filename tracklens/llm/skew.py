@@ -17,7 +17,7 @@ def hot_keys(left: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFr
     total = left.count()
     if total < SMALL_ROWS:
         return None
-    keys = left.select(*on)
+    keys = left.select(*on).dropna()
     found = keys.groupBy(*on).count().filter(F.col("count") >= max(2, int(share * total))).select(*on)
     rows = found.collect()  # at most 1 / share
     return spark.createDataFrame(rows, keys.schema) if rows else None
