@@ -93,7 +93,7 @@ def labeler_union(spark, d):
 
 
 _SHOWN = _FLAT + """,
-    asked AS (SELECT *, unnest(range(1, 21)) AS frame FROM task WHERE video_idx % 3 = 0),
+    asked AS (SELECT *, unnest(range(1, n + 1)) AS frame FROM task),
     keyed AS (SELECT video_idx, track_id, f0 AS shown_at, CAST(0.25 AS DOUBLE) AS xc FROM flat
               UNION ALL SELECT video_idx, track_id, f1, CAST(0.35 AS DOUBLE) FROM flat WHERE f1 <> f0)
     SELECT camera_id, video_id, frame, track_id, xc
@@ -101,9 +101,8 @@ _SHOWN = _FLAT + """,
 
 
 def _asked_frames(spark, d) -> DataFrame:
-    wanted = _containers(spark, d).filter("cast(substring(video_id, 2) as bigint) % 3 = 0")
-    return wanted.select(*VIDEO, F.sequence(F.lit(1), F.lit(20)).cast("array<bigint>").alias("target_frames"),
-                         F.lit(25.0).alias("ls_fps"), F.col("true_fps").alias("fps"))
+    frames = F.sequence(F.lit(1).cast("bigint"), F.col("frame_count")).alias("target_frames")
+    return _containers(spark, d).select(*VIDEO, frames, F.lit(25.0).alias("ls_fps"), F.col("true_fps").alias("fps"))
 
 
 @query("annotation_lines", _SHOWN, "a8")
@@ -112,6 +111,11 @@ def annotation_lines(spark, d):
     return lines.select(*VIDEO, "frame", "track_id", F.round("xc", 6).alias("xc"))
 
 
+def tasks_videos(tasks: DataFrame) -> DataFrame:
+    path = F.col("data.video")
+    return tasks.select(paths.camera_id(path).alias("camera_id"), paths.video_id(path).alias("video_id")).distinct()
+
+
 @query("stream_ingest", _SHOWN, "a8")
 def stream_ingest(spark, d):
     """The same through the stream, tasks arriving in two files a batch."""
@@ -121,8 +125,7 @@ def stream_ingest(spark, d):
     targets = _asked_frames(spark, d).withColumn("frame", F.explode("target_frames")).drop("target_frames")
     stream = ingest_annotations(annotation_stream(spark, f"{root}/in", max_files=2), targets, f"{root}/out", f"{root}/state")
     stream.awaitTermination()
-    known = tasks.select(paths.camera_id(F.col("data.video")).alias("camera_id"), paths.video_id(F.col("data.video")).alias("video_id"))
-    empty = targets.join(known.distinct(), VIDEO, "left_semi").join(ingested_lines(spark, f"{root}/out", targets), [*VIDEO, "frame"], "left_anti")
+    empty = targets.join(tasks_videos(tasks), VIDEO, "left_semi").join(ingested_lines(spark, f"{root}/out", targets), [*VIDEO, "frame"], "left_anti")
     lines = labels.relaxed_union([ingested_lines(spark, f"{root}/out", targets), empty.select(*VIDEO, "frame")])
     return lines.select(*VIDEO, "frame", "track_id", F.round("xc", 6).alias("xc"))
 

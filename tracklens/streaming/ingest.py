@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracklens.operators.boxes import box_lines, task_keyframes
@@ -11,6 +13,9 @@ from tracklens.sources import schemas
 from tracklens.sources.sinks import missing_only
 
 VIDEO = ["camera_id", "video_id"]
+KEYS = [*VIDEO, "track_id", "frame"]
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def annotation_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
@@ -18,36 +23,62 @@ def annotation_stream(spark: SparkSession, folder: str, max_files: int = 100) ->
     return spark.readStream.schema(schemas.TASKS).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def _runs(spark: SparkSession, sink: str) -> list[str]:
+    """The folders of the queries that have written to a sink, one for each checkpoint."""
+    fs, jpath = _path(spark, sink)
+    found = [f.getPath().getName() for f in fs.listStatus(jpath)] if fs.exists(jpath) else []
+    return [name for name in found if name.startswith("run=")]
 
 
 def ingest_annotations(tasks: DataFrame, targets: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Writes the boxes of all tasks that are there, and those alone that the sink does not hold yet.
+    """Writes the boxes of all tasks that are there, and those alone that have not come before.
+
+    ``targets`` holds ``camera_id, video_id, frame, ls_fps, fps``. Boxes are told apart by camera, video, track and frame; which have come is
+    keyed state of the query, kept with its checkpoint (in RocksDB unless the session names another store) and dealt over the state's
+    partitions. A batch looks up its own keys there and reads nothing that was written before, so its cost does not grow with the sink. Of two boxes
+    with one key the first batch's stays.
 
-    ``targets`` holds ``camera_id, video_id, frame, ls_fps, fps``. The sink holds boxes, one row per camera, video, track
-    and frame, in folders by camera; so tasks of one video may come in any number of batches, and a batch that is run again
-    after a failure adds nothing. A batch reads the folders of its own cameras only. Frames without any box are added
-    when reading (:func:`ingested_lines`), as no batch can know what later ones bring.
+    The sink holds a folder for each batch, written aside and renamed when it is whole, so a batch that is run again finds its own and adds nothing;
+    inside, folders by camera. Tasks of one video may come in any number of batches, late or again. A checkpoint that takes over a sink which
+    others have written to has no state of theirs: only then each batch of this start is also held against the keys of those others.
+    Frames without any box are added when reading (:func:`ingested_lines`), as no batch can know what later ones bring.
     """
-    keys = [*VIDEO, "track_id", "frame"]
+    spark = tasks.sparkSession
+    run = f"run={hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
+    others = [f"{sink}/{name}" for name in _runs(spark, sink) if name != run]
+    held = spark.read.option("basePath", sink).schema(schemas.BOX_LINES).parquet(*others).select(*KEYS) if others else None
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        own = batch.select(*VIDEO).distinct()
-        lines = box_lines(targets.join(own, VIDEO, "left_semi"), batch, VIDEO).filter("class_id is not null")
-        if _exists(spark, sink):
-            held = spark.read.schema(lines.schema).parquet(sink)
-            lines = missing_only(lines, held.select(*keys).join(own.select("camera_id").distinct(), "camera_id", "left_semi"), keys)
-        lines.dropDuplicates(keys).write.mode("append").partitionBy("camera_id").parquet(sink)
+    def write(batch: DataFrame, number: int) -> None:
+        fs, folder = _path(spark, f"{sink}/{run}/batch={number}")
+        if fs.exists(folder):
+            # run again after it was written: only the keyed state is still to be brought up to date
+            batch.write.format("noop").mode("overwrite").save()
+            return
+        aside = f"{sink}/_aside/{uuid.uuid4().hex}"
+        lines = batch if held is None else missing_only(batch, held, KEYS)
+        lines.write.partitionBy("camera_id").parquet(aside)
+        fs.mkdirs(folder.getParent())
+        if not fs.rename(_path(spark, aside)[1], folder):
+            raise OSError(f"could not rename {aside}")
 
-    return task_keyframes(tasks).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    lines = box_lines(targets, task_keyframes(tasks), VIDEO, how="inner").dropDuplicates(KEYS)
+    chosen = spark.conf.get(PROVIDER, None)
+    if chosen is None or chosen.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(PROVIDER, ROCKS)
+    try:
+        return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, chosen) if chosen is not None else spark.conf.unset(PROVIDER)
 
 
 def ingested_lines(spark: SparkSession, sink: str, targets: DataFrame) -> DataFrame:
     """What :func:`tracklens.operators.boxes.box_lines` gives for all tasks so far: the sink's boxes, and a row of nulls for
     each target frame of its videos without a box."""
-    held = spark.read.schema(schemas.BOX_LINES).parquet(sink)
+    held = spark.read.schema(schemas.BOX_LINES).parquet(sink).drop("run", "batch")
     asked = targets.select(*VIDEO, "frame").join(held.select(*VIDEO).distinct(), VIDEO, "left_semi")
     return asked.join(held, [*VIDEO, "frame"], "left")
