@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklens.functions.draws import permuted
 from tracklens.functions.numbers import frames_between, half_even, seeded_order
 
 KEY = ["camera_id", "video_id"]
@@ -113,6 +114,50 @@ def random_frames(videos: DataFrame, n: int, seed: int, keys: list[str] = KEY) -
     return videos.select(*keys, checked.alias("frames"))
 
 
+def _draw_key(seed: int, keys: list[str]) -> Column:
+    return F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+
+
+def draw_frames(videos: DataFrame, n: int, seed: int, keys: list[str] = KEY) -> DataFrame:
+    """As :func:`random_frames`, ``n`` rows ``keys, draw, frame`` a video, by a keyed permutation of its frames: the work is in proportion to
+    ``n``, however long the video is. An error where a video has fewer."""
+    if n == 0:
+        return videos.select(*keys, F.lit(0).cast("bigint").alias("draw"), F.lit(0).cast("bigint").alias("frame")).limit(0)
+    last = F.when(F.col("frames_count") >= n, n - 1).otherwise(F.raise_error(F.lit("fewer frames than asked for")).cast("int")).cast("bigint")
+    rows = videos.select(*keys, "frames_count", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("draw"))
+    return rows.select(*keys, "draw", (permuted(F.col("draw"), F.col("frames_count"), _draw_key(seed, keys)) + 1).alias("frame"))
+
+
+def draw_rests(tracks: DataFrame, videos: DataFrame, seed: int, keys: list[str] = KEY) -> DataFrame:
+    """``keys, frame`` of as many frames that no track covers as a video's most frequent label has, or as there are.
+
+    The uncovered frames are known by the gaps between covered stretches: a draw is a rank among them, and the gap that holds the rank gives the
+    frame. No row holds a video's frames. Videos without tracks draw none.
+    """
+    stretches = _island_rows(tracks, keys).join(videos.select(*keys, "frames_count"), keys).filter("first <= frames_count and last >= 1")
+    by_video = Window.partitionBy(*keys).orderBy("first")
+    ends = F.coalesce(F.lead("first").over(by_video), F.col("frames_count") + 1)
+    after = stretches.select(*keys, "frames_count", (F.col("last") + 1).alias("low"), ends.alias("high"))
+    starts = stretches.groupBy(*keys).agg(F.min("frames_count").alias("frames_count"), F.lit(1).cast("bigint").alias("low"), F.min("first").alias("high"))
+    gaps = after.unionByName(starts).filter("high > low")
+    # ranks before each gap, and of the whole video
+    order = Window.partitionBy(*keys).orderBy("low")
+    size = F.col("high") - F.col("low")
+    gaps = gaps.withColumns({
+        "_before": F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_free": F.sum(size).over(Window.partitionBy(*keys))})
+    most = label_counts(tracks, keys).groupBy(*keys).agg(F.max("n_frames").alias("_most"))
+    asked = gaps.groupBy(*keys).agg(F.max("_free").alias("_free")).join(most, keys)
+    draws = asked.filter("least(_most, _free) > 0").select(*keys, "_free", F.explode(F.expr("sequence(0L, least(_most, _free) - 1)")).alias("draw"))
+    ranks = draws.select(*keys, permuted(F.col("draw"), F.col("_free"), _draw_key(seed, keys)).alias("_rank"))
+    # a rank's gap is the last one that begins at it or before: gaps and ranks merge in one sorted pass
+    marks = gaps.select(*keys, F.col("_before").alias("_at"), F.lit(0).alias("_kind"), (F.col("low") - F.col("_before")).alias("_shift")).unionByName(
+        ranks.select(*keys, F.col("_rank").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_shift")))
+    merged = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.withColumn("_shift", F.last("_shift", ignorenulls=True).over(merged)).filter("_kind = 1")
+    return found.select(*keys, (F.col("_at") + F.col("_shift")).alias("frame"))
+
+
 def interpolate_keyframes(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Fills the frames between keyframes linearly; the last keyframe of a track appears once."""
     w = Window.partitionBy(*keys).orderBy("frame")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracklens.operators import clips, labels
-from tracklens.plans import export_queries, interval_queries
+from tracklens.functions.numbers import frames_between
+from tracklens.operators import clips, evaluation, frame_sets, intervals, labels, masks
+from tracklens.plans import export_queries, mask_queries
 from tracklens.plans.adapters import adapter, oracle
 from tracklens.plans.export_queries import _SHOWN, _asked_frames, _tasks
-from tracklens.plans.interval_queries import _INDEX, VIDEO
+from tracklens.plans.interval_queries import _INDEX, SEED, VIDEO, _index
 from tracklens.plans.scratch import scratch_dir
 from tracklens.sources import array_stream as arrays
 from tracklens.sources import sinks
@@ -57,3 +58,84 @@ def stream_replays(spark, d):
     empty = targets.join(known, VIDEO, "left_semi").join(ingested_lines(spark, f"{root}/out", targets), [*VIDEO, "frame"], "left_anti")
     lines = labels.relaxed_union([ingested_lines(spark, f"{root}/out", targets), empty.select(*VIDEO, "frame")])
     return lines.select(*VIDEO, "frame", "track_id", F.round("xc", 6).alias("xc"))
+
+
+def _permuted_sql(rows: str, key: str) -> str:
+    """``rows`` with ``x4``: the keyed permutation of ``draw``, round by round."""
+    low, high = "(bits // 2)", "(bits - bits // 2)"
+    inner = f"(SELECT *, draw AS x0 FROM {rows})"
+    for number in range(4):
+        prior, now = f"x{number}", f"x{number + 1}"
+        lower = f"({prior} & ((1::BIGINT << {low}) - 1))"
+        value = f"CAST('0x' || left(md5({key} || '|{number}|' || CAST({lower} AS VARCHAR)), 7) AS BIGINT)"
+        inner = f"(SELECT *, ({lower} << {high}) + (({prior} >> {low}) + {value}) % (1::BIGINT << {high}) AS {now} FROM {inner})"
+        low, high = high, low
+    return inner
+
+
+_BITS = "greatest(2, len(bin(greatest(frames_count - 1, 0))))"
+_STEP = _permuted_sql("(SELECT camera_id, video_id, n, bits, key, draw AS first_draw, x AS draw FROM w WHERE x >= n OR fresh)", "key")
+
+
+@query("frame_draws", f"""
+    v AS (SELECT camera_id, video_id, frames_count AS n, CAST({_BITS} AS BIGINT) AS bits, '42|' || camera_id || '|' || video_id AS key FROM a1),
+    w AS (
+      SELECT camera_id, video_id, n, bits, key, draw, draw AS x, true AS fresh FROM v, range(0, 25) r(draw)
+      UNION ALL
+      SELECT camera_id, video_id, n, bits, key, first_draw, x4, false FROM {_STEP} s)
+    SELECT camera_id, video_id, draw, x + 1 AS frame FROM w WHERE NOT fresh AND x < n""", "a1", recursive=True)
+def frame_draws(spark, d):
+    return intervals.draw_frames(adapter(spark, d, "a1"), 25, SEED)
+
+
+@query("frame_bitmaps", """
+    cover AS (SELECT DISTINCT camera_id, video_id, unnest(range(frame_begin, frame_end + 1)) AS frame FROM a2),
+    shown AS (SELECT camera_id, video_id, unnest(range(1, frames_count + 1)) AS frame FROM a1),
+    rare AS (SELECT DISTINCT camera_id, video_id, frame_begin AS frame FROM a2 WHERE label = 'Preening'),
+    joined AS (SELECT * FROM cover UNION SELECT * FROM shown),
+    rest AS (SELECT * FROM shown EXCEPT SELECT * FROM cover),
+    kept AS (SELECT * FROM cover EXCEPT SELECT * FROM rare)
+    SELECT camera_id, video_id, count(*) FILTER (k = 'u') AS n_union, count(*) FILTER (k = 'r') AS n_rest, count(*) FILTER (k = 'k') AS n_kept,
+           coalesce(CAST(sum(frame) FILTER (k = 'r') AS BIGINT), 0) AS rest_sum
+    FROM (SELECT *, 'u' AS k FROM joined UNION ALL SELECT *, 'r' FROM rest UNION ALL SELECT *, 'k' FROM kept) GROUP BY camera_id, video_id""", "a1", "a2")
+def frame_bitmaps(spark, d):
+    tracks, videos = adapter(spark, d, "a2"), adapter(spark, d, "a1")
+    covered = frame_sets.covered_bitmaps(tracks)
+    shown = frame_sets.covered_bitmaps(videos.select(*VIDEO, F.lit(1).cast("bigint").alias("frame_begin"), F.col("frames_count").alias("frame_end")))
+    rare = frame_sets.frame_bitmaps(tracks.filter("label = 'Preening'").select(*VIDEO, F.col("frame_begin").alias("frame")))
+    rest = frame_sets.difference(shown, covered)
+    out = frame_sets.counts(frame_sets.union(covered, shown)).withColumnRenamed("n", "n_union")
+    for name, part in (("n_rest", frame_sets.counts(rest)), ("n_kept", frame_sets.counts(frame_sets.difference(covered, rare))),
+                       ("rest_sum", frame_sets.frames_of(rest).groupBy(*VIDEO).agg(F.sum("frame").alias("n")))):
+        out = out.join(part.withColumnRenamed("n", name), VIDEO, "left")
+    return out.na.fill(0)
+
+
+@query("short_tracks", _INDEX + """,
+    have AS (SELECT camera_id, video_id, unnest(range(1, frames_count + 1)) AS frame FROM a1)
+    SELECT idx.camera_id, idx.video_id, track_id, count(*) AS n FROM idx JOIN have h ON h.camera_id = idx.camera_id AND h.video_id = idx.video_id
+         AND frame BETWEEN frame_begin AND frame_end AND frame % 7 <> 0 GROUP BY idx.camera_id, idx.video_id, track_id HAVING count(*) < 16""", "a1", "a2")
+def short_tracks(spark, d):
+    have = adapter(spark, d, "a1").select(*VIDEO, F.explode(frames_between(F.lit(1), F.col("frames_count"))).alias("frame"))
+    return clips.short_tracks(_index(spark, d), have.filter("frame % 7 <> 0"))
+
+
+@query("masks_without_truth", """
+    SELECT video_id, frame, cage_id FROM a4 WHERE frame % 5 = 0 AND cage_id <> 'c1'""", "a4")
+def masks_without_truth(spark, d):
+    objects = adapter(spark, d, "a4").select("video_id", "frame", "cage_id")
+    return evaluation.masks_without_truth(objects, objects.filter("frame % 5 <> 0 or cage_id = 'c1'"), ["video_id", "frame", "cage_id"])
+
+
+@query("quality_report", _INDEX + """,
+    n AS (SELECT count(*) AS tracks, count(*) FILTER (frame_end < frame_begin) AS backward, count(*) FILTER (frame_end - frame_begin + 1 < 16) AS below_clip,
+                 count(*) FILTER (label = 'Resting') AS resting, count(*) FILTER (split IS NULL) AS without_split FROM idx)
+    SELECT unnest(['backward', 'below_clip', 'resting', 'tracks', 'without_split']) AS finding,
+           unnest([backward, below_clip, resting, tracks, without_split]) AS n FROM n""", "a1", "a2")
+def quality_report(spark, d):
+    """What was observed while the clip index was written."""
+    index = _index(spark, d)
+    findings = {"tracks": F.lit(True), "backward": F.col("frame_end") < F.col("frame_begin"), "resting": F.col("label") == "Resting",
+                "below_clip": F.col("frame_end") - F.col("frame_begin") + 1 < 16, "without_split": F.col("split").isNull()}
+    seen = sinks.write_observed(index, scratch_dir(spark, "quality"), findings)
+    return spark.createDataFrame(sorted(seen.items()), "finding string, n bigint")

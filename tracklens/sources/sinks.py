@@ -17,6 +17,22 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, findings: dict[str, Column], fatal: tuple[str, ...] = (), mode: str = "overwrite") -> dict[str, int]:
+    """Writes ``df`` as Parquet and gives, by name, how many of its rows meet each condition: counted in the same pass, nothing is read twice.
+
+    A row that meets a ``fatal`` condition fails the job while it writes, so nothing is committed.
+    """
+    from pyspark.sql import Observation
+
+    told = Observation()
+    for name in fatal:
+        message = F.lit(f"a row is {name}")
+        df = df.filter(F.when(F.coalesce(findings[name], F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(True))
+    seen = df.observe(told, *(F.count_if(c).alias(name) for name, c in findings.items()))
+    seen.write.mode(mode).parquet(path)
+    return {name: int(told.get[name]) for name in findings}
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Appends rows to a log; every part file has the header, which :func:`tracklens.sources.readers.read_csv` takes off."""
     df.write.mode("append").option("header", True).csv(path)
