@@ -59,24 +59,111 @@ def tracking_metrics(
     """Tracking metrics of every sequence.
 
     Sequences with one true object and at most one prediction a frame, which is what one animal per cage gives, need no assignment:
-    they are joins, windows and sums. Sequences with more go to :func:`_assigned`, one sequence a group; the plan itself tells them
+    they are joins, windows and sums. Sequences with more go to :func:`crowded_tracking_metrics`, which cuts them in time; those that
+    show an id twice in a frame go whole to :func:`_assigned`. The plan itself tells them
     apart. ``crowded=False`` is the caller's word that there are none, and leaves that part of the plan out.
     """
     if not crowded:
         return simple_tracking_metrics(match_boxes(truth, predictions, by, iou_min), by)
-    crowd = truth.select(*by, "frame", F.lit(1).alias("k")).unionByName(predictions.select(*by, "frame", F.lit(2).alias("k"))).groupBy(
-        *by, "frame", "k").agg(F.count("*").alias("n")).filter("n > 1").select(*by).distinct()
-    plain = match_boxes(truth.join(crowd, by, "left_anti"), predictions.join(crowd, by, "left_anti"), by, iou_min)
     truth = truth if "truth_id" in truth.columns else truth.withColumn("truth_id", F.lit(1).cast("bigint"))
     columns = [*by, "frame", "kind", "id", "left", "top", "w", "h"]
-    mixed = truth.join(crowd, by, "left_semi").select(
-        *by, "frame", F.lit(0).alias("kind"), F.col("truth_id").alias("id"), "left", "top", "w", "h").unionByName(
-        predictions.join(crowd, by, "left_semi").select(
-            *by, "frame", F.lit(1).alias("kind"), F.col("pred_id").alias("id"), "left", "top", "w", "h"))
-    keys = ", ".join(f"{c} {mixed.schema[c].dataType.simpleString()}" for c in by)
-    general = mixed.select(*columns).groupBy(*by).applyInPandas(
+    boxes = truth.withColumns({"kind": F.lit(0), "id": F.col("truth_id")}).select(*columns).unionByName(
+        predictions.withColumns({"kind": F.lit(1), "id": F.col("pred_id")}).select(*columns))
+    frames = boxes.groupBy(*by, "frame", "kind").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+    crowd = frames.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.col("n") - F.col("n_ids")).alias("again")).filter("n > 1")
+    apart, unclear = crowd.filter("again = 0").select(*by), crowd.filter("again > 0").select(*by)
+    crowd = crowd.select(*by)
+    plain = match_boxes(truth.join(crowd, by, "left_anti"), predictions.join(crowd, by, "left_anti"), by, iou_min)
+    keys = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in by)
+    general = boxes.join(unclear, by, "left_semi").groupBy(*by).applyInPandas(
         lambda key, rows: _assigned(key, rows, by, iou_min), f"{keys}, {GENERAL_SCHEMA}")
-    return simple_tracking_metrics(plain, by).unionByName(general)
+    cut = crowded_tracking_metrics(truth.join(apart, by, "left_semi"), predictions.join(apart, by, "left_semi"), by, iou_min)
+    return simple_tracking_metrics(plain, by).unionByName(cut).unionByName(general)
+
+
+def _possible_pairs(truth: DataFrame, predictions: DataFrame, by: list[str], iou_min: float) -> DataFrame:
+    """``by, frame, truth_id, pred_id, iou`` of the boxes of a frame that overlap enough to be partners."""
+    shape = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("left", "top", "w", "h")]
+    both = truth.select(*by, "frame", "truth_id", *shape("t")).join(predictions.select(*by, "frame", "pred_id", *shape("p")), [*by, "frame"])
+    box = lambda k: tuple(F.col(f"{k}_{c}") for c in ("left", "top", "w", "h"))
+    return both.withColumn("iou", box_iou(box("t"), box("p"))).filter(F.col("iou") >= iou_min).select(*by, "frame", "truth_id", "pred_id", "iou")
+
+
+def _parts(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """``by, truth_id, pred_id, together, part``: two ids with the number of frames in which they could be partners, and the part of the sequence in which
+    all of these lie. No pair reaches over a part's end, so no partner can be kept from one part into the next."""
+    spans = pairs.groupBy(*by, "truth_id", "pred_id").agg(F.min("frame").alias("_first"), F.max("frame").alias("_last"), F.count("*").alias("together"))
+    w = Window.partitionBy(*by).orderBy("_first", "_last", "truth_id", "pred_id")
+    reached = F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("_first") > reached, F.lit(True)).cast("int")
+    spans = spans.withColumn("_fresh", fresh).withColumn("part", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.select(*by, "truth_id", "pred_id", "together", "part")
+
+
+def _partners(key: tuple, rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """The partners in each frame of one part: those of the frame before stay together where they still can, the others go at least cost."""
+    never = 1e6
+    last: dict = {}
+    out = []
+    for frame, now in rows.sort_values(["frame", "truth_id", "pred_id"]).groupby("frame", sort=True):
+        iou = {(t, p): o for t, p, o in zip(now["truth_id"], now["pred_id"], now["iou"])}
+        pairs = [(t, last[t]) for t in dict.fromkeys(now["truth_id"]) if t in last and (t, last[t]) in iou]
+        kept_t, kept_p = {t for t, _ in pairs}, {p for _, p in pairs}
+        open_t = [t for t in dict.fromkeys(now["truth_id"]) if t not in kept_t]
+        open_p = [p for p in sorted(set(now["pred_id"])) if p not in kept_p]
+        if open_t and open_p:
+            cost = np.array([[1 - iou[t, p] if (t, p) in iou else never for p in open_p] for t in open_t])
+            pairs += [(open_t[i], open_p[j]) for i, j in least_cost_pairs(cost) if cost[i, j] < never]
+        for t, p in pairs:
+            last[t] = p
+            out.append((*key[: len(by)], frame, t, p, iou[t, p]))
+    return pd.DataFrame(out, columns=[*by, "frame", "truth_id", "pred_id", "iou"])
+
+
+def crowded_tracking_metrics(truth: DataFrame, predictions: DataFrame, by: list[str], iou_min: float = 0.5) -> DataFrame:
+    """Tracking metrics of sequences with several objects or predictions a frame, each id once a frame.
+
+    Boxes of a frame that could be partners are an equi-join. A sequence is cut wherever no two ids that could be partners before
+    could be so again (:func:`_parts`); each part is solved alone, on its possible pairs only (:func:`_partners`), and gives its partners by frame. Switches,
+    fragmentations and covered shares are windows over each object's frames, whatever parts they are from; identities over the whole sequence are
+    assigned on the table of common frames, which has a row for two ids, not for a frame.
+    """
+    pairs = _possible_pairs(truth, predictions, by, iou_min)
+    parts = _parts(pairs, by)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*by, "frame", "truth_id", "pred_id").schema)
+    partners = pairs.join(parts.drop("together"), [*by, "truth_id", "pred_id"]).groupBy(*by, "part").applyInPandas(
+        lambda key, rows: _partners(key, rows, by), f"{kinds}, iou double")
+
+    objects = truth.select(*by, "frame", "truth_id").join(partners, [*by, "frame", "truth_id"], "left").withColumn("hit", F.col("pred_id").isNotNull())
+    own = Window.partitionBy(*by, "truth_id").orderBy("frame")
+    earlier, later = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
+    objects = objects.withColumns({
+        "last_id": F.last("pred_id", ignorenulls=True).over(earlier), "was_hit": F.lag("hit").over(own), "hit_later": F.max("hit").over(later)})
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    each = objects.groupBy(*by, "truth_id").agg(
+        F.count("*").alias("seen"), count(F.col("hit")).alias("hits"), count(F.col("hit") & (F.col("last_id") != F.col("pred_id"))).alias("switches"),
+        count(~F.col("hit") & F.col("was_hit") & F.col("hit_later")).alias("fragments"), F.sum(1 - F.col("iou")).alias("distance"))
+    share = F.col("hits") / F.col("seen")
+    sums = each.groupBy(*by).agg(
+        F.sum("seen").alias("num_objects"), F.sum("hits").alias("hits"), F.sum("switches").alias("num_switches"), F.sum("fragments").alias("num_fragmentations"),
+        F.sum("distance").alias("distance"), count(share >= 0.8).alias("mostly_tracked"), count((share >= 0.2) & (share < 0.8)).alias("partially_tracked"),
+        count(share < 0.2).alias("mostly_lost"))
+    frames = truth.select(*by, "frame", F.lit(0).alias("k")).unionByName(predictions.select(*by, "frame", F.lit(1).alias("k"))).groupBy(*by).agg(
+        F.count_distinct("frame").alias("num_frames"), F.count_if(F.col("k") == 1).alias("num_predictions"))
+
+    def identities(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        names_t, names_p = sorted(set(rows["truth_id"])), sorted(set(rows["pred_id"]))
+        at_t, at_p = {t: i for i, t in enumerate(names_t)}, {p: i for i, p in enumerate(names_p)}
+        together = np.zeros((len(names_t), len(names_p)))
+        together[rows["truth_id"].map(at_t), rows["pred_id"].map(at_p)] = rows["together"]
+        return pd.DataFrame([[*key, int(sum(together[i, j] for i, j in least_cost_pairs(-together)))]], columns=[*by, "idtp"])
+
+    by_kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*by).schema)
+    idtp = parts.groupBy(*by).applyInPandas(identities, f"{by_kinds}, idtp bigint")
+    rows = frames.join(sums, by, "left").na.fill(0, [
+        "num_objects", "hits", "num_switches", "num_fragmentations", "mostly_tracked", "partially_tracked", "mostly_lost"]).join(idtp, by, "left")
+    shares = {c: F.col(c) for c in ("mostly_tracked", "partially_tracked", "mostly_lost")}
+    return _metrics(rows, by, shares)
 
 
 def simple_tracking_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -100,7 +187,7 @@ def simple_tracking_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     return _metrics(sums.join(best, by, "left"), by)
 
 
-def _metrics(sums: DataFrame, by: list[str]) -> DataFrame:
+def _metrics(sums: DataFrame, by: list[str], shares: dict[str, Column] | None = None) -> DataFrame:
     hits, objects, predictions = F.col("hits"), F.col("num_objects"), F.col("num_predictions")
     idtp = F.coalesce("idtp", F.lit(0))
     misses, false = objects - hits, predictions - hits
@@ -113,7 +200,7 @@ def _metrics(sums: DataFrame, by: list[str]) -> DataFrame:
         "mostly_lost": flag(covered < 0.2), "precision": ratio(hits, hits + false), "recall": covered,
         "mota": 1 - ratio(misses + false + F.col("num_switches"), objects), "motp": ratio(F.col("distance"), hits),
         "idp": ratio(idtp, predictions), "idr": ratio(idtp, objects), "idf1": ratio(2 * idtp, objects + predictions),
-    }
+    } | (shares or {})
     return sums.select(*by, *(columns[m].alias(m) for m in METRICS))
 
 

@@ -270,7 +270,8 @@ ORACLE_SQL["label_defects"] = r"""
     SELECT doc_id FROM documents WHERE coalesce(text, '') <> '' AND len(string_split_regex(trim(text), '\s+')) <> 5"""
 
 
-#: Two animals a sequence, far apart, each with predicted ids of its own: the best assignment is that of each animal.
+#: Two animals a sequence, far apart, each with predicted ids of its own: the best assignment is that of each animal. The first
+#: cage is alone in its sequence, so simple and crowded sequences are in one table.
 @query("crowded_tracking", _MATCHED + """,
     x AS (SELECT *, last_value(CASE WHEN hit THEN pred_id END IGNORE NULLS) OVER e AS last_id,
                  last_value(CASE WHEN has_gt THEN hit END IGNORE NULLS) OVER e AS was_hit,
@@ -290,11 +291,11 @@ ORACLE_SQL["label_defects"] = r"""
            num_switches, num_fragmentations, mostly_tracked, round(CASE WHEN hits > 0 THEN dist / hits END, 6) AS motp,
            round(CASE WHEN num_objects > 0 THEN 1 - CAST(num_objects - hits + num_predictions - hits + num_switches AS DOUBLE) / num_objects END, 9) AS mota,
            round(CAST(2 * idtp AS DOUBLE) / (num_objects + num_predictions), 9) AS idf1
-    FROM g2 JOIN f USING (video_id, pair) WHERE pair > 0""", "a5")
+    FROM g2 JOIN f USING (video_id, pair)""", "a5")
 def crowded_tracking(spark, d):
     apart, pair = 1000 * F.col("cage_id"), F.expr("cage_id div 2").alias("pair")
     truth, found = mask_queries._boxes(spark, d)
-    own = lambda df: df.filter("cage_id > 1").select(
+    own = lambda df: df.select(
         "video_id", pair, "frame", (F.col("left") + apart).alias("left"), "top", "w", "h", "cage_id", *(["pred_id"] if "pred_id" in df.columns else []))
     truth = own(truth).withColumnRenamed("cage_id", "truth_id")
     found = own(found).withColumn("pred_id", F.col("pred_id") + 10 * F.col("cage_id")).drop("cage_id")
