@@ -42,6 +42,18 @@ def sliding_clips(rows: DataFrame, keys: list[str], num_frames: int = 16, stride
         "pos", F.col("_rn") - F.col("clip_idx") * stride).drop("_rn", "_n")
 
 
+def bucketed_clip_index(tracks: DataFrame, videos: DataFrame, guidance: DataFrame) -> DataFrame:
+    """:func:`clip_index` of tables in buckets by camera and video (:func:`tracklens.sources.sinks.write_bucketed`): both joins are on these keys and
+    shuffle nothing. ``guidance`` carries them beside ``video_path``, which has to agree as well."""
+    paths = videos.select(*KEY, "video_path")
+    splits = guidance.select(*KEY, F.col("video_path").alias("_path"), "split")
+    means = [c for c in ("mean_x", "mean_y", "mean_width", "mean_height") if c in tracks.columns]
+    # written as an equality it would become a join key, which the buckets do not have
+    same = "instr(video_path, _path) = 1 and instr(_path, video_path) = 1"
+    rows = tracks.join(paths.hint("merge"), KEY).join(splits.hint("merge"), KEY).filter(same)
+    return rows.select("track_id", *KEY, "label", "frame_begin", "frame_end", "split", *means)
+
+
 def frame_blocks(frames: DataFrame, keys: list[str], span: int) -> DataFrame:
     """The rank index of the distinct frames of each video (and cage): ``keys, block, frames, base`` with the sorted frames of every stretch
     of ``span`` frame numbers that has any, and the number of frames before it."""

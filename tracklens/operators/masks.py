@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklens.functions.numbers import clipped, frames_between, ratio, truncated
+from tracklens.functions.numbers import clipped, ratio, truncated
 
 VIDEO = ["camera_id", "video_id"]
 
@@ -184,16 +184,18 @@ def plan_all_cages(guidance: DataFrame, segments: DataFrame, boxes: DataFrame, b
     return segment_lookup(frames, segments, by).join(boxes, [*by, "segment_idx"])
 
 
+def with_runs(plan: DataFrame, runs: DataFrame, by: list[str] = VIDEO) -> DataFrame:
+    """Planned crops with their mask's runs, in rows and columns."""
+    own = [*by, "segment_idx", "cage_id"]
+    masks = runs.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
+    return plan.join(masks, own)
+
+
 def crop_jobs(plan: DataFrame, runs: DataFrame, images: DataFrame, by: list[str] = VIDEO) -> DataFrame:
     """Planned crops with their image and their mask's runs, the input of :func:`tracklens.operators.images.crop_images_mask`.
 
-    ``images`` holds ``by, frame`` and the image columns. ``origin`` becomes the crop's name, ``{image}_cage_{cage}``.
+    ``images`` holds ``by, frame`` and the image columns. ``origin`` becomes the crop's name, ``{image}_cage_{cage}``. An image is copied for each
+    of its crops; :func:`tracklens.operators.images.cut_images` moves it once.
     """
-    own = [*by, "segment_idx", "cage_id"]
-    masks = runs.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
-    rows = plan.join(masks, own).join(images, [*by, "frame"])
+    rows = with_runs(plan, runs, by).join(images, [*by, "frame"])
     return rows.withColumn("origin", F.concat("origin", F.lit("_cage_"), "cage_id"))
-
-
-def frames_of_segments(segments: DataFrame, by: list[str]) -> DataFrame:
-    return segments.select(*by, "segment_idx", F.explode(frames_between(F.col("start"), F.col("end"))).alias("frame"))

@@ -175,7 +175,7 @@ def _frames_as_images(spark, d) -> DataFrame:
         F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"))
 
 
-@query("cage_pixels", _HELD + """,
+CAGE_PIXELS = _HELD + """,
     have AS (SELECT DISTINCT video_id, frame FROM a4),
     job AS (SELECT l.video_id, l.frame, bb.* EXCLUDE (video_id) FROM looked l JOIN have USING (video_id, frame)
             JOIN bb ON bb.video_id = l.video_id AND bb.segment_idx = l.segment_idx),
@@ -184,7 +184,10 @@ def _frames_as_images(spark, d) -> DataFrame:
            FROM job j JOIN keyed k ON k.video_id = j.video_id AND k.segment_idx = j.segment_idx AND k.cage_id = j.cage_id
                 AND k.y BETWEEN y_min AND y_max AND k.x BETWEEN x_min AND x_max)
     SELECT video_id || '_' || frame || '_cage_' || cage_id AS origin, CAST(max(height) AS INTEGER) AS height, CAST(max(width) AS INTEGER) AS width,
-           string_agg(printf('%02X', v), '' ORDER BY y, x) AS pixels FROM px GROUP BY video_id, frame, cage_id""", "a4")
+           string_agg(printf('%02X', v), '' ORDER BY y, x) AS pixels FROM px GROUP BY video_id, frame, cage_id"""
+
+
+@query("cage_pixels", CAGE_PIXELS, "a4")
 def cage_pixels(spark, d):
     segments, runs, held = _held(spark, d)
     frames = adapter(spark, d, "a4").groupBy("video_id").agg(F.collect_set("frame").alias("target_frames"))

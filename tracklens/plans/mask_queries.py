@@ -94,7 +94,13 @@ _TRACKS = """
     FROM {lineitem}"""
 
 
-@query("assign_cage", _SEGMENTS + f""",
+def _located(spark, d):
+    segments = _segments(spark, d)
+    runs = masks.keyframe_masks(_runs(spark, d), segments, ["video_id"]).withColumn("cage_ord", F.expr("cast(substring(cage_id, 2) as int)"))
+    return spark.sql(_TRACKS, lineitem=table(spark, d, "lineitem")), segments, runs
+
+
+ASSIGNED = _SEGMENTS + f""",
     t AS ({_TRACKS.replace('{', '').replace('}', '')}),
     ref AS (SELECT video_id, min(frame_begin) AS frame FROM t GROUP BY video_id),
     used AS (SELECT r.video_id, coalesce(min(s.segment_idx), (SELECT max(segment_idx) FROM segs z WHERE z.video_id = r.video_id)) AS segment_idx
@@ -104,11 +110,12 @@ _TRACKS = """
     SELECT t.track_id, t.video_id, min(cage_id) AS cage_id
     FROM t JOIN key ON key.video_id = t.video_id AND key.y = CAST(trunc(least(7, greatest(0, mean_y * 8))) AS BIGINT)
          AND key.x = CAST(trunc(least(7, greatest(0, mean_x * 8))) AS BIGINT)
-    GROUP BY t.track_id, t.video_id""", "a4")
+    GROUP BY t.track_id, t.video_id"""
+
+
+@query("assign_cage", ASSIGNED, "a4")
 def assign_cage(spark, d):
-    tracks = spark.sql(_TRACKS, lineitem=table(spark, d, "lineitem"))
-    segments = _segments(spark, d)
-    runs = masks.keyframe_masks(_runs(spark, d), segments, ["video_id"]).withColumn("cage_ord", F.expr("cast(substring(cage_id, 2) as int)"))
+    tracks, segments, runs = _located(spark, d)
     return masks.assign_cages(tracks, segments, runs, SIDE, SIDE, ["video_id"]).select("track_id", "video_id", "cage_id")
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracklens.functions.numbers import frames_between
-from tracklens.operators import clips, evaluation, frame_sets, intervals, labels, masks
+from tracklens.operators import clips, evaluation, frame_sets, images, intervals, labels, masks, quadtree
 from tracklens.plans import export_queries, mask_queries
 from tracklens.plans.adapters import adapter, oracle
-from tracklens.plans.export_queries import _SHOWN, _asked_frames, _tasks
-from tracklens.plans.interval_queries import _INDEX, SEED, VIDEO, _index
+from tracklens.plans.export_queries import _SHOWN, _asked_frames, _frames_as_images, _held, _tasks
+from tracklens.plans.interval_queries import _INDEX, RATIOS, SEED, VIDEO, _index
 from tracklens.plans.scratch import scratch_dir
 from tracklens.sources import array_stream as arrays
-from tracklens.sources import sinks
+from tracklens.sources import readers, sinks
 from tracklens.streaming.ingest import annotation_stream, ingest_annotations, ingested_lines
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -139,3 +141,47 @@ def quality_report(spark, d):
                 "below_clip": F.col("frame_end") - F.col("frame_begin") + 1 < 16, "without_split": F.col("split").isNull()}
     seen = sinks.write_observed(index, scratch_dir(spark, "quality"), findings)
     return spark.createDataFrame(sorted(seen.items()), "finding string, n bigint")
+
+
+@query("bucketed_clip_index", _INDEX + " SELECT * FROM idx", "a1", "a2")
+def bucketed_clip_index(spark, d):
+    """The clip index of label tables that were written in buckets by camera and video."""
+    videos = adapter(spark, d, "a1")
+    guidance = videos.join(intervals.camera_splits(videos, RATIOS, SEED), "camera_id").select(*VIDEO, "video_path", "split")
+    root, ident = scratch_dir(spark, "buckets"), uuid.uuid4().hex
+    stored = [sinks.write_bucketed(df, f"{name}_{ident}", f"{root}/{name}") for name, df in (
+        ("tracks", adapter(spark, d, "a2")), ("videos", videos), ("guidance", guidance))]
+    return clips.bucketed_clip_index(*stored)
+
+
+#: The pixels of every cage of every frame, as ``cage_pixels`` gives them.
+@query("cage_cuts", export_queries.CAGE_PIXELS, "a4")
+def cage_cuts(spark, d):
+    segments, runs, held = _held(spark, d)
+    frames = adapter(spark, d, "a4").groupBy("video_id").agg(F.collect_set("frame").alias("target_frames"))
+    plan = masks.with_runs(masks.plan_all_cages(frames, segments, held, ["video_id"]), runs, ["video_id"])
+    cut = images.cut_images(_frames_as_images(spark, d), plan, ["video_id", "frame"])
+    return cut.select("origin", "height", "width", F.hex("data").alias("pixels"))
+
+
+@query("nested_masks", """
+    SELECT video_id, frame, cage_id, CAST(len(list_filter(embedding, lambda v: v > 0)) AS INTEGER) AS area FROM a4""", "a4")
+def nested_masks(spark, d):
+    """Masks with an outer level of one, written by frame and read back."""
+    root = scratch_dir(spark, "nested")
+    rows = adapter(spark, d, "a4").select("video_id", "frame", "cage_id", F.expr(
+        "array(transform(sequence(0, 7), y -> transform(sequence(0, 7), x -> embedding[8 * y + x] > 0)))").alias("mask"))
+    pairs = F.map_from_entries(F.collect_list(F.struct("cage_id", "mask")))
+    files = rows.groupBy("video_id", "frame").agg(F.to_json(pairs).alias("body"))
+    files.repartition("video_id", "frame").write.mode("overwrite").partitionBy("video_id", "frame").text(root)
+    back = readers.read_mask_json(spark, root, glob="*.txt")
+    number = lambda name: F.regexp_extract("path", rf"{name}=(\d+)", 1).cast("bigint").alias(name)
+    return back.select(number("video_id"), number("frame"), "cage_id", masks.mask_area_array(F.col("mask")).alias("area"))
+
+
+@query("cage_quadtree", mask_queries.ASSIGNED, "a4")
+def cage_quadtree(spark, d):
+    """The cage of each track, as ``assign_cage`` gives it."""
+    side = mask_queries.SIDE
+    found = quadtree.assign_cages_by_quadtree(*mask_queries._located(spark, d), side, side, ["video_id"], chunk_level=1)
+    return found.select("track_id", "video_id", "cage_id")

@@ -17,6 +17,16 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: tuple[str, ...] = ("camera_id", "video_id"), buckets: int = 64) -> DataFrame:
+    """Writes ``df`` as table ``table`` in ``buckets`` buckets of ``keys`` below ``path`` and gives the table.
+
+    Tables with the same keys and buckets join on these keys where they lie, without a shuffle of either.
+    """
+    rows = df.repartition(buckets, *keys)  # one file a bucket, whatever the input's partitions are
+    rows.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_observed(df: DataFrame, path: str, findings: dict[str, Column], fatal: tuple[str, ...] = (), mode: str = "overwrite") -> dict[str, int]:
     """Writes ``df`` as Parquet and gives, by name, how many of its rows meet each condition: counted in the same pass, nothing is read twice.
 
