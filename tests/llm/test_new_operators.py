@@ -269,3 +269,40 @@ def test_hot_keys_join_as_others(spark, tmp_path, monkeypatch):
     assert skew.hot_keys(left, ["k"]).count() == 1
     for how in ("inner", "left"):
         assert sorted(join_unique(left, right, ["k"], how).collect(), key=repr) == sorted(left.join(right, ["k"], how).collect(), key=repr)
+
+
+# --- pages whose article no element names -----------------------------------------------------------------------------
+
+
+PLAIN_PAGES = [
+    ("<div>Deep text here in the page, a whole sentence of it.</div>", "Deep text here in the page, a whole sentence of it."),
+    ("<div>" * 30 + "<p>A long sentence inside of thirty plain elements, without a name.</p>" + "</div>" * 30,
+     "A long sentence inside of thirty plain elements, without a name."),
+    ("<div>" * 30 + "A long sentence inside of thirty open elements, without any end.", "A long sentence inside of thirty open elements, without any end."),
+    ("<p>First paragraph of the text.</p><form><p>Enter mail</p></form><p>Second paragraph of it.</p><div class='comment'>I disagree!</div>",
+     "First paragraph of the text.\nSecond paragraph of it."),
+    ("<article><p>One sentence of the article.</p><form><p>Enter mail</p><button>Go</button></form><p>Another one, a little longer.</p></article>",
+     "One sentence of the article.\nAnother one, a little longer."),
+    ("<nav><a href='/'>Home</a> <a href='/b'>Blog</a></nav><div><div>The only block of this page that is prose and not a menu.</div></div>",
+     "The only block of this page that is prose and not a menu."),
+]
+
+
+@pytest.mark.parametrize("html,text", PLAIN_PAGES)
+def test_articles_without_a_named_container(html, text):
+    from tracklens.llm.html_extract import fit_block_field, main_text
+
+    assert main_text(html, fit_block_field()) == text
+
+
+def test_open_elements_cost_in_proportion():
+    """Tags left open, ends of what is not open, and a name of its own for every element."""
+    import time
+
+    from tracklens.llm.html_extract import fit_block_field, main_text
+
+    field = fit_block_field()
+    for page in ("<div>x y " * 50_000, "<div>" * 50_000 + "</p>x" * 50_000, "".join(f"<div class='a{i}b{i}'>x" for i in range(30_000))):
+        began = time.process_time()
+        main_text(page, field)
+        assert time.process_time() - began < 15

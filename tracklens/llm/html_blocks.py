@@ -21,15 +21,36 @@ CLOSES = {
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head", "title"},
 }
 _KEEPS_P = frozenset("button option select legend".split())
+_HOLDERS = frozenset("article main aside nav header footer form section".split())
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+class Place:
+    """An open element: what holds for all text inside it, shared with the element around it where it adds nothing.
+
+    ``names`` are the features of the ancestors together; only those in ``known`` are kept where that is given, so a page's places hold no more
+    than its elements and the known names, however deep it is.
+    """
+
+    __slots__ = ("tag", "names", "near", "marked", "held")
+
+    def __init__(self, around: "Place | None", tag: str, marks: list[str], known) -> None:
+        self.tag = tag
+        own = {f"tag:{tag}", *(f"word:{m}" for m in marks)} if around else set()
+        if known is not None:
+            own &= known
+        had = around.names if around else frozenset()
+        self.names = had if own <= had else had | own
+        self.near = [f"near:{m}" for m in marks] if marks else around.near if around else []
+        self.marked = tag if marks else around.marked if around else ""
+        self.held = tag if tag in _HOLDERS else around.held if around else ""
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    tags: tuple[str, ...]
-    tokens: tuple[tuple[str, ...], ...]
+    place: Place
     linked: int
 
 
@@ -42,11 +63,12 @@ class _Blocks(HTMLParser):
     drawings, frames and form fields are silent; formulas and what stands in for media are text like any other.
     """
 
-    def __init__(self):
+    def __init__(self, known=None):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.tags: list[str] = []
-        self.tokens: list[tuple[str, ...]] = []
+        self.known = known
+        self.places: list[Place] = [Place(None, "", [], known)]
+        self.n_open: dict[str, int] = {}
         self.parts: list[str] = []
         self.silent: list[str] = []
         self.links = self.linked = 0
@@ -55,12 +77,20 @@ class _Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, tuple(self.tags), tuple(self.tokens), min(self.linked, len(text))))
+                self.blocks.append(Block(text, self.places[-1], min(self.linked, len(text))))
             self.parts = []
         self.linked = 0
 
-    def close_to(self, depth: int) -> None:
-        del self.tags[depth:], self.tokens[depth:]
+    def close(self) -> str:
+        """Closes the innermost element and gives its tag."""
+        tag = self.places.pop().tag
+        self.n_open[tag] -= 1
+        return tag
+
+    def finish(self) -> list[Block]:
+        super().close()
+        self.flush()
+        return self.blocks
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.silent and self.silent[0] == "svg" and tag in ENDS_SVG:
@@ -81,8 +111,8 @@ class _Blocks(HTMLParser):
         self.flush()
         self.links = 0
         ends = CLOSES.get(tag, () if tag in _KEEPS_P else {"p"})
-        while self.tags and self.tags[-1] in ends:
-            self.close_to(len(self.tags) - 1)
+        while self.places[-1].tag in ends:
+            self.close()
         if tag in VOID_TAGS:
             return
         marks: list[str] = []
@@ -91,8 +121,8 @@ class _Blocks(HTMLParser):
                 marks += _TOKEN.findall(_CAMEL.sub(" ", value).lower())
             elif name == "hidden" or name == "style" and value and "display:none" in value.replace(" ", ""):
                 marks.append("hidden")
-        self.tags.append(tag)
-        self.tokens.append(tuple(marks))
+        self.places.append(Place(self.places[-1], tag, marks, self.known))
+        self.n_open[tag] = self.n_open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in SILENT_TAGS:
@@ -102,7 +132,7 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.silent and self.silent[0] == "svg" and tag in self.tags:
+        if self.silent and self.silent[0] == "svg" and self.n_open.get(tag):
             self.silent.clear()
         if self.silent:
             if tag == self.silent[-1]:
@@ -114,10 +144,9 @@ class _Blocks(HTMLParser):
             return
         self.flush()
         self.links = 0
-        for depth in range(len(self.tags) - 1, -1, -1):
-            if self.tags[depth] == tag:
-                self.close_to(depth)
-                break
+        if self.n_open.get(tag):
+            while self.close() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -126,34 +155,31 @@ class _Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page in page order; white space inside a block is one blank."""
-    parser = _Blocks()
+def blocks_of(html: str, known=None) -> list[Block]:
+    """The blocks of a page in page order; white space inside a block is one blank. ``known`` names bound what places hold."""
+    parser = _Blocks(known)
     parser.feed(html)
-    parser.close()
-    parser.flush()
-    return parser.blocks
-
-
-def describe(block: Block) -> set[str]:
-    """Names of what holds for a block: its ancestors' tags, their class and id words, and its text."""
-    out = {f"tag:{t}" for t in block.tags}
-    for depth, (tag, marks) in enumerate(zip(block.tags, block.tokens)):
-        out.update(f"word:{m}" for m in marks)
-        if marks:
-            near = [f"near:{m}" for m in marks]
-            nearest = tag
-    if any(block.tokens):
-        out.update(near)
-        out.add(f"marked:{nearest}")
-    out.add(f"parent:{block.tags[-1] if block.tags else ''}")
-    held = [t for t in block.tags if t in ("article", "main", "aside", "nav", "header", "footer", "form", "section")]
-    out.add(f"held:{held[-1] if held else ''}")
-    words = block.text.count(" ") + 1
-    out.add(f"words:{0 if words < 2 else 1 if words < 4 else 2 if words < 10 else 3 if words < 30 else 4}")
-    share = block.linked / len(block.text)
-    out.add(f"links:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}")
-    out.add(f"stop:{block.text[-1] in '.!?…。'}")
-    if "©" in block.text:
-        out.add("copyright")
+    return parser.finish()
+
+
+def _step(value: float, *limits: float) -> int:
+    return sum(value >= limit for limit in limits)
+
+
+def describe(blocks: list[Block]) -> list[set[str]]:
+    """Names of what holds for each block of a page: its ancestors' tags, their class and id words, its text, and its share of the page's text."""
+    whole = sum(len(b.text) for b in blocks) or 1
+    out = []
+    for block in blocks:
+        place = block.place
+        names = {*place.names, *place.near, f"parent:{place.tag}", f"held:{place.held}"}
+        if place.marked:
+            names.add(f"marked:{place.marked}")
+        words, share = block.text.count(" ") + 1, block.linked / len(block.text)
+        length, full = _step(words, 2, 4, 10, 30), block.text[-1] in ".!?…。"
+        names |= {f"words:{length}", f"links:{_step(share, 1e-9, 0.3, 0.8)}", f"stop:{full}", f"prose:{length}:{full}:{bool(place.near)}",
+                  f"share:{_step(len(block.text) / whole, 0.02, 0.1, 0.4)}"}
+        if "©" in block.text:
+            names.add("copyright")
+        out.append(names)
     return out

@@ -17,7 +17,7 @@ from tracklens.llm.html_blocks import blocks_of, describe
 from tracklens.llm.labelled_pages import labelled_page
 
 #: Labelled pages that the field is fitted on, and passes over them.
-FIT_PAGES, EPOCHS = 500, 8
+FIT_PAGES, EPOCHS = 700, 8
 RATE, DECAY, SEED = 0.3, 2e-4, 5
 
 
@@ -114,11 +114,11 @@ def _coded(page: tuple[str, list[str]]) -> tuple[list[set[str]], list[int]]:
     labels = []
     for b in blocks:
         # main texts come in page order; the title in the head repeats the heading and is not one
-        hit = bool(rest) and b.text == rest[0] and "title" not in b.tags
+        hit = bool(rest) and b.text == rest[0] and "tag:title" not in b.place.names
         labels.append(int(hit))
         if hit:
             rest.pop(0)
-    return [describe(b) for b in blocks], labels
+    return describe(blocks), labels
 
 
 @lru_cache(maxsize=4)
@@ -129,8 +129,8 @@ def fit_block_field(pages: int = FIT_PAGES, seed: int = SEED) -> BlockField:
 
 
 def main_text(html: str, field: BlockField) -> str:
-    blocks = blocks_of(html)
-    labels = field.decode(field.scores([describe(b) for b in blocks]))
+    blocks = blocks_of(html, field.names.keys())
+    labels = field.decode(field.scores(describe(blocks)))
     return "\n".join(b.text for b, y in zip(blocks, labels) if y)
 
 

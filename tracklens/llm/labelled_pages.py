@@ -120,8 +120,38 @@ class _Writer:
         self.add(f"</{tag}>")
 
 
+def _bare_page(rng: random.Random) -> tuple[str, list[str]]:
+    """A page whose article no element names: text in plain ``div`` or other elements, at any depth, with forms and comments that stand alone."""
+    w = _Writer(rng)
+    if rng.random() < 0.5:
+        w.add(f"<html><head><title>{w.words(2, 9)}</title></head><body>")
+    for kind, chance in (("header", 0.2), ("menu", 0.4), ("notice", 0.2), ("ad", 0.15)):
+        if rng.random() < chance:
+            w.part(kind)
+    depth = rng.choice((0, 0, 1, 2, 5, 12, 30))
+    w.add("<div>" * depth)
+    if rng.random() < 0.4:
+        w.main(rng.choice(("h1", "h2", "div")), 2, 9)
+    for _ in range(rng.choice((1, 1, 2, 3, 6))):
+        w.main(rng.choice(("div", "div", "p", "p", "section", "td")), *rng.choice(((3, 14), (8, 40), (20, 90))))
+        r = rng.random()
+        if r < 0.12:
+            w.add(f"<form><p>{w.words(1, 5)}</p><input><button>{w.words(1, 2)}</button></form>")
+        elif r < 0.2:
+            w.part(rng.choice(("ad", "share", "notice")))
+    for _ in range(rng.choice((0, 0, 0, 1, 1, 2))):
+        inner = rng.choice(("div", "p", "li", "section"))
+        w.add(f'<{inner} {rng.choice(("class", "id"))}="{rng.choice(PARTS["comments"])}">{w.words(1, rng.choice((4, 20, 50)))}</{inner}>')
+    w.add("</div>" * (depth if rng.random() < 0.8 else 0))
+    if rng.random() < 0.4:
+        w.part("footer")
+    return "".join(w.html), w.texts
+
+
 def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     """A page and the texts of its main blocks in page order."""
+    if rng.random() < 0.3:
+        return _bare_page(rng)
     w = _Writer(rng)
     title = w.words(2, 9)
     w.add("<!DOCTYPE html><html><head><title>", title, "</title><style>p{}</style></head><body>")
