@@ -376,3 +376,14 @@ def test_blocks_survive_broken_markup():
     blocks = html_blocks.blocks_of("<ul><li>a<li>b</ul><p>c<div>d</span></div>e &lt;x&gt;<table><tr><td>f<td>g<p>h")
     assert [b.text for b in blocks] == ["a", "b", "c", "d", "e <x>", "f", "g", "h"]
     assert html_blocks.blocks_of("<") and not html_blocks.blocks_of("<p></p>")
+
+
+def test_overflow_pages_are_the_same_in_every_run_and_nearly_full(spark):
+    rng = random.Random(3)
+    docs = table(spark, plain([(1, "x" * rng.randint(0, 120)) for _ in range(6000)] + [(i, "q") for i in range(2, 50)])).repartition(5).persist()
+    docs.count()
+    one, two = (
+        sorted((r.doc_id, r.n_bytes, r.shard, r.page, r.shard_bytes) for r in sharding.extendible_shards(docs, limit=4000).collect()) for _ in range(2))
+    assert one == two and len(one) == 6048
+    pages = {(s, p): b for _, _, s, p, b in one if p}
+    assert max(pages.values()) <= 4000 and sum(pages.values()) > 0.75 * 4000 * len(pages)

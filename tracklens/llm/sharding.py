@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.llm.common import Workspace
+from tracklens.llm.skew import join_unique
 
 #: Byte limit of a shard, in UTF-8 bytes of text.
 LIMIT_BYTES = 4 << 20
 HASH_BITS = 60
+#: Limits' worth of overflowing rows in a chain of pages, and the size classes of rows in a chain.
+CHAIN_LIMITS, SIZE_CLASSES = 32, 8
 #: Directory bits that are counted ahead in one pass over the rows.
 STEP_BITS = 4
 
@@ -30,7 +33,8 @@ def extendible_shards(
 
     A row larger than the limit cannot be split and has a shard of its own or with rows of the
     same hash; so have rows that repeat a key, whose hash cannot tell them apart: they overflow into
-    numbered pages (``page``), filled in parallel chains of salted rows.
+    numbered pages (``page``), filled in parallel chains of salted rows. Rows are numbered once, in the table that
+    the operator writes first, so a task that runs again deals the same pages.
 
     Returns ``key, n_bytes, shard, depth, page, shard_bytes``. Null texts have 0 bytes, null keys hash
     like the empty text. Other columns are ignored; an empty table gives an empty result.
@@ -42,7 +46,8 @@ def extendible_shards(
         docs.select(
             F.col(key).alias("id"),
             F.coalesce(F.octet_length(key if text is None else text), F.lit(0)).cast("bigint").alias("n_bytes"),
-            F.conv(F.substring(name, 1, HASH_BITS // 4), 16, 10).cast("bigint").alias("hash")), "rows")
+            F.conv(F.substring(name, 1, HASH_BITS // 4), 16, 10).cast("bigint").alias("hash"),
+            F.monotonically_increasing_id().alias("row")), "rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(HASH_BITS, max(1, -(-total // limit) - 1).bit_length() + STEP_BITS)
     cells = rows.groupBy(F.shiftright("hash", HASH_BITS - bits).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
@@ -108,22 +113,29 @@ def _shards(ws: Workspace, cells: DataFrame, level: int, bits: int, limit: int)
     return out
 
 
-def _pages(rows: DataFrame, limit: int, chains: int = 64) -> DataFrame:
+def _pages(rows: DataFrame, limit: int) -> DataFrame:
     """Overflow pages of rows that share a whole hash.
 
-    Rows go to ``chains`` chains by random salt; in each chain bytes add up row by row and a new page
-    begins with every row that would begin in the next half limit, so a page of rows of at
-    most half the limit holds at most the limit. Larger rows have odd pages of their own, the others even ones.
+    A hash has a chain of pages for every ``CHAIN_LIMITS`` limits of bytes; its rows go to chains by a salt of their number. In a
+    chain, rows of ``limit / 2**(k + 1)`` to ``limit / 2**k`` bytes fill pages of their own (``k`` of 1 to ``SIZE_CLASSES``, the last
+    with all smaller rows): bytes add up row by row, and a page takes the rows that begin within one stretch of
+    ``limit - limit / 2**k``, so it holds at most the limit, and all but the last of a chain nearly
+    that where rows are small. Rows above half the limit have a page each.
     """
     from pyspark.sql import Window
 
-    salted = rows.withColumn("chain", F.pmod(F.xxhash64("hash", "n_bytes", F.monotonically_increasing_id()), F.lit(chains)))
-    chain = Window.partitionBy("hash", "chain").orderBy("n_bytes", "id")  # larger rows last
-    before = F.sum("n_bytes").over(chain.rowsBetween(Window.unboundedPreceding, -1))
-    half = max(1, limit // 2)
-    place = F.when(F.col("n_bytes") > half, 2 * F.row_number().over(chain).cast("bigint") + 1).otherwise(
-        2 * (F.coalesce(before, F.lit(0)) / half).cast("bigint"))
-    paged = salted.withColumn("page", place * chains + F.col("chain"))
+    chains = rows.groupBy("hash").agg(F.ceil(F.sum("n_bytes") / (CHAIN_LIMITS * limit)).alias("chains")).withColumn(
+        "chains", F.greatest("chains", F.lit(1)))
+    size_class = sum(((F.col("n_bytes") * (1 << k)) <= limit).cast("bigint") for k in range(1, SIZE_CLASSES + 1))
+    salted = join_unique(rows, chains, ["hash"]).withColumns({
+        "chain": F.pmod(F.xxhash64("hash", "row"), F.col("chains")), "size_class": size_class})
+    chain = Window.partitionBy("hash", "chain", "size_class").orderBy("row")
+    before = F.coalesce(F.sum("n_bytes").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the largest row of a class has limit >> class bytes at most
+    stretch = F.greatest(F.lit(1), F.lit(limit) - F.expr(f"shiftright({limit}L, cast(size_class as int))"))
+    place = F.when(F.col("size_class") == 0, F.row_number().over(chain).cast("bigint") - 1).otherwise(F.floor(before / stretch))
+    page = (place * (SIZE_CLASSES + 1) + F.col("size_class")) * F.col("chains") + F.col("chain") + 1
+    paged = salted.withColumn("page", page.cast("bigint"))
     size = paged.groupBy("hash", "page").agg(F.sum("n_bytes").alias("shard_bytes"))
     return paged.join(size, ["hash", "page"]).select(
         "id", "n_bytes", F.lpad(F.conv(F.col("hash").cast("string"), 10, 2), HASH_BITS, "0").alias("shard"),
