@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracklens.llm.components import connected_components
 from tracklens.llm.common import Workspace
-from tracklens.llm.embed_dedup import embedding_near_dedup, nearest_pivots
+from tracklens.llm.embed_dedup import candidate_pairs, embedding_near_dedup, nearest_pivots
 from tracklens.llm.exact_dedup import drop_exact_duplicates, exact_dedup
 from tracklens.llm.near_dedup import near_dedup
 from tracklens.llm.shingles import band_keys, circulant_minhash, common, shingle_set
@@ -207,3 +207,29 @@ def test_links_of_a_dense_group_against_brute_force(spark):
     got = {r.vec_id: r for r in embedding_near_dedup(df).collect()}
     assert [got[i].n_links for i in range(10_000)] == many.tolist()
     assert {got[i].component_id for i in group.tolist()} == {group.min()}
+
+
+def test_vectors_without_keys_count_as_links(spark):
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.01]), (None, [0.0, 1.0]), (None, [0.01, 1.0]), (None, [0.0, 1.0]), (7, [-1.0, 0.0]), (7, [-1.0, 0.0]), (8, [-0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_near_dedup(df).collect()), key=str)
+    assert got == sorted([
+        (None, 1, 1, False), (1, 1, 1, True), (None, 2, None, True), (None, 2, None, True), (None, 2, None, True),
+        (7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True)], key=str)
+
+
+def test_shared_pivots_are_counted_before_any_cosine():
+    """Against a loop over all pairs; every pair is met in one list only."""
+    rng = np.random.default_rng(2)
+    near = np.array([rng.choice(30, 6, replace=False) for _ in range(60)], dtype=np.int32)
+    for shared in (1, 2, 4):
+        met = []
+        for pivot in range(30):
+            rows = np.flatnonzero((near == pivot).any(axis=1))
+            half = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+            for x, y, same in ((half[0], half[0], True), (half[1], half[1], True), (half[0], half[1], False)):
+                if len(x) and len(y):
+                    i, j = np.nonzero(candidate_pairs(near[x], near[y], pivot, same, shared))
+                    met += [tuple(sorted(p)) for p in zip(x[i].tolist(), y[j].tolist())]
+        want = {(a, b) for a in range(60) for b in range(a + 1, 60) if len(set(near[a]) & set(near[b])) >= shared}
+        assert len(met) == len(set(met)) and set(met) == want

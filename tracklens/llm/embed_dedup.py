@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 
 from tracklens.llm.common import Workspace, on_workers
 from tracklens.llm.components import connected_components
+from tracklens.llm.skew import join_unique
 
 COSINE = 0.95
 #: Nearest pivots kept of each vector, and how many of them a candidate pair must share.
-PREFIX, SHARED = 10, 1
+PREFIX, SHARED = 10, 2
 MIN_PIVOTS, MAX_PIVOTS = 64, 4096
 #: No two pivots are closer than this cosine, so that a dense group is ordered by few of them.
 PIVOT_COSINE = 0.8
 #: Vectors of one inverted list that meet another such portion in one row.
 PORTION = 512
+#: Candidates of a block that are verified at once, and the share of its pairs from which all are multiplied.
+CHUNK, DENSE = 65_536, 0.1
 SEED = 23
+#: Classes of vectors without any key are named by a hash above this number, so keys must lie below it.
+NO_KEY = 1 << 62
 
 
 def pivot_count(n: int) -> int:
@@ -57,22 +62,41 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return np.take_along_axis(top, order, axis=1).astype(np.int32)
 
 
+def candidate_pairs(pa_: np.ndarray, pb: np.ndarray, pivot: int, same: bool, shared: int) -> np.ndarray:
+    """Which pairs of two portions of the inverted list of ``pivot`` are candidates, as a boolean matrix.
+
+    Shared pivots are counted, before any vector is looked at, by one product of incidence matrices. A pair is a candidate with
+    ``shared`` pivots or more in common, and only in the list of the smallest of them, so that it is met once over all lists.
+    """
+    names, at = np.unique(np.concatenate((pa_, pb)), return_inverse=True)
+    at, step = at.reshape(-1, pa_.shape[1]), np.float32(pa_.shape[1] + 1)
+
+    def incidence(rows: np.ndarray, lower: np.float32) -> np.ndarray:
+        out = np.zeros((len(rows), len(names)), dtype=np.float32)
+        out[np.arange(len(rows))[:, None], rows] = 1
+        out[:, names < pivot] *= lower
+        return out
+
+    # a smaller pivot in common counts for more than all others together
+    count = incidence(at[: len(pa_)], np.float32(1)) @ incidence(at[len(pa_):], step).T
+    found = (count >= shared) & (count < step)
+    return np.triu(found, 1) if same else found
+
+
 def link_block(
     a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, pivot: int, same: bool, shared: int, cosine: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Linked rows ``(i, j)`` of two portions of one inverted list.
-
-    A pair counts when it shares ``shared`` pivots or more and its cosine is high enough, and
-    only in the list of the smallest pivot that both have, so that it is found once over all lists.
-    """
-    i, j = np.nonzero(a @ b.T >= cosine)
-    if same:
-        i, j = i[i < j], j[i < j]
-    equal = pa_[i][:, :, None] == pb[j][:, None, :]
-    enough = equal.sum(axis=(1, 2)) >= shared
-    lowest = np.where(equal.any(axis=2), pa_[i], np.iinfo(np.int32).max).min(axis=1, initial=np.iinfo(np.int32).max)
-    use = enough & (lowest == pivot)
-    return i[use], j[use]
+    """Linked rows ``(i, j)`` of two portions of one inverted list: their candidates whose cosine is high enough."""
+    found = candidate_pairs(pa_, pb, pivot, same, shared)
+    i, j = np.nonzero(found)
+    if len(i) >= DENSE * found.size:
+        near = (a @ b.T)[i, j] >= cosine
+    else:
+        near = np.zeros(len(i), dtype=bool)
+        for at in range(0, len(i), CHUNK):
+            part = slice(at, at + CHUNK)
+            near[part] = np.einsum("ij,ij->i", a[i[part]], b[j[part]]) >= cosine
+    return i[near], j[near]
 
 
 def spanning_links(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -104,8 +128,8 @@ def embedding_near_dedup(
 
     A bounded sample of the vectors themselves (``pivots``, by default :func:`pivot_count`), thinned
     until no two are close (:func:`spread_pivots`), are the pivots. Every vector is described by its ``prefix`` nearest pivots in order and enters their
-    inverted lists; pairs that share ``shared`` pivots or more are candidates and are verified in
-    double precision. Lists are dealt out in portions of about ``PORTION`` vectors and every two
+    inverted lists; shared pivots are counted along the lists, and pairs with ``shared`` or more are candidates
+    and are verified in double precision. Lists are dealt out in portions of about ``PORTION`` vectors and every two
     portions of a list meet in a row of their own, so a large group spreads over many tasks; a task
     gives counts and a spanning forest of its links, never the pairs. Identical vectors are one
     class and only count.
@@ -115,7 +139,8 @@ def embedding_near_dedup(
 
     Returns ``key, n_links, component_id, kept`` per row. Vectors that are null, empty, zero or hold null,
     NaN or infinite components link with nothing, and so do vectors of different lengths. Rows
-    with null keys count as vectors; a key that repeats with other vectors is one vector with the links of
+    with null keys count as vectors; a component without any key has a null ``component_id``, and its rows are ``kept``. Keys are
+    below 2^62. A key that repeats with other vectors is one vector with the links of
     all. Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -124,9 +149,14 @@ def embedding_near_dedup(
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    # equal vectors meet again by two hashes, so that no vector is shuffled as a key twice
+    plus_zero = F.transform("v", lambda x: x + F.lit(0.0))
+    digests = {"d1": F.xxhash64(F.lit(SEED), plus_zero), "d2": F.xxhash64(F.lit(SEED + 1), plus_zero)}
     good = rows.filter(usable)
+    light = ws.put(good.withColumns(digests).select("id", "d1", "d2"), "light")
     classes = ws.put(
-        good.groupBy("v").agg(F.min("id").alias("cls"), F.count("*").alias("weight")), "classes")
+        good.groupBy("v").agg(F.min("id").alias("cls"), F.count("*").alias("weight")).withColumns(digests).withColumn(
+            "cls", F.coalesce("cls", F.lit(NO_KEY) + F.shiftrightunsigned("d1", 2))), "classes")
     n = classes.count()
     wanted = pivots or pivot_count(n)
     sample = classes.select("v").orderBy(F.xxhash64(F.lit(SEED), "v")).limit(wanted).collect()
@@ -202,9 +232,10 @@ def embedding_near_dedup(
     labels = connected_components(ws, found.filter("other is not null"), "cls", "other")
     per_class = classes.join(links, "cls", "left").join(
         labels.select(F.col("node").alias("cls"), "label"), "cls", "left"
-    ).select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-             F.coalesce("label", "cls").alias("component_id"))
-    result = good.join(per_class, "v").select("id", "n_links", "component_id").unionByName(
+    ).select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+             F.coalesce("label", "cls").alias("component_id")).withColumn(
+        "component_id", F.when(F.col("component_id") < NO_KEY, F.col("component_id")))
+    result = join_unique(light, ws.put(per_class, "per_class"), ["d1", "d2"]).select("id", "n_links", "component_id").unionByName(
         rows.filter(~usable).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
     return ws.result(
         result.select(
