@@ -301,14 +301,20 @@ def argmax_prediction(spark, d):
     return _scored(spark, d)
 
 
-def _identity_model():
-    return lambda batch: np.asarray(batch, dtype=np.float64)
+def _linear_model():
+    """Ten classes: twice the own feature less the next one, and a bias."""
+    own = np.eye(10)
+    weights, bias = 2 * own - np.roll(own, 1, axis=1), np.arange(1, 11) % 3 / 8
+    return lambda batch: np.asarray(batch, dtype=np.float64) @ weights.T + bias
 
 
-@query("batch_score", _PAIRS + " SELECT vec_id, pred_class FROM p", "a6")
+@query("batch_score", """
+    x AS (SELECT vec_id, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE)) AS x FROM a6),
+    s AS (SELECT vec_id, list_transform(range(1, 11), lambda k: 2 * x[k] - x[k % 10 + 1] + CAST(k % 3 AS DOUBLE) / 8) AS logits FROM x)
+    SELECT vec_id, CAST(list_position(logits, list_max(logits)) - 1 AS BIGINT) AS pred_class FROM s""", "a6")
 def batch_score(spark, d):
     rows = adapter(spark, d, "a6").withColumn("x", F.slice("embedding", 1, 10).cast("array<double>"))
-    return scoring.score(rows, "x", _identity_model, 10).select("vec_id", scoring.predicted_class(F.col("logits")).alias("pred_class"))
+    return scoring.score(rows, "x", _linear_model, 10).select("vec_id", scoring.predicted_class(F.col("logits")).alias("pred_class"))
 
 
 @query("confusion_matrix", _PAIRS + """,
@@ -379,15 +385,12 @@ def renumbered_frames(spark, d):
 
 
 @query("label_files", _LINES + """
-    SELECT video_id, frame, count(*) AS n_lines, CAST(round(sum(xc), 6) AS DOUBLE) AS sum_xc FROM lines GROUP BY video_id, frame""", "a5")
+    SELECT video_id, frame, count(*) AS n_lines, round(sum(CAST(printf('%.6f', xc) AS DOUBLE)), 6) AS sum_xc FROM lines GROUP BY video_id, frame""", "a5")
 def label_files(spark, d):
-    """Writes label bodies and reads them back: counts and coordinates survive the text form to 6 places."""
+    """Makes label bodies and parses them again: what is returned are the lines and coordinates of the text form."""
     from tracklens.sources.sinks import box_label_files
 
     lines = _lines(spark, d)
     files = box_label_files(lines, lines, ["video_id", "frame"])
     back = files.select("video_id", "frame", F.explode(F.split("body", "\n")).alias("l")).withColumn("v", box.parse_line(F.col("l"), 5))
-    made = back.groupBy("video_id", "frame").agg(F.count("v").alias("n_lines"), F.sum(F.col("v")[1]).alias("back_xc"))
-    exact = lines.groupBy("video_id", "frame").agg(F.sum("xc").alias("sum_xc"))
-    return made.join(exact, ["video_id", "frame"]).filter(F.abs(F.col("back_xc") - F.col("sum_xc")) < 1e-5).select(
-        "video_id", "frame", "n_lines", F.round("sum_xc", 6).alias("sum_xc"))
+    return back.groupBy("video_id", "frame").agg(F.count("v").alias("n_lines"), F.round(F.sum(F.col("v")[1]), 6).alias("sum_xc"))
