@@ -50,8 +50,9 @@ def test_exact_dedup(spark, digest):
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((i, t or ""))
     want = []
     for members in groups.values():
-        best = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
-        want += [(i, best, len(members), i == best) for i, _ in members]
+        order = sorted(range(len(members)), key=lambda k: (-len(members[k][1]), members[k][0] is None, members[k][0] or 0))
+        best = members[order[0]][0]
+        want += [(i, best, len(members), k == order[0]) for k, (i, _) in enumerate(members)]  # one row of a group stays
     got = [tuple(r)[:4] for r in exact_dedup(table(spark, ROWS), salts=3, digest=digest).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
@@ -64,6 +65,60 @@ def test_exact_dedup_of_nothing_and_the_rows_that_stay(spark):
     assert ids == [3, 6, 7, 9, 11, None]
 
 
+@pytest.mark.parametrize("digest", [None, lambda c: F.length(c).cast("string")])
+def test_one_row_of_a_group_is_kept_whatever_repeats(spark, digest):
+    rows = [(1, "a b"), (1, "ab"), (2, "ab"), (3, "cd"), (3, "cd"), (3, "cd"), (None, "ef"), (None, "ef"), (None, "e f")]
+    got = exact_dedup(table(spark, rows), digest=digest).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=repr) == sorted([
+        (1, 1, 3, True), (1, 1, 3, False), (2, 1, 3, False), *[(3, 3, 3, k) for k in (True, False, False)],
+        *[(None, None, 3, k) for k in (True, False, False)]], key=repr)
+
+
+def test_hot_classes_give_the_same_components(spark, monkeypatch):
+    """A third of the rows copies of one text without keys, a third near copies of one document, and a key with many texts."""
+    from tracklens.llm import skew
+
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    near = [(1000 + i, " ".join([*base[:59], f"x{i}"])) for i in range(80)]
+    rows = [*near, *[(None, "same text of all these rows")] * 79, (7, "same text of all these rows"), *[(i, f"p{i} q{i} r{i}") for i in range(2000, 2080)]]
+    rows += [(3000, " ".join(rng.choice(base) for _ in range(30))) for _ in range(20)]
+    want = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup(table(spark, rows), width=2).collect()), key=repr)
+    monkeypatch.setattr(skew, "SMALL_ROWS", 0)
+    monkeypatch.setattr(skew, "HOT_SHARE", 0.05)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup(table(spark, rows), width=2).collect()), key=repr)
+    assert got == want and {c for i, _, c in got if i and i // 1000 == 1} == {1000} and {c for i, _, c in got if i is None} == {7}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_rows_of_a_hot_key_are_dealt_over_tasks(spark, tmp_path, monkeypatch, how):
+    from tracklens.llm import skew
+
+    monkeypatch.setattr(skew, "SMALL_ROWS", 0)
+    spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 100 != 1, F.col("id")).alias("k"), "id").write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    right = spark.range(0, 2000, 2).select(F.col("id").alias("k"), F.explode(F.array(F.col("id") * 2, F.lit(1))).alias("v"))
+    for by in ("id", None):
+        got = skew.join_dealt(left, right, "k", by, how)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, left.join(right, "k", how).select(*got.columns).collect()), key=repr)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions stay as they are
+    try:
+        tasks = skew.join_dealt(left, right.hint("merge"), "k", "id", how).groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count_if("k = 0").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r.n for r in tasks) == 2000 and max(r.n for r in tasks) < 1000  # the hot key's rows, over 4 tasks
+
+
+def test_long_words_are_not_remembered():
+    from tracklens.llm import shingles
+
+    shingles._MEMO.clear()
+    long = b"w" * (shingles.MEMO_LENGTH + 1)
+    assert list(shingle_set(long + b" short", 1)) == list(shingle_set(b"short " + long, 1))
+    assert set(shingles._MEMO) == {b"short"}
+
+
 def test_components_of_chains_stars_and_repeats(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 120)] + [(7, 7), (5, 4), (5, 4), (200, 119)]
     edges = spark.createDataFrame([*links, (None, 3)], "a bigint, b bigint")

@@ -219,6 +219,32 @@ def test_mixing_takes_what_the_targets_ask_for(spark):
     assert words == sum(r.taken for r in got) and mixed.columns == [*table(spark, []).columns, "mix_shard"]
 
 
+def test_rows_without_keys_spread_over_the_mix(spark, monkeypatch):
+    """A third without keys, some of them alike, and a third with one key: sums as ever, places of their own."""
+    from tracklens.llm import skew
+
+    monkeypatch.setattr(skew, "SMALL_ROWS", 0)
+    monkeypatch.setattr(mixing, "MAX_TASKS", 5)
+    rows = [(None, "w " * (i % 7), "en", "a") for i in range(200)] + [(5, f"w {i} x", "en", "ab"[i % 2]) for i in range(200)]
+    rows += [(1000 + i, f"w {i}", "en", "b") for i in range(200)]
+    got = mixing.mix_plan(table(spark, rows), block_words=16, shard_words=100).collect()
+    assert len(got) == len(rows) and len({(r.id, r.fp, r.nth) for r in got if r.size}) == sum(1 for r in rows if r[1].strip())
+    sources = {}
+    for r in got:
+        assert r.taken <= 2 * r.size and r.taken == sum(c.words for c in r.copies)
+        sources.setdefault(r.idx, [r.target, 0])[1] += r.taken
+    assert all(abs(target - taken) <= 1 for target, taken in sources.values())
+    again = mixing.mix_plan(table(spark, rows).repartition(7), block_words=16, shard_words=100).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+    mixed = mixing.mix_documents(table(spark, rows), block_words=16, shard_words=100)
+    assert mixed.rdd.getNumPartitions() == 5
+    parts = mixed.select(F.spark_partition_id().alias("p"), "mix_shard", F.regexp_count("text", F.lit(mixing.WORD)).alias("n")).collect()
+    assert sum(r.n for r in parts) == sum(r.taken for r in got)
+    assert len({(r.p, r.mix_shard) for r in parts}) == len({r.mix_shard for r in parts}) > 5
+    order = [(r.p, r.mix_shard) for r in parts]
+    assert order == sorted(order)
+
+
 def test_mixing_without_words(spark):
     assert mixing.mix_plan(table(spark, []).limit(0)).count() == 0
     got = mixing.mix_plan(table(spark, [(1, None, None, None), (2, " ", None, "s")])).collect()

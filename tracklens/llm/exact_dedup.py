@@ -57,8 +57,9 @@ def exact_dedup(
     different contents, if any, are resolved by a second join on the content itself.
 
     Returns ``key, keep_id, group_size, kept, text_sha256``. Null keys sort last and stay only
-    when no other row of the group has a key (``keep_id`` is then null, ``kept`` true). Rows that
-    repeat a key and a text are each counted and each ``kept``. Empty tables give empty results;
+    when no other row of the group has a key (``keep_id`` is then null). ``kept`` is true for one row of every group: rows
+    that repeat a key are told apart by length; of those that also repeat the length, which give the same result, one
+    is ``kept`` and each is counted. Rows alike are one row with a count until the end, so none of this needs a window. Empty tables give empty results;
     other columns are ignored, whatever their names. ``digest`` may name another digest function
     (tests use a weak one).
     """
@@ -74,8 +75,9 @@ def exact_dedup(
         .withColumn("sha", sha)
         .withColumn("digest", digest(F.col("content")) if digest else F.col("sha"))
     )
-    light = ws.put(rows.select("id", "sha", "digest"), "light")
-    counts = ws.put(light.groupBy("digest").agg(F.count("*").alias("rows")), "counts")
+    alike = rows.groupBy("id", "sha", "digest", "length").agg(F.count("*").alias("m"))
+    light = ws.put(alike, "light")
+    counts = ws.put(light.groupBy("digest").agg(F.sum("m").alias("rows")), "counts")
     total = counts.agg(F.sum("rows")).first()[0] or 0
     hot = counts.filter(F.col("rows") >= max(2, HOT_SHARE * total)).select("digest", F.lit(True).alias("hot"))
     salted = (
@@ -97,19 +99,21 @@ def exact_dedup(
     clear = per_digest.filter("contents = 1").select("digest", "rank", "n")
     at_once = clear.join(F.broadcast(hot), "digest", "left_semi")  # at most 1 / HOT_SHARE rows
     kept = light.join(F.broadcast(at_once), "digest").unionByName(
-        light.join(F.broadcast(hot), "digest", "left_anti").join(clear, "digest")).select("id", "sha", "rank", "n")
+        light.join(F.broadcast(hot), "digest", "left_anti").join(clear, "digest")).select("id", "sha", "length", "m", "rank", "n")
     clash = per_digest.filter("contents > 1").select("digest")
     if clash.limit(1).count():
         apart = salted.join(clash, "digest", "left_semi").groupBy("digest", "content").agg(
             F.max("rank").alias("rank"), F.sum("n").alias("n"))
-        more = rows.join(clash, "digest", "left_semi").join(apart, ["digest", "content"])
-        kept = kept.unionByName(more.select("id", "sha", "rank", "n"))
+        more = rows.join(clash, "digest", "left_semi").groupBy("id", "sha", "length", "digest", "content").agg(
+            F.count("*").alias("m")).join(apart, ["digest", "content"])
+        kept = kept.unionByName(more.select("id", "sha", "length", "m", "rank", "n"))
     keep_id = _key_of(F.col("rank"))
-    return ws.result(kept.select(
+    each = kept.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
+    return ws.result(each.select(
         F.col("id").alias(key),
         keep_id.alias("keep_id"),
         F.col("n").alias("group_size"),
-        F.col("id").eqNullSafe(keep_id).alias("kept"),
+        ((F.col("nth") == 1) & (_rank(F.col("length"), F.col("id")) == F.col("rank"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     ))
 
@@ -118,13 +122,14 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat a key and a text, one.
 
     Whole rows are shuffled once: rows with equal key and digest are reduced to the longest, first in each task,
-    and meet the keys that stay in the same partitioning. Null keys and empty tables are taken as in :func:`exact_dedup`.
+    and meet the keys that stay in the same partitioning; equally long ones go by code point order of the text. Null keys and empty tables are taken as in :func:`exact_dedup`.
     """
     own_key = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null"))
     found = exact_dedup(docs, key, text).filter("kept").select(
         own_key.alias("_own_key"), F.col("text_sha256").alias("_own_sha")).distinct()
     content = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE_SPACE, "")
-    first = Window.partitionBy("_own_key", "_own_sha").orderBy(F.char_length(F.coalesce(F.col(text), F.lit(""))).desc())
+    first = Window.partitionBy("_own_key", "_own_sha").orderBy(
+        F.char_length(F.coalesce(F.col(text), F.lit(""))).desc(), F.col(text).asc_nulls_last())
     return (
         docs.withColumns({"_own_key": own_key, "_own_sha": F.sha2(content.cast("binary"), 256)})
         .withColumn("_own_nth", F.row_number().over(first)).filter("_own_nth = 1")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.llm.common import Workspace
+from tracklens.llm.skew import hot_keys
 
 WEIGHTS = (3, 1, 2)
 PERCENT = 150
@@ -28,6 +29,8 @@ MIN_SHARDS = 8
 MAX_BUNDLES = 4_096
 #: Tasks that rank the sources, and tasks that a source's rows are dealt over when they meet its row.
 RANK_TASKS, SALTS = 32, 16
+#: Tasks that the mixed shards are written by at most; each takes a run of whole shards.
+MAX_TASKS = 1 << 14
 
 
 def _ranked(ws: Workspace, totals: DataFrame) -> DataFrame:
@@ -166,7 +169,9 @@ def mix_plan(
     ``(shard, order, words)`` of each taking, ``order`` being the random order inside a shard.
     Null texts have no words and are never taken; null sources form the last source; null keys
     and rows that repeat a key are rows of their own (``fp`` is the text's hash, ``nth`` numbers
-    equal rows). An empty table, or one without words, takes nothing.
+    equal rows, which are one row with a count until they are numbered). A row's place in the stream comes from its key;
+    where keys are null or one key has many rows, from text and number as well, so that they spread over the stream.
+    An empty table, or one without words, takes nothing.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mix")
@@ -176,10 +181,9 @@ def mix_plan(
         F.col(source).alias("source"),
         F.regexp_count(body, F.lit(WORD)).cast("bigint").alias("size"),
         F.xxhash64(body).alias("fp"),
-        F.md5(F.concat(F.lit(f"mix-{seed}-"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("order_hash"),
     )
-    sized = ws.put(light, "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"))
+    sizes = ws.put(light, "sizes")
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("size"))
     targets = ws.put(source_targets(ws, totals, weights, percent, cap), "targets")
     n_sources = targets.count()
     n_bundles = min(n_sources, MAX_BUNDLES)
@@ -197,12 +201,25 @@ def mix_plan(
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # not broadcast by hand: the table of sources grows with the data, so Spark's size check decides
     own_salt = F.pmod(F.xxhash64("id", "fp"), F.lit(SALTS)) == sources["salt"]
+    sized = sizes.groupBy("id", "source", "size", "fp").agg(F.count("*").alias("m"))
     rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"]) & own_salt).drop("source", "salt")
-    nth = F.row_number().over(Window.partitionBy("id", "fp").orderBy("idx")).cast("bigint")
     none = F.lit(0).cast("bigint")  # rows without words are never taken: they need no number and no place
-    streams = _stream_starts(rows.filter("size > 0").withColumn("nth", nth)).unionByName(
-        rows.filter("size = 0").withColumns({"nth": none, "start": none}))
-    rows = ws.put(streams, "streams")
+    # a row and a count for each source that has the key and text
+    earlier = F.sum("m").over(Window.partitionBy("id", "fp").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.coalesce(earlier, F.lit(0)) + 1
+    numbered = rows.filter("size > 0").withColumn("first", first).withColumn(
+        "nth", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("m") - 1))).drop("first", "m")
+    many = hot_keys(sizes, ["id"])
+    own_hash = F.concat(F.lit(f"mix-{seed}-"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    spread = F.md5(F.concat_ws("-", own_hash, F.col("fp").cast("string"), F.col("nth").cast("string")))
+    crowded = F.col("id").isNull()
+    if many is not None:
+        numbered = numbered.join(F.broadcast(many.withColumn("many", F.lit(True))), "id", "left")
+        crowded = crowded | F.col("many").isNotNull()
+    numbered = numbered.withColumn("order_hash", F.when(crowded, spread).otherwise(F.md5(own_hash))).drop("many")
+    empty = rows.filter("size = 0").withColumns({"nth": none, "start": none, "order_hash": F.md5(own_hash)}).withColumn(
+        "m", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m")))).drop("m")
+    rows = ws.put(_stream_starts(numbered).unionByName(empty), "streams")
 
     # one row for each time that a pass reaches a document
     in_pass = F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("pass")
@@ -257,7 +274,9 @@ def mix_plan(
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mixed documents themselves: each taken row once per taking, dealt to its output shards.
 
-    Columns are those of ``docs`` and ``mix_shard``. Each partition is a whole shard in random order.
+    Columns are those of ``docs`` and ``mix_shard``. Each partition is a whole shard in random order, or a run of them where
+    there are more than ``MAX_TASKS`` shards. Rows with null keys and rows that repeat a key are rows of their own; rows alike in key and text are numbered
+    by source, ties in any order, in one task for each such group. An empty table gives an empty result.
     A document that is taken in part (at most one for each source) keeps its first words,
     separated by single blanks; if ``docs`` has ``n_chars``, that follows the text.
     """
@@ -266,12 +285,14 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     copies = plan.filter("taken > 0").select(
         own_key("id").alias("_own_key"), F.col("fp").alias("_own_fp"), F.col("nth").alias("_copy_nth"),
         F.col("size").alias("_size"), F.explode("copies").alias("_copy"))
-    same = Window.partitionBy("_own_key", "_own_fp").orderBy(source)
-    rows = docs.filter(F.col(text).rlike(WORD)).withColumns(
-        {"_own_key": own_key(key), "_own_fp": F.xxhash64(F.col(text))}
-    ).withColumn("_own_nth", F.row_number().over(same).cast("bigint"))
-    # the numbers are compared behind the join, so that it takes over the window's partitioning and texts move once
-    out = rows.join(copies, ["_own_key", "_own_fp"]).filter(F.col("_own_nth") - F.col("_copy_nth") == 0)
+    rows = docs.filter(F.col(text).rlike(WORD)).withColumns({"_own_key": own_key(key), "_own_fp": F.xxhash64(F.col(text))})
+    if plan.filter("nth > 1").limit(1).count():
+        # rows alike in key and text: numbers must agree too, and texts move a second time
+        same = Window.partitionBy("_own_key", "_own_fp").orderBy(F.col(source).asc_nulls_last())
+        rows = rows.withColumn("_copy_nth", F.row_number().over(same).cast("bigint"))
+        out = rows.join(copies, ["_own_key", "_own_fp", "_copy_nth"])
+    else:
+        out = rows.join(copies, ["_own_key", "_own_fp"])
     kept = F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_copy.words").cast("int"))
     out = out.withColumn(
         text, F.when(F.col("_copy.words") < F.col("_size"), F.array_join(kept, " ")).otherwise(F.col(text)))
@@ -279,9 +300,10 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
         out = out.withColumn("n_chars", F.char_length(text).cast("bigint"))
     last = plan.select(F.explode("copies.shard").alias("shard")).agg(F.max("shard")).first()[0]
     shards = (last or 0) + 1
+    tasks = min(shards, MAX_TASKS)
     return (
         out.withColumns({"mix_shard": F.col("_copy.shard"), "_order": F.col("_copy.order")})
-        .repartitionById(shards, F.col("mix_shard").cast("int"))  # a partition for each shard
+        .repartitionById(tasks, F.expr(f"mix_shard * {tasks} div {shards}").cast("int"))
         .sortWithinPartitions("mix_shard", "_order")
         .select(*(F.col(f"`{c}`") for c in docs.columns), "mix_shard")
     )

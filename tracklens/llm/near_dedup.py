@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracklens.llm.common import Workspace, on_workers
 from tracklens.llm.components import connected_components
 from tracklens.llm.shingles import band_keys, circulant_minhash, common, shingle_set
+from tracklens.llm.skew import join_dealt
 
 WIDTH = 5
 PERCENT = 80
@@ -85,11 +86,13 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
+    """The pairs ``(a, b)``, a written table, whose full sets are similar enough.
+
+    One class may be in a third of the pairs: those are dealt over tasks, with a copy of its set each."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    both = pairs.join(left, "a").join(right, "b").filter(sized).select("a", "b", "sa", "sb")
+    both = join_dealt(join_dealt(pairs, right, "b", "a"), left, "a", "b", keys=pairs).filter(sized).select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,14 +177,15 @@ def near_dedup(
         .filter("first <> last").select("bucket", "first"))
     members = ws.put(_by_bucket(exploded, shared), "members")
     needed = members.select("cls").distinct()
-    chosen = body.join(needed.select(F.col("cls").alias("id")), "id", "left_semi")
+    chosen = join_dealt(body, needed.select(F.col("cls").alias("id")), "id", "text", keys=hashed)
     sets = _sets(chosen, width, bands * rows).join(classes.select("fp", "cls"), ["fp", "cls"], "left_semi")
     sets = ws.put(sets.dropDuplicates(["fp", "cls"]).select("cls", "n", "shingles", "sign"), "sets")
 
     several = hashed.filter("fp is not null").groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
-    same_key = hashed.join(several.select("id"), "id", "left_semi").join(classes.select("fp", "cls"), "fp").select(
-        F.col("id").alias("a"), F.col("cls").alias("b"))
-    pairs = members.filter("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
+    same_key = join_dealt(
+        join_dealt(hashed.select("id", "fp"), several.select("id"), "id", "fp", keys=hashed), classes.select("fp", "cls"), "fp", "id",
+        keys=hashed).select(F.col("id").alias("a"), F.col("cls").alias("b"))
+    pairs = ws.put(members.filter("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
     links = _verify(pairs, sets, percent).unionByName(same_key)
     labels = ws.put(connected_components(ws, links), "labels-first")
 
@@ -197,14 +201,16 @@ def near_dedup(
             return labels
         own = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         other = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        edges = links.join(own, "a", "left").join(other, "b", "left").select(
+        edges = join_dealt(join_dealt(links, own, "a", "b", "left"), other, "b", "a", "left", keys=links).select(
             F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
         up = connected_components(ws, edges).select(F.col("node").alias("old"), F.col("label").alias("new"))
         nodes = labels.unionByName(
             links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             .join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+        nodes = ws.put(nodes, f"nodes-{name}")
         return ws.put(
-            nodes.join(up, nodes["label"] == up["old"], "left").select("node", F.coalesce("new", "label").alias("label")),
+            join_dealt(nodes, up.withColumnRenamed("old", "label"), "label", "node", "left").select(
+                "node", F.coalesce("new", "label").alias("label")),
             f"labels-{name}")
 
     def open_members(name: str) -> DataFrame:
@@ -219,18 +225,19 @@ def near_dedup(
         draw = F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "cls").alias("h"), "cls", "label")).alias("anchor")
         anchors = rest.groupBy("bucket").agg(draw).select(
             "bucket", F.col("anchor.cls").alias("anchor"), F.col("anchor.label").alias("anchor_label"))
-        pairs = _by_bucket(rest, anchors).filter("label <> anchor_label").select(
-            F.least("anchor", "cls").alias("a"), F.greatest("anchor", "cls").alias("b")).distinct()
+        pairs = ws.put(_by_bucket(rest, anchors).filter("label <> anchor_label").select(
+            F.least("anchor", "cls").alias("a"), F.greatest("anchor", "cls").alias("b")).distinct(), f"pairs{turn}")
         labels = merge(_verify(pairs, sets, percent), f"turn{turn}")
         rest = open_members(f"turn{turn}")
     if rest.limit(1).count():
         labels = merge(_verify_blocks(_rest_blocks(ws, rest, sets, percent, margin), percent), "last")
 
+    light = hashed.filter("fp is not null").select("id", "n", "fp")
+    per_class = classes.select("fp", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select(
+        "fp", F.coalesce("label", "cls").alias("component_id"))
     result = (
-        hashed.filter("fp is not null").select("id", "n", "fp")
-        .join(classes.select("fp", "cls"), "fp")
-        .join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
-        .select("id", "n", F.coalesce("label", "cls").alias("component_id"))
+        join_dealt(light, per_class, "fp", None)  # a text with a third of the rows is one class
+        .select("id", "n", "component_id")
         .unionByName(hashed.filter("fp is null").select("id", "n", F.col("id").alias("component_id")))
     )
     return ws.result(

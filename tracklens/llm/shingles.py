@@ -8,14 +8,17 @@ import xxhash
 from tracklens.llm.common import hold_memo
 
 U64 = np.uint64
-MEMO_WORDS = 250_000
+#: Words that are remembered, and the longest of them in bytes; together they bound the memo's memory.
+MEMO_WORDS, MEMO_LENGTH = 250_000, 64
 #: Shingles that go through the permutation at once; the buffers stay in the processor's cache.
 BLOCK_SHINGLES = 1 << 15
 
 
 class _Memo(dict):
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMO_LENGTH:
+            self[word] = value
         return value
 
 
