@@ -174,7 +174,8 @@ def simple_tracking_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
         "last_id": F.last(matched, ignorenulls=True).over(earlier),
         # the state of the truth frame before, over truth frames only
         "was_hit": F.last(F.when(F.col("has_t"), F.col("hit")), ignorenulls=True).over(earlier),
-        "hit_later": F.max(F.col("hit")).over(order.rowsBetween(1, Window.unboundedFollowing)),
+        # against the last hit of all: a window over what follows costs the square of the sequence
+        "hit_later": F.col("frame") < F.max(F.when(F.col("hit"), F.col("frame"))).over(Window.partitionBy(*by)),
     })
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
     sums = rows.groupBy(*by).agg(
