@@ -100,22 +100,61 @@ def _parts(pairs: DataFrame, by: list[str]) -> DataFrame:
     return spans.select(*by, "truth_id", "pred_id", "together", "part")
 
 
+def _clear_and_open(pairs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The pairs of clear frames and those of open ones.
+
+    In a clear frame no id could go with two others, so all its pairs are partners whatever came before. Rows of open frames get ``known_frame``, the object's
+    last clear frame before, ``known`` (whether the two were partners in it), and ``part``. A row needs the open frames since then, from the one in which its pair could be partners before (or, where that
+    was the clear frame itself, from the object's first open frame); parts are cut wherever no row reaches back over the cut.
+    """
+    whole = Window.partitionBy(*by, "frame")
+    distinct = lambda c: F.size(F.collect_set(c).over(whole))
+    rows = pairs.withColumn("_open", F.count("*").over(whole) > F.least(distinct("truth_id"), distinct("pred_id")))
+    own = Window.partitionBy(*by, "truth_id")
+    before = own.orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    clear = F.when(~F.col("_open"), F.struct("frame", "pred_id"))
+    known = rows.withColumns({"_known": F.last(clear, ignorenulls=True).over(before), "_stretch": F.count(clear).over(before)}).withColumns({
+        "_again": F.lag("frame").over(Window.partitionBy(*by, "truth_id", "pred_id").orderBy("frame")),
+        "_first": F.min(F.when(F.col("_open"), F.col("frame"))).over(Window.partitionBy(*by, "truth_id", "_stretch"))})
+    needs = (F.col("_first") < F.col("frame")) & (F.coalesce(F.col("_again") >= F.col("_known.frame"), F.col("_again").isNotNull()))
+    found = known.filter("_open").withColumn("_from", F.when(needs, F.greatest("_again", "_first")).otherwise(F.col("frame")))
+    # both windows take all rows of a frame together
+    found = found.withColumn("_reach", F.min("_from").over(Window.partitionBy(*by).orderBy(F.desc("frame"))))
+    found = found.withColumn("part", F.count_if(F.col("_reach") >= F.col("frame")).over(Window.partitionBy(*by).orderBy("frame")))
+    columns = [*by, "frame", "truth_id", "pred_id", "iou"]
+    return rows.filter("not _open").select(*columns), found.select(
+        *columns, F.coalesce(F.col("_known.frame"), F.lit(-(1 << 62))).alias("known_frame"),
+        F.coalesce(F.col("_known.pred_id") == F.col("pred_id"), F.lit(False)).alias("known"), "part")
+
+
 def _partners(key: tuple, rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
-    """The partners in each frame of one part: those of the frame before stay together where they still can, the others go at least cost."""
+    """The partners in each open frame of one part: those before stay together where they still can, the others go at least cost."""
     never = 1e6
     last: dict = {}
     out = []
-    for frame, now in rows.sort_values(["frame", "truth_id", "pred_id"]).groupby("frame", sort=True):
-        iou = {(t, p): o for t, p, o in zip(now["truth_id"], now["pred_id"], now["iou"])}
-        pairs = [(t, last[t]) for t in dict.fromkeys(now["truth_id"]) if t in last and (t, last[t]) in iou]
+    rows = rows.sort_values(["frame", "truth_id", "pred_id"])
+    frame_of, known_of = rows["frame"].to_numpy(), rows["known_frame"].to_numpy()
+    truths, found, overlaps, together = (rows[c].tolist() for c in ("truth_id", "pred_id", "iou", "known"))
+    cuts = [0, *(np.flatnonzero(frame_of[1:] != frame_of[:-1]) + 1).tolist(), len(rows)]
+    for low, high in zip(cuts, cuts[1:]):
+        frame = frame_of[low]
+        iou = {(truths[k], found[k]): overlaps[k] for k in range(low, high)}
+        for k in range(low, high):
+            t = truths[k]
+            if t in last and last[t][0] < known_of[k]:
+                del last[t]
+            if together[k] and t not in last:
+                last[t] = known_of[k], found[k]
+        names_t = list(dict.fromkeys(truths[low:high]))
+        pairs = [(t, last[t][1]) for t in names_t if t in last and (t, last[t][1]) in iou]
         kept_t, kept_p = {t for t, _ in pairs}, {p for _, p in pairs}
-        open_t = [t for t in dict.fromkeys(now["truth_id"]) if t not in kept_t]
-        open_p = [p for p in sorted(set(now["pred_id"])) if p not in kept_p]
+        open_t = [t for t in names_t if t not in kept_t]
+        open_p = [p for p in sorted(set(found[low:high])) if p not in kept_p]
         if open_t and open_p:
             cost = np.array([[1 - iou[t, p] if (t, p) in iou else never for p in open_p] for t in open_t])
             pairs += [(open_t[i], open_p[j]) for i, j in least_cost_pairs(cost) if cost[i, j] < never]
         for t, p in pairs:
-            last[t] = p
+            last[t] = frame, p
             out.append((*key[: len(by)], frame, t, p, iou[t, p]))
     return pd.DataFrame(out, columns=[*by, "frame", "truth_id", "pred_id", "iou"])
 
@@ -123,22 +162,23 @@ def _partners(key: tuple, rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
 def crowded_tracking_metrics(truth: DataFrame, predictions: DataFrame, by: list[str], iou_min: float = 0.5) -> DataFrame:
     """Tracking metrics of sequences with several objects or predictions a frame, each id once a frame.
 
-    Boxes of a frame that could be partners are an equi-join. A sequence is cut wherever no two ids that could be partners before
-    could be so again (:func:`_parts`); each part is solved alone, on its possible pairs only (:func:`_partners`), and gives its partners by frame. Switches,
-    fragmentations and covered shares are windows over each object's frames, whatever parts they are from; identities over the whole sequence are
-    assigned on the table of common frames, which has a row for two ids, not for a frame.
+    Boxes of a frame that could be partners are an equi-join. Frames in which each id has one possible partner are settled where they are; only the others
+    are solved in order, cut into parts that need nothing from each other (:func:`_clear_and_open`, :func:`_partners`). Switches, fragmentations and covered
+    shares are windows over each object's frames; identities over the whole sequence are assigned on the table of common frames, which has a row for two ids,
+    not for a frame.
     """
     pairs = _possible_pairs(truth, predictions, by, iou_min)
-    parts = _parts(pairs, by)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*by, "frame", "truth_id", "pred_id").schema)
-    partners = pairs.join(parts.drop("together"), [*by, "truth_id", "pred_id"]).groupBy(*by, "part").applyInPandas(
-        lambda key, rows: _partners(key, rows, by), f"{kinds}, iou double")
+    clear, unsettled = _clear_and_open(pairs, by)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in clear.schema)
+    solved = unsettled.groupBy(*by, "part").applyInPandas(lambda key, rows: _partners(key, rows, by), kinds)
+    partners = clear.unionByName(solved)
 
     objects = truth.select(*by, "frame", "truth_id").join(partners, [*by, "frame", "truth_id"], "left").withColumn("hit", F.col("pred_id").isNotNull())
     own = Window.partitionBy(*by, "truth_id").orderBy("frame")
-    earlier, later = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    last_hit = F.max(F.when(F.col("hit"), F.col("frame"))).over(Window.partitionBy(*by, "truth_id"))
     objects = objects.withColumns({
-        "last_id": F.last("pred_id", ignorenulls=True).over(earlier), "was_hit": F.lag("hit").over(own), "hit_later": F.max("hit").over(later)})
+        "last_id": F.last("pred_id", ignorenulls=True).over(earlier), "was_hit": F.lag("hit").over(own), "hit_later": F.col("frame") < last_hit})
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     each = objects.groupBy(*by, "truth_id").agg(
         F.count("*").alias("seen"), count(F.col("hit")).alias("hits"), count(F.col("hit") & (F.col("last_id") != F.col("pred_id"))).alias("switches"),
@@ -159,7 +199,7 @@ def crowded_tracking_metrics(truth: DataFrame, predictions: DataFrame, by: list[
         return pd.DataFrame([[*key, int(sum(together[i, j] for i, j in least_cost_pairs(-together)))]], columns=[*by, "idtp"])
 
     by_kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*by).schema)
-    idtp = parts.groupBy(*by).applyInPandas(identities, f"{by_kinds}, idtp bigint")
+    idtp = _parts(pairs, by).groupBy(*by).applyInPandas(identities, f"{by_kinds}, idtp bigint")
     rows = frames.join(sums, by, "left").na.fill(0, [
         "num_objects", "hits", "num_switches", "num_fragmentations", "mostly_tracked", "partially_tracked", "mostly_lost"]).join(idtp, by, "left")
     shares = {c: F.col(c) for c in ("mostly_tracked", "partially_tracked", "mostly_lost")}
