@@ -66,3 +66,25 @@ def test_rest_truncation_can_lengthen(spark):
     rows = spark.createDataFrame([("Resting", 5, 6), ("Other", 5, 6)], "label string, frame_begin bigint, frame_end bigint")
     got = {r.label: r.frame_end for r in labels.truncate_rests(rows).collect()}
     assert got == {"Resting": 20, "Other": 6}
+
+
+def test_frames_in_arrays_are_not_moved_as_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tracklens.operators import boxes
+
+    targets = spark.createDataFrame(
+        [("c", "v", list(range(0, 3000, 3)) + [7, 7], 25.0, 30.0), ("c", "w", [5, None], 25.0, 25.0), ("d", "v", [], 25.0, 25.0)],
+        "camera_id string, video_id string, target_frames array<bigint>, ls_fps double, fps double")
+    keyframes = spark.createDataFrame(
+        [("c", "v", f"t{k}", f, 1.0, 2.0, 3.0, 4.0) for k in range(3) for f in range(0, 2600, 1 + 2 * k)] + [("c", "x", "t", 5, 1.0, 2.0, 3.0, 4.0)],
+        "camera_id string, video_id string, track_id string, frame bigint, x double, y double, width double, height double")
+    keys = ["camera_id", "video_id"]
+    rows = targets.withColumn("frame", F.explode("target_frames")).drop("target_frames")
+    for how in ("left", "inner"):
+        whole, arrays = boxes.box_lines(rows, keyframes, keys, how), boxes.box_lines(targets, keyframes, keys, how)
+        columns = whole.columns
+        assert sorted(map(str, whole.select(*columns).collect())) == sorted(map(str, arrays.select(*columns).collect()))
+        plan = arrays._jdf.queryExecution().optimizedPlan().toString()
+        # frames become rows above the join
+        assert plan.index("explode(target_frames") < plan.index("Join") if how == "left" else "explode(target_frames" not in plan
