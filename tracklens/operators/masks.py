@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tracklens.functions.numbers import clipped, ratio, truncated
 
 VIDEO = ["camera_id", "video_id"]
+#: Tasks that points of one pixel row or chunk are dealt over.
+DEALS = 8
 
 
 def row_runs(row: Column) -> Column:
@@ -148,6 +150,16 @@ def point_cell(x: Column, y: Column, height, width) -> tuple[Column, Column]:
     return cx, cy
 
 
+def dealt(points: DataFrame, columns: list[str]) -> DataFrame:
+    """Points with ``_deal``, so that those of one key are not all one task's; see :func:`copied`."""
+    return points.withColumn("_deal", F.pmod(F.xxhash64(*columns), F.lit(DEALS)).cast("int"))
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """What the points of each ``_deal`` meet: few rows beside the points, once for each."""
+    return rows.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+
+
 def cages_of_points(points: DataFrame, runs: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """Adds ``cage_id``: of the masks that hold a point, the first in mask order; null without one."""
     cx, cy = point_cell(F.col("mean_x"), F.col("mean_y"), height, width)
@@ -156,7 +168,8 @@ def cages_of_points(points: DataFrame, runs: DataFrame, keys: list[str], height:
     rows = runs.groupBy(*keys, F.col("y").cast("bigint").alias("_cy")).agg(
         F.array_sort(F.collect_list(F.struct("cage_ord", "x0", "x1", "cage_id"))).alias("_runs"))
     hit = F.get(F.filter("_runs", lambda r: (r["x0"] <= F.col("_cx")) & (F.col("_cx") <= r["x1"])), F.lit(0))
-    return cells.join(rows, [*keys, "_cy"], "left").withColumn("cage_id", hit["cage_id"]).drop("_cx", "_cy", "_runs")
+    met = dealt(cells, points.columns).join(copied(rows), [*keys, "_cy", "_deal"], "left")
+    return met.withColumn("cage_id", hit["cage_id"]).drop("_cx", "_cy", "_runs", "_deal")
 
 
 def assign_cages(index: DataFrame, segments: DataFrame, runs: DataFrame, height: int, width: int, by: list[str] = VIDEO) -> DataFrame:
@@ -166,7 +179,8 @@ def assign_cages(index: DataFrame, segments: DataFrame, runs: DataFrame, height:
     """
     first = index.groupBy(*by).agg(F.min("frame_begin").alias("frame"))
     at = segment_lookup(first, segments, by).drop("frame")
-    return cages_of_points(index.join(at, by), runs, [*by, "segment_idx"], height, width).filter("cage_id is not null").drop("segment_idx")
+    # the masks take the segment's video, so tracks meet them at once by video and pixel row and are not gathered by video alone
+    return cages_of_points(index, runs.join(at, [*by, "segment_idx"]), by, height, width).filter("cage_id is not null")
 
 
 def plan_crops(crops: DataFrame, segments: DataFrame, boxes: DataFrame, existing: DataFrame | None = None, by: list[str] = VIDEO) -> DataFrame:
