@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.operators.masks import point_cell
+from tracklens.operators.masks import copied, dealt, point_cell
 
 CHUNK_LEVEL = 5
 #: The masks that spread the 16 bits of a coordinate over every other bit.
@@ -80,7 +80,8 @@ def cages_by_quadtree(points: DataFrame, tree: DataFrame, keys: list[str], heigh
     rows = points.withColumn("_code", morton(cx, cy))
     rows = rows.withColumn("chunk", F.call_function("shiftright", F.col("_code"), F.lit(2 * chunk_level)))
     hit = F.get(F.filter("cells", lambda c: (c["low"] <= F.col("_code")) & (F.col("_code") <= c["high"])), F.lit(0))
-    return rows.join(tree, [*keys, "chunk"], "left").withColumn("cage_id", hit["cage_id"]).drop("_code", "chunk", "cells")
+    met = dealt(rows, points.columns).join(copied(tree), [*keys, "chunk", "_deal"], "left")
+    return met.withColumn("cage_id", hit["cage_id"]).drop("_code", "chunk", "cells", "_deal")
 
 
 def assign_cages_by_quadtree(
@@ -92,5 +93,6 @@ def assign_cages_by_quadtree(
     first = index.groupBy(*by).agg(F.min("frame_begin").alias("frame"))
     at = segment_lookup(first, segments, by).drop("frame")
     keys = [*by, "segment_idx"]
-    tree = quadtree(runs.join(at, keys, "left_semi"), keys, chunk_level)
-    return cages_by_quadtree(index.join(at, by), tree, keys, height, width, chunk_level).filter("cage_id is not null").drop("segment_idx")
+    # the cells of the one segment that a video needs: tracks meet them at once by video and chunk and are not gathered by video alone
+    tree = quadtree(runs.join(at, keys, "left_semi"), by, chunk_level)
+    return cages_by_quadtree(index, tree, by, height, width, chunk_level).filter("cage_id is not null")
