@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,29 @@ def test_words_have_the_librarys_ids():
     assert got == [e.ids for e in enc.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_a_word_is_looked_up_once_a_batch():
+    enc, asked = WordEncoder(tokenizer_path(id_files.TOKENIZER_FILE)), []
+
+    class Seen(type(enc.numbers)):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    enc.numbers = Seen(enc.numbers)
+    assert [len(i) for i in enc.batch_ids(["to be or not to be " * 100, "", "be to"])] == [600, 0, 2]
+    assert sorted(w for w in asked if w.isalpha()) == ["be", "not", "or", "to"]
+
+
+def test_texts_go_together_by_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(id_files, "TEXTS", 3)
+    monkeypatch.setattr(id_files, "TEXT_BYTES", 10)
+    sizes = [0, 1, 2, 3, 50, 4, 6, 1, 0, 0, 0, 11, 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in sizes])], names=["text"])
+    got = [[len(t) for t in some.column(0).to_pylist()] for some in id_files._together(batch, 0)]
+    assert [n for some in got for n in some] == sizes
+    assert all(len(some) <= 3 and (sum(some) <= 10 or len(some) == 1) for some in got)
+
+
 def test_token_id_files_of_awkward_rows(spark, tmp_path):
     path = tokenizer_path(id_files.TOKENIZER_FILE)
     rows = [(7, "Hello, wide World"), (3, None), (None, "no key"), (3, ""), (9, "<|endoftext|> inside"), (8, "long " * 40_000), (7, "Hello, wide World"), (1, "x")]

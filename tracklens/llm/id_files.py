@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,10 @@ END_ID = 1
 #: Ids of one file, unless a single row has more, and ids that one task decodes.
 FILE_IDS = 1 << 26
 TASK_IDS = 1 << 22
-#: Texts that are held as Python strings at once.
+#: Texts of which ids are held at once.
 BATCH = 256
+#: Texts that are encoded together, and their bytes unless the last one has more.
+TEXTS, TEXT_BYTES = 1024, 4 << 20
 _TAIL = struct.Struct("<II4s")  # size and checksum of the footer
 
 
@@ -271,6 +274,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint32)
 
 
+def _together(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of :data:`TEXTS` rows at most, each with about :data:`TEXT_BYTES` of ``column`` at most."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        before = int(ends[low - 1]) if low else 0
+        high = min(low + TEXTS, max(low + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right"))))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def ordered_ids(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int) -> DataFrame:
     """``part, row, key, ids`` of every row: texts dealt to ranges of the key and sorted, then encoded where they are.
 
@@ -286,7 +300,7 @@ def ordered_ids(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: in
 
         encode_texts, part, n = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.uint32)
-        for batch in (b.slice(at, BATCH) for b in batches for at in range(0, b.num_rows, BATCH)):
+        for batch in (some for b in batches for some in _together(b, 1)):
             ids = [packed(np.append(found, end)) for found in encode_texts(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(n, n + len(ids), dtype=np.int64)), batch.column(0),

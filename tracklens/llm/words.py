@@ -9,13 +9,15 @@ from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from tracklens.llm.common import hold_memo
 from tracklens.llm.tokens import byte_names
 
 #: The memo starts anew above so many words or characters.
-MEMO_WORDS, MEMO_CHARS = 400_000, 12_000_000
+MEMO_WORDS, MEMO_CHARS = 1_200_000, 36_000_000
 #: White space on which Python and the tokenizer may differ, and the byte that parts texts; texts that hold any go to the library whole.
 _ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Fixed value: the published pattern that cuts words into pre-tokens.
@@ -146,12 +148,17 @@ class WordEncoder:
         return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
     def batch_ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Words are numbered as they come and the ids of all texts gathered at once by their words' numbers."""
+        """The ids of each text. A batch's different words are numbered as they come and the ids of all texts gathered at once by their words' numbers."""
         odd = [_ODD.search(t) is not None for t in texts]
-        words = f" {_END} ".join(["" if o else t for t, o in zip(texts, odd)]).split()
         if len(self.numbers) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self._forget()
-        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        # without odd texts, white space is that of ASCII
+        joint = pa.array([f" {_END} ".join(["" if o else t for t, o in zip(texts, odd)])], pa.large_string())
+        coded = pc.ascii_split_whitespace(joint).flatten().dictionary_encode()
+        # put together and cut again, which is the fast way to Python strings
+        whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        words = pc.binary_join(whole, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         if len(self.numbers) > self.known:
             self._learn([*islice(reversed(self.numbers), len(self.numbers) - self.known)][::-1])
         size = self.size[at]
@@ -165,6 +172,7 @@ class WordEncoder:
         return out
 
     def _forget(self) -> None:
-        self.numbers = _Numbers({_END: 0})
-        self.known, self.chars = 1, 0
-        self.flat, self.size, self.start = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        # the end byte and the empty strings at both ends of a batch have no ids
+        self.numbers = _Numbers({_END: 0, "": 1})
+        self.known, self.chars = 2, 0
+        self.flat, self.size, self.start = np.zeros(0, "<u4"), np.zeros(2, np.int64), np.zeros(2, np.int64)
