@@ -198,6 +198,17 @@ def test_collocations_ties_and_limit(spark, monkeypatch):
     assert phrases.collocations(with_clashes(spark, [])).collect() == []
 
 
+def test_a_task_holds_few_texts_and_gives_memory_back(monkeypatch):
+    released, seen = [], []
+    monkeypatch.setattr(phrases, "release_memory", lambda: released.append(len(seen)), raising=False)
+    docs = type("Docs", (), {"mapInArrow": lambda self, run, schema: run})()
+    run = phrases._by_task(docs, "", lambda lang, words: seen.append(words.n_words()) or iter(()))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 700), pa.array(["a" * 9 + " b" * 10_000] * 700)], names=["lang", "text"])
+    assert list(run(iter([batch]))) == []
+    assert sum(seen) == 700 * 10_001 and max(seen) * 2 < 4_000_000 + 256 * 20_010
+    assert released == [len(seen)]
+
+
 def test_phrase_sets_hold_what_went_in(spark):
     rng = np.random.default_rng(2)
     h = rng.integers(-(1 << 62), 1 << 62, 5000)

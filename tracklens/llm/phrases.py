@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import Workspace, on_workers
+from tracklens.llm.common import Workspace, on_workers, release_memory
 from tracklens.llm.skew import join_unique
 
 MAX_WORDS = 3
@@ -25,7 +25,7 @@ SAMPLE_SHARE = 0.25
 #: Of the occurrences that the sample should hold of a phrase of ``MIN_COUNT``, the share that proposes it (rounded up, twice at least).
 LOWERED = 0.9
 #: Bytes of text that a task adds up before it passes counts on, unless a single text has more, and rows that it passes on at once.
-HELD_BYTES = 8_000_000
+HELD_BYTES = 4_000_000
 SLICE = 50_000
 #: Bits of a set of phrases: so many for each, within these powers of two.
 BITS_EACH = 32
@@ -162,6 +162,8 @@ def _by_task(docs: DataFrame, schema: str, count) -> DataFrame:
                 held = {}
         for lang, h in held.items():
             yield from count(lang, _Words(lang, h.texts))
+        held = {}
+        release_memory()  # the worker stays for other tasks and stages
 
     return docs.mapInArrow(run, schema)
 
