@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklens.operators import masks, quadtree
-from tracklens.plans import export_queries
+from tracklens.plans import adapters, export_queries, interval_queries
 
 
 def test_array_files_grow_in_number(spark, sf_dir, tmp_path, monkeypatch):
@@ -36,3 +36,10 @@ def test_points_of_one_place_are_dealt(spark, assign):
         for k in settings:
             spark.conf.unset(k)
     assert len(out) == 400 and {r.cage_id for r in out} == {"c0"} and len({r.at for r in out}) > 1
+
+
+@pytest.mark.parametrize("nested", [interval_queries.nested_tasks, export_queries._tasks])
+def test_nested_tasks_go_to_more_tasks(spark, sf_dir, monkeypatch, nested):
+    lines = adapters.table(spark, sf_dir, "lineitem").count()
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 100, raising=False)
+    assert nested(spark, sf_dir).rdd.getNumPartitions() >= lines // 100

@@ -65,9 +65,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of a table that go to one task where they are nested by key.
+ROWS_A_TASK = 250_000
+
+
+def adapter(spark: SparkSession, sf_dir: str, name: str, keys: dict[str, str] | None = None) -> DataFrame:
+    """The view ``name``. With ``keys``, tables go by these columns to tasks whose number grows with the tables (rows are counted from
+    the files' footers), so that what a task nests does not."""
     used = set(re.findall(r"\{(\w+)\}", SQL[name]))
-    return spark.sql(SQL[name], **{t: table(spark, sf_dir, t) for t in used})
+    tables = {t: table(spark, sf_dir, t) for t in used}
+    if keys:
+        n = max(spark.sparkContext.defaultParallelism, *(-(-tables[t].count() // ROWS_A_TASK) for t in keys))
+        tables |= {t: tables[t].repartition(n, key) for t, key in keys.items()}
+    return spark.sql(SQL[name], **tables)
+
+
+#: What ``a8`` is nested by.
+TASK_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
 
 
 def oracle(query: str, *names: str, recursive: bool = False) -> str:

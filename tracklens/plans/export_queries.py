@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracklens.functions import paths
 from tracklens.operators import boxes, evaluation, images, labels, masks
 from tracklens.plans import mask_queries
-from tracklens.plans.adapters import adapter, oracle, table
+from tracklens.plans.adapters import TASK_KEYS, adapter, oracle, table
 from tracklens.plans.interval_queries import VIDEO
 from tracklens.plans.mask_queries import _ASKED, _BY, _MATCHED, _PAIRS, _SEGMENTS, SIDE
 from tracklens.plans.scratch import scratch_dir
@@ -46,7 +46,7 @@ def _tasks(spark, d) -> DataFrame:
     sequence = F.when(F.col("label") == "Preening", F.array(first)).otherwise(F.array(first, last))
     result = F.when(F.col("track_id").isNotNull(), F.struct(
         F.col("track_id").alias("id"), F.struct(F.array("label").alias("labels"), sequence.alias("sequence")).alias("value")))
-    rows = adapter(spark, d, "a8").groupBy("video_idx").agg(F.collect_list(result).alias("result"))
+    rows = adapter(spark, d, "a8", TASK_KEYS).groupBy("video_idx").agg(F.collect_list(result).alias("result"))
     text = lambda c: c.cast("string")
     path = F.concat(F.lit("/data/H"), text(F.col("video_idx") % 7), F.lit("%2CI"), text(F.col("video_idx") % 5), F.lit("/v"),
                     text(F.col("video_idx")), F.lit(".mp4"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracklens.functions import paths
 from tracklens.functions.numbers import frames_between, ratio
 from tracklens.operators import clips, evaluation, filters, intervals, labels, lookups, split
-from tracklens.plans.adapters import adapter, oracle, table
+from tracklens.plans.adapters import TASK_KEYS, adapter, oracle, table
 from tracklens.sources.sinks import missing_only
 
 RATIOS, SEED, LABELS = (0.70, 0.15, 0.15), 42, ["Foraging", "Preening", "Resting"]
@@ -248,7 +248,7 @@ def nested_tasks(spark, d) -> DataFrame:
         F.struct(F.array("label").alias("labels"), F.array(F.struct(
             F.col("frame").cast("bigint").alias("frame"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("width"),
             F.lit(4.0).alias("height"))).alias("sequence")).alias("value")))
-    tasks = adapter(spark, d, "a8").groupBy("video_idx").agg(F.collect_list(result).alias("result"))
+    tasks = adapter(spark, d, "a8", TASK_KEYS).groupBy("video_idx").agg(F.collect_list(result).alias("result"))
     return tasks.select(
         F.lit("labeler").alias("labeler"), F.col("video_idx").alias("inner_id"),
         F.when(F.col("video_idx") % 10 == 0, 0).otherwise(1).cast("bigint").alias("total_annotations"),
