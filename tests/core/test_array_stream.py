@@ -64,3 +64,24 @@ def test_tasks_as_the_whole_file_reader_gives_them(spark, tmp_path):
     got, expected = stream_annotations(spark, str(tmp_path), 256), read_annotations(spark, str(tmp_path))
     assert sorted(got.drop("labeler").collect()) == sorted(expected.drop("labeler").collect())
     assert got.schema["annotations"].dataType == expected.schema["annotations"].dataType
+
+
+def test_array_files_of_partitions(spark, tmp_path):
+    values = spark.range(0, 50, 1, 3).filter("id < 30 or id = 49").selectExpr("""concat('{"n":', id, '}') as value""").repartition(7, "value")
+    array_stream.write_arrays(values, str(tmp_path / "out"))
+    files = [json.loads(f.read_text()) for f in (tmp_path / "out").glob("part-*")]
+    assert sorted(t["n"] for f in files for t in f) == [*range(30), 49] and sum(map(bool, files)) > 1
+    array_stream.write_arrays(values.filter("false").coalesce(1), str(tmp_path / "none"))
+    assert array_items(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_array_stream_writes_files_in_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    from tracklens.plans import adapters, scale_queries
+
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 100, raising=False)
+    monkeypatch.setattr(scale_queries, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    rows = scale_queries.array_stream(spark, sf_dir)
+    files = [len(json.loads(f.read_text())) for f in (tmp_path / "array").glob("part-*")]
+    n = adapters.table(spark, sf_dir, "orders").count()
+    assert sum(files) == n and max(files) < n // 4
+    assert rows.select("video_idx").distinct().count() == n - n // 10

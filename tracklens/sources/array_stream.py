@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,6 +173,21 @@ def array_items(spark: SparkSession, path, range_bytes: int = RANGE_BYTES, tasks
     return known.repartition(n, "path", "begin").mapInArrow(items, "path string, at bigint, value string")
 
 
+def write_arrays(values: DataFrame, path: str) -> None:
+    """Writes texts of JSON values, one column, as an array file for each partition, in the partition's order. Nothing is gathered."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            if batch.num_rows:
+                before = pa.array(["," if begun or k else "[" for k in range(batch.num_rows)])
+                begun = True
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(before, batch.column(0), "")], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if begun else "[]"])], names=["value"])
+
+    values.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def stream_annotations(spark: SparkSession, path, range_bytes: int = RANGE_BYTES, tasks: int | None = None) -> DataFrame:
     """The tasks of large array exports, as :func:`tracklens.sources.readers.read_annotations` gives them, by many tasks a file."""
     rows = array_items(spark, path, range_bytes, tasks)
