@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tracklens.operators import intervals, labels
-from tracklens.sources import readers
+from tracklens.sources import readers, schemas
 
 TASK = {
     "inner_id": 1, "total_annotations": 1,
@@ -88,3 +88,23 @@ def test_frames_in_arrays_are_not_moved_as_rows(spark):
         plan = arrays._jdf.queryExecution().optimizedPlan().toString()
         # frames become rows above the join
         assert plan.index("explode(target_frames") < plan.index("Join") if how == "left" else "explode(target_frames" not in plan
+
+
+def test_label_tables_move_tracks_once_and_keep_videos_of_one_name(spark):
+    result = lambda k, begin: (k, (["Foraging"], [(begin, 10.0, 20.0, 30.0, 40.0), (begin + 30, 20.0, 20.0, 30.0, 40.0)]))
+    task = lambda labeler, k, path, *results: (labeler, k, 1, (path, 100, 4.0), [(1, list(results))])
+    path = "/data/H1%2CI1/v1.mp4"
+    tasks = spark.createDataFrame(
+        [task("a", 1, path, result("t1", 3)), task("b", 1, path, result("t2", 4)), task("a", 2, "/data/H2%2CI1/v2.mp4", result("t3", 5)),
+         task("a", 3, None, result("t4", 6)), task("b", 3, None), task("a", 4, path)], f"labeler string, {schemas.TASKS}")
+    meta = spark.createDataFrame([("H1,I1", "v1", 25.0, 20)], schemas.VIDEO_META)
+    videos, tracks = labels.label_tables(tasks, meta)
+    assert videos.count() == 6
+    got = sorted((r.track_id, r.frame_begin, r.frame_end) for r in tracks.select("track_id", "frame_begin", "frame_end").collect())
+    assert got == sorted([("t1", 1, 20)] * 3 + [("t2", 1, 20)] * 3 + [("t3", 1, None), ("t4", 1, None)], key=lambda r: r[0])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = labels.label_tables(tasks, meta)[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("explode(") == 3  # results are taken apart for tracks only

@@ -18,12 +18,16 @@ def buffer_tracks(tracks: DataFrame, videos: DataFrame, num_frames: int, strict:
     ``[1, frames_count]``. A begin of exactly 0 is not counted as reaching over, which leaves such a track one frame
     short; ``strict`` counts it. Tracks of unknown videos stay unclamped at the end.
     """
+    counts = videos.select(*KEY, F.col("frames_count").alias("_count"))
+    return buffer_counted(tracks.join(counts, KEY, "left"), num_frames, strict)
+
+
+def buffer_counted(tracks: DataFrame, num_frames: int, strict: bool = False) -> DataFrame:
+    """As :func:`buffer_tracks`, for tracks that have met the frame count of their video (``_count``)."""
     begin, end, count = F.col("frame_begin"), F.col("frame_end"), F.col("_count")
     length = end - begin + 1
     grow = F.when(length < num_frames, F.expr(f"({num_frames} - (frame_end - frame_begin + 1) + 1) div 2")).otherwise(0)
     rows = tracks.withColumn("_grow", grow).withColumns({"frame_begin": begin - F.col("_grow"), "frame_end": end + F.col("_grow")})
-    counts = videos.select(*KEY, F.col("frames_count").alias("_count"))
-    rows = rows.join(counts, KEY, "left")
     early = F.when(begin < 1, 1 - begin).otherwise(0) if strict else F.when(begin < 0, F.abs(begin) + 1).otherwise(0)
     rows = rows.withColumns({"_add": early, "_sub": F.when(end > count, end - count).otherwise(0)})
     return rows.withColumns({

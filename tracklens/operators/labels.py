@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions import boxes, paths
 from tracklens.functions.numbers import ratio, truncated
-from tracklens.operators.intervals import buffer_tracks
+from tracklens.operators.intervals import KEY, buffer_counted
 
 NUM_FRAMES = 16
 REST = "Resting"
@@ -17,6 +17,13 @@ def annotated(tasks: DataFrame) -> DataFrame:
     return tasks.filter("total_annotations > 0")
 
 
+def task_videos(tasks: DataFrame) -> DataFrame:
+    """One row per task with what it tells about its video."""
+    return tasks.select(
+        "labeler", F.col("inner_id").alias("video_idx"), F.col("data.video").alias("video_path"),
+        F.col("data.framesCount").alias("frames_count"), F.col("data.duration").alias("duration"))
+
+
 def flatten_results(tasks: DataFrame) -> DataFrame:
     """One row per result of a task; a task without results keeps one row of nulls."""
     rows = tasks.select(
@@ -97,13 +104,20 @@ def label_tables(tasks: DataFrame, meta: DataFrame, num_frames: int = NUM_FRAMES
     """``(videos, tracks)`` of annotation tasks.
 
     ``meta`` holds ``camera_id, video_id, true_fps, frame_count`` of the containers. Videos get the container's frame
-    count; tracks are rolled up, rescaled, and buffered to ``num_frames`` frames within their video.
+    count; tracks are rolled up, rescaled, and buffered to ``num_frames`` frames within their video. Videos come from the tasks
+    alone and meet their frame counts first, so tracks are moved once.
     """
-    results = flatten_results(annotated(tasks))
-    videos = videos_of(results, meta)
-    tracks = extend_single_keyframes(track_rollup(keyframes(results), ("labeler", "video_idx", "track_id"))).drop("frames_count")
-    ids = videos.select("labeler", "video_idx", "video_id", "camera_id", "ls_fps", "true_fps")
+    keep = annotated(tasks)
+    videos = videos_of(task_videos(keep), meta)
+    tracks = extend_single_keyframes(track_rollup(keyframes(flatten_results(keep)), ("labeler", "video_idx", "track_id"))).drop("frames_count")
+    # of videos with one name, a track meets each one's frame count
+    named = F.collect_list(F.struct(F.col("frame_count").alias("_count"))).over(Window.partitionBy(*KEY))
+    unknown = F.array(F.struct(F.lit(None).cast("bigint").alias("_count")))
+    ids = videos.select("labeler", "video_idx", *KEY, "ls_fps", "true_fps", named.alias("_counts"))
+    known = F.col("camera_id").isNotNull() & F.col("video_id").isNotNull()
+    ids = ids.select("labeler", "video_idx", *KEY, "ls_fps", "true_fps", F.inline(F.when(known, F.col("_counts")).otherwise(unknown)))
     tracks = rescale_frames(tracks.join(ids, ["labeler", "video_idx"], "left")).drop("ls_fps", "labeler", "video_idx")
+    tracks = buffer_counted(truncate_rests(tracks, num_frames), num_frames)
     videos = videos.select(
         "video_path", F.col("frame_count").alias("frames_count"), "duration", "camera_id", "video_id", "video_ext", "true_fps")
-    return videos, buffer_tracks(truncate_rests(tracks, num_frames), videos, num_frames)
+    return videos, tracks.select(*KEY, *(c for c in tracks.columns if c not in KEY))
