@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracklens.operators import masks, quadtree
 from tracklens.plans import adapters, export_queries, interval_queries, scale_queries
+from tracklens.streaming.ingest import annotation_stream, ingest_annotations, ingested_lines
 
 
 def test_array_files_grow_in_number(spark, sf_dir, tmp_path, monkeypatch):
@@ -50,3 +51,21 @@ def test_frames_do_not_make_mask_files(spark, sf_dir, tmp_path, monkeypatch):
     rows = scale_queries.nested_masks(spark, sf_dir)
     assert rows.count() == adapters.adapter(spark, sf_dir, "a4").count()
     assert 0 < len(glob.glob(f"{tmp_path}/nested/**/part-*", recursive=True)) <= 4
+
+
+def test_a_stream_opens_as_many_stores_as_it_is_told(spark, tmp_path):
+    box = lambda f: {"frame": f, "x": 20, "y": 10, "width": 40, "height": 60}
+    tasks = [{"inner_id": i, "total_annotations": 1, "data": {"video": f"/d/c{i % 2}/v{i}.mp4", "framesCount": 9, "duration": 1.0}, "annotations": [
+        {"id": 1, "result": [{"id": f"r{i}", "value": {"labels": ["b"], "sequence": [box(f) for f in range(1, 9)]}}]}]} for i in range(20)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps(t) for t in tasks) + "\n")
+    targets = spark.createDataFrame([(f"c{i % 2}", f"v{i}", f, 10.0, 10.0) for i in range(20) for f in range(1, 9)],
+                                    "camera_id string, video_id string, frame bigint, ls_fps double, fps double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    stream = annotation_stream(spark, str(tmp_path / "in"))
+    ingest_annotations(stream, targets, str(tmp_path / "out"), str(tmp_path / "state"), partitions=2).awaitTermination(120)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    stores = {p.name for p in (tmp_path / "state" / "state" / "0").iterdir() if p.name.isdigit()}
+    files = list((tmp_path / "out").glob("run=*/batch=*/camera_id=*/*.parquet"))
+    assert stores == {"0", "1"} and len(files) == 4  # a file for each store and camera
+    assert ingested_lines(spark, str(tmp_path / "out"), targets).filter("track_id is not null").count() == 160

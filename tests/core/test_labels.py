@@ -1,8 +1,10 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from tracklens.operators import intervals, labels
+from tracklens.functions import numbers
+from tracklens.operators import boxes, intervals, labels
 from tracklens.sources import readers, schemas
 
 TASK = {
@@ -108,3 +110,21 @@ def test_label_tables_move_tracks_once_and_keep_videos_of_one_name(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("explode(") == 3  # results are taken apart for tracks only
+
+
+def test_target_stretches_give_what_their_frames_give(spark):
+    rng = random.Random(8)
+    key = lambda k: (f"c{k % 3}", f"v{k}")
+    rates = [(25.0, 24.0), (25.0, 36.0), (10.0, 30.0), (30.0, 7.5), (29.97, 59.94), (0.0, 25.0), (25.0, None)]
+    stretches = [(*key(k), *span, *rates[k % 7]) for k in range(42) for span in ((1, 90), (5, 4), (-40, 12), (500, 900))[k % 4:k % 4 + 2]]
+    targets = spark.createDataFrame(stretches, "camera_id string, video_id string, frame_begin bigint, frame_end bigint, ls_fps double, fps double")
+    boxes_at = [(*key(rng.randrange(44)), f"t{n}", rng.choice([0, 1, rng.randrange(-40, 60), rng.randrange(900)]), 1.0, 2.0, 3.0, 4.0) for n in range(3000)]
+    keyframes = spark.createDataFrame(boxes_at, "camera_id string, video_id string, track_id string, frame bigint, x double, y double, width double, height double")
+    rows = targets.withColumn("frame", F.explode(numbers.frames_between(F.col("frame_begin"), F.col("frame_end")))).drop("frame_begin", "frame_end")
+    for how in ("left", "inner"):
+        got = boxes.box_lines(targets, keyframes, ["camera_id", "video_id"], how)
+        want = boxes.box_lines(rows, keyframes, ["camera_id", "video_id"], how).select(*got.columns)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.filter("track_id is not null").count() > 1000
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        # frames become rows above the join
+        assert "sequence(greatest(frame_begin" not in plan[plan.index("Join"):]
