@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from tracklens.operators import evaluation
+from tracklens.sources import sinks
 
 BOX = "left double, top double, w double, h double"
 
@@ -63,3 +64,28 @@ def test_state_of_open_frames_reaches_over_clear_ones(spark):
         whole = evaluation._assigned((name,), pd.concat(parts), ["seq"], 0.5).iloc[0]
         for m in evaluation.METRICS:
             assert got[name][m] == pytest.approx(whole[m], abs=1e-9), (name, m)
+
+
+def test_tables_that_are_read_again_are_made_once(spark, sf_dir, tmp_path):
+    from tracklens.plans import export_queries
+
+    plan = export_queries.crowded_tracking(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # neither boxes nor the list of crowded sequences are made anew by each part, and that list is too small for its sequences' boxes to be moved to it
+    assert "l_orderkey" not in plan
+    rng = random.Random(11)
+    box = "left double, top double, w double, h double"
+    place = lambda: (rng.uniform(0, 12), rng.uniform(0, 12), 20.0, 16.0)
+    truth = [(f"s{k}", f, a, *place()) for k in range(8) for f in range(30) for a in range(1 + k % 3) if rng.random() < 0.9]
+    found = [(f"s{k}", f, rng.randrange(3) * 4 + a, *place()) for k in range(8) for f in range(30) for a in range(1 + k % 3) if rng.random() < 0.9]
+    truth += [("twice", f, 0, *place()) for f in range(9) for _ in range(2)]
+    t = spark.createDataFrame(truth, f"seq string, frame bigint, truth_id bigint, {box}")
+    p = spark.createDataFrame(found, f"seq string, frame bigint, pred_id bigint, {box}")
+    names = []
+
+    def keep(table, name):
+        names.append(name)
+        return sinks.kept(table, str(tmp_path / name))
+
+    kept, plain = (evaluation.tracking_metrics(t, p, ["seq"], 0.3, keep=k) for k in (keep, evaluation.as_is))
+    rounded = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    assert rounded(kept) == rounded(plain) and sorted(names) == ["crowd", "pairs"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,14 @@ METRICS = [
 GENERAL_SCHEMA = ", ".join(f"{m} {'double' if m in METRICS[10:] else 'bigint'}" for m in METRICS)
 
 
+#: What a caller does with a table that is read several times.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def as_is(table: DataFrame, name: str) -> DataFrame:
+    return table
+
+
 def mot_rows(lines: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     """Label lines as pixel boxes ``by, frame, id, left, top, w, h, conf``.
 
@@ -54,7 +64,7 @@ def tracked_sequences(truth: DataFrame, manifest: DataFrame, by: list[str]) -> D
 
 
 def tracking_metrics(
-    truth: DataFrame, predictions: DataFrame, by: list[str], iou_min: float = 0.5, crowded: bool = True
+    truth: DataFrame, predictions: DataFrame, by: list[str], iou_min: float = 0.5, crowded: bool = True, keep: Keep = as_is
 ) -> DataFrame:
     """Tracking metrics of every sequence.
 
@@ -62,6 +72,9 @@ def tracking_metrics(
     they are joins, windows and sums. Sequences with more go to :func:`crowded_tracking_metrics`, which cuts them in time; those that
     show an id twice in a frame go whole to :func:`_assigned`. The plan itself tells them
     apart. ``crowded=False`` is the caller's word that there are none, and leaves that part of the plan out.
+
+    ``keep(table, name)`` may write a table that several parts of the plan read, and give it as read back: it is then made once, and Spark knows
+    how small the list of crowded sequences is before it moves boxes to meet it.
     """
     if not crowded:
         return simple_tracking_metrics(match_boxes(truth, predictions, by, iou_min), by)
@@ -69,15 +82,16 @@ def tracking_metrics(
     columns = [*by, "frame", "kind", "id", "left", "top", "w", "h"]
     boxes = truth.withColumns({"kind": F.lit(0), "id": F.col("truth_id")}).select(*columns).unionByName(
         predictions.withColumns({"kind": F.lit(1), "id": F.col("pred_id")}).select(*columns))
-    frames = boxes.groupBy(*by, "frame", "kind").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+    frames = boxes.select(*by, "frame", "kind", "id").repartition(*by, "frame").groupBy(*by, "frame", "kind").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
     crowd = frames.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.col("n") - F.col("n_ids")).alias("again")).filter("n > 1")
+    crowd = keep(crowd, "crowd")
     apart, unclear = crowd.filter("again = 0").select(*by), crowd.filter("again > 0").select(*by)
     crowd = crowd.select(*by)
     plain = match_boxes(truth.join(crowd, by, "left_anti"), predictions.join(crowd, by, "left_anti"), by, iou_min)
     keys = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in by)
     general = boxes.join(unclear, by, "left_semi").groupBy(*by).applyInPandas(
         lambda key, rows: _assigned(key, rows, by, iou_min), f"{keys}, {GENERAL_SCHEMA}")
-    cut = crowded_tracking_metrics(truth.join(apart, by, "left_semi"), predictions.join(apart, by, "left_semi"), by, iou_min)
+    cut = crowded_tracking_metrics(truth.join(apart, by, "left_semi"), predictions.join(apart, by, "left_semi"), by, iou_min, keep)
     return simple_tracking_metrics(plain, by).unionByName(cut).unionByName(general)
 
 
@@ -100,6 +114,13 @@ def _parts(pairs: DataFrame, by: list[str]) -> DataFrame:
     return spans.select(*by, "truth_id", "pred_id", "together", "part")
 
 
+def _with_open(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """``pairs`` with ``_open``: whether an id of their frame could go with two others."""
+    whole = Window.partitionBy(*by, "frame")
+    distinct = lambda c: F.size(F.collect_set(c).over(whole))
+    return pairs.withColumn("_open", F.count("*").over(whole) > F.least(distinct("truth_id"), distinct("pred_id")))
+
+
 def _clear_and_open(pairs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """The pairs of clear frames and those of open ones.
 
@@ -107,9 +128,7 @@ def _clear_and_open(pairs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFra
     last clear frame before, ``known`` (whether the two were partners in it), and ``part``. A row needs the open frames since then, from the one in which its pair could be partners before (or, where that
     was the clear frame itself, from the object's first open frame); parts are cut wherever no row reaches back over the cut.
     """
-    whole = Window.partitionBy(*by, "frame")
-    distinct = lambda c: F.size(F.collect_set(c).over(whole))
-    rows = pairs.withColumn("_open", F.count("*").over(whole) > F.least(distinct("truth_id"), distinct("pred_id")))
+    rows = pairs if "_open" in pairs.columns else _with_open(pairs, by)
     own = Window.partitionBy(*by, "truth_id")
     before = own.orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
     clear = F.when(~F.col("_open"), F.struct("frame", "pred_id"))
@@ -159,21 +178,26 @@ def _partners(key: tuple, rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[*by, "frame", "truth_id", "pred_id", "iou"])
 
 
-def crowded_tracking_metrics(truth: DataFrame, predictions: DataFrame, by: list[str], iou_min: float = 0.5) -> DataFrame:
+def crowded_tracking_metrics(
+    truth: DataFrame, predictions: DataFrame, by: list[str], iou_min: float = 0.5, keep: Keep = as_is
+) -> DataFrame:
     """Tracking metrics of sequences with several objects or predictions a frame, each id once a frame.
 
     Boxes of a frame that could be partners are an equi-join. Frames in which each id has one possible partner are settled where they are; only the others
     are solved in order, cut into parts that need nothing from each other (:func:`_clear_and_open`, :func:`_partners`). Switches, fragmentations and covered
     shares are windows over each object's frames; identities over the whole sequence are assigned on the table of common frames, which has a row for two ids,
-    not for a frame.
+    not for a frame. Objects and their partners go to the object's task as they are, where frames are put together and looked at in order.
     """
-    pairs = _possible_pairs(truth, predictions, by, iou_min)
+    pairs = keep(_with_open(_possible_pairs(truth, predictions, by, iou_min), by), "pairs")
     clear, unsettled = _clear_and_open(pairs, by)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in clear.schema)
     solved = unsettled.groupBy(*by, "part").applyInPandas(lambda key, rows: _partners(key, rows, by), kinds)
     partners = clear.unionByName(solved)
 
-    objects = truth.select(*by, "frame", "truth_id").join(partners, [*by, "frame", "truth_id"], "left").withColumn("hit", F.col("pred_id").isNotNull())
+    shown = truth.select(*by, "frame", "truth_id").unionByName(partners, allowMissingColumns=True).repartition(*by, "truth_id")
+    # an object has one partner a frame at most
+    objects = shown.groupBy(*by, "truth_id", "frame").agg(F.max("pred_id").alias("pred_id"), F.max("iou").alias("iou")).withColumn(
+        "hit", F.col("pred_id").isNotNull())
     own = Window.partitionBy(*by, "truth_id").orderBy("frame")
     earlier = own.rowsBetween(Window.unboundedPreceding, -1)
     last_hit = F.max(F.when(F.col("hit"), F.col("frame"))).over(Window.partitionBy(*by, "truth_id"))

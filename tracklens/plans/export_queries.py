@@ -311,12 +311,14 @@ ORACLE_SQL["label_defects"] = r"""
     FROM g2 JOIN f USING (video_id, pair)""", "a5")
 def crowded_tracking(spark, d):
     apart, pair = 1000 * F.col("cage_id"), F.expr("cage_id div 2").alias("pair")
-    truth, found = mask_queries._boxes(spark, d)
+    root = scratch_dir(spark, "crowded")
+    keep = lambda df, name: sinks.kept(df, f"{root}/{name}")
+    truth, found = mask_queries._boxes(spark, d, keep(adapter(spark, d, "a5"), "boxes"))
     own = lambda df: df.select(
         "video_id", pair, "frame", (F.col("left") + apart).alias("left"), "top", "w", "h", "cage_id", *(["pred_id"] if "pred_id" in df.columns else []))
     truth = own(truth).withColumnRenamed("cage_id", "truth_id")
     found = own(found).withColumn("pred_id", F.col("pred_id") + 10 * F.col("cage_id")).drop("cage_id")
-    out = evaluation.tracking_metrics(truth, found, ["video_id", "pair"])
+    out = evaluation.tracking_metrics(truth, found, ["video_id", "pair"], keep=keep)
     return out.select(
         "video_id", "pair", "num_frames", "num_objects", "num_predictions", "num_misses", "num_false_positives", "num_switches",
         "num_fragmentations", "mostly_tracked", F.round("motp", 6).alias("motp"), F.round("mota", 9).alias("mota"), F.round("idf1", 9).alias("idf1"))

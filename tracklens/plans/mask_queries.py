@@ -253,8 +253,8 @@ def box_matches(spark, d):
     return evaluation.match_boxes(*_boxes(spark, d), _BY)
 
 
-def _boxes(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = adapter(spark, d, "a5")
+def _boxes(spark, d, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    rows = adapter(spark, d, "a5") if rows is None else rows
     truth = rows.filter("has_gt").select(*_BY, "frame", F.col("gt_left").alias("left"), F.col("gt_top").alias("top"), "w", "h")
     predictions = rows.filter("has_pred").select(*_BY, "frame", "pred_id", F.col("pred_left").alias("left"), F.col("pred_top").alias("top"), "w", "h")
     return truth, predictions

@@ -18,6 +18,12 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written once, and read back by all that need it."""
+    write_parquet(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, keys: tuple[str, ...] = ("camera_id", "video_id"), buckets: int = 64) -> DataFrame:
     """Writes ``df`` as table ``table`` in ``buckets`` buckets of ``keys`` below ``path`` and gives the table.
 
